@@ -9,11 +9,15 @@ from pyspark.sql import functions as F
 LONG_SEASON = r"^(\d{4})\s*[-/]\s*(\d{4})$"
 SAFE_PARTITION = r"^[A-Za-z0-9_-]+$"
 SEASON_RANGE = (1900, 2100)
+WHITESPACE = (
+    " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+    "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(c: Column) -> Column:
     """Trim every kind of whitespace, not only blanks."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    return F.trim(c, F.lit(WHITESPACE))
 
 
 def parse_date(c: Column) -> Column:
@@ -52,8 +56,12 @@ def parse_season(c: Column) -> Column:
 
 
 def number(c: Column) -> Column:
-    """Lenient text-to-double, blank and malformed text becoming NULL."""
-    return strip(c.cast("string")).try_cast("double")
+    """Lenient text-to-double, blank and malformed text becoming NULL.
+
+    A trailing d or f is a Java literal suffix, not part of a number.
+    """
+    text = strip(c.cast("string"))
+    return F.when(~text.rlike("[0-9.][dDfF]$"), text.try_cast("double"))
 
 
 def is_blank(c: Column) -> Column:

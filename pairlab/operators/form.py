@@ -72,16 +72,22 @@ def tail_state(matches: DataFrame, stats: bool = True, form: bool = True) -> Dat
 
     out = []
     if stats:
-        for base, stat, kind, k in S.rolling_bases():
-            if kind == "Diff":
-                out.append(
-                    (mean(f"{stat}_for", k) - mean(f"{stat}_against", k)).alias(base)
-                )
-            else:
-                out.append(mean(f"{stat}_{kind.lower()}", k).alias(base))
+        for stat, windows in S.ROLLED_STATS.items():
+            for k in windows:
+                out.append(mean(f"{stat}_for", k).alias(f"{stat}ForAvg{k}"))
+                out.append(mean(f"{stat}_against", k).alias(f"{stat}AgainstAvg{k}"))
     if form:
         out += [mean("points", 3).alias("Form3"), mean("points", 5).alias("Form5")]
-    return state.select(*H.TEAM, "MatchDate", *out)
+    state = state.select(*H.TEAM, "MatchDate", *out)
+    if not stats:
+        return state
+    return state.select(
+        "*",
+        *[
+            (F.col(f"GoalsForAvg{k}") - F.col(f"GoalsAgainstAvg{k}")).alias(f"GoalDiffAvg{k}")
+            for k in S.ROLLED_STATS["Goals"]
+        ],
+    )
 
 
 def expected_matches(table: dict[str, int], division="Division"):

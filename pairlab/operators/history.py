@@ -94,9 +94,9 @@ def slot(tail: str, back: int) -> Column:
 
 def mean_of(values: Sequence[Column]) -> Column:
     """Mean of the non-NULL values, NULL when there is none; unrolled so it stays in codegen."""
-    n = sum((F.when(v.isNotNull(), 1).otherwise(0) for v in values), F.lit(0))
-    total = sum((F.coalesce(v.cast("double"), F.lit(0.0)) for v in values), F.lit(0.0))
-    return F.when(n > 0, total / n)
+    n = sum((v.isNotNull().cast("int") for v in values[1:]), values[0].isNotNull().cast("int"))
+    filled = [F.coalesce(v, F.lit(0)).cast("double") for v in values]
+    return F.try_divide(sum(filled[1:], filled[0]), n)
 
 
 def join_sides(

@@ -204,3 +204,352 @@ def elo_features() -> str:
 @oracle
 def label_targets() -> str:
     return f"{oracle_with('matches')} SELECT {MKEY}, {', '.join(label_select())} FROM matches m"
+
+
+YEARS = (*derived.DEVELOPMENT, derived.FINAL)
+FOLDS = (
+    "folds(fold, test_year, fold_role) AS (VALUES "
+    + ", ".join(
+        f"('train_through_{y - 1}_test_{y}', CAST({y} AS BIGINT), "
+        f"'{'historical_final' if y == derived.FINAL else 'development'}')"
+        for y in YEARS
+    )
+    + ")"
+)
+TAGGED = (
+    FOLDS
+    + ", tagged AS (SELECT f.*, m.*, CASE WHEN m.SeasonStartYear = f.test_year THEN 'test' ELSE 'train' END AS part"
+    " FROM matches m JOIN folds f ON m.SeasonStartYear <= f.test_year)"
+)
+PRIOR = (
+    "prior AS (SELECT fold, "
+    + ", ".join(
+        f"avg(CAST(FTR = '{c}' AS DOUBLE)) AS {p}"
+        for c, p in zip(S.CLASSES, S.PROBABILITIES, strict=True)
+    )
+    + " FROM tagged WHERE part = 'train' GROUP BY fold)"
+)
+# market rows with the two validity flags; AvgCH is never NULL and AvgCD may be
+FLAGGED = (
+    "flagged AS (SELECT *, (AvgCH IS NULL OR AvgCD IS NULL OR AvgCA IS NULL) AS incomplete, "
+    "coalesce(AvgCH <= 1 OR AvgCD <= 1 OR AvgCA <= 1, false) AND NOT (AvgCH IS NULL OR AvgCD IS NULL OR AvgCA IS NULL) AS bad FROM market)"
+)
+DEVIG = (
+    FLAGGED
+    + ", devig AS (SELECT MatchDate, Division, HomeTeam, AwayTeam, "
+    + ", ".join(
+        f"(1 / {o}) / (1 / AvgCH + 1 / AvgCD + 1 / AvgCA) AS {p}"
+        for o, p in zip(("AvgCH", "AvgCD", "AvgCA"), S.PROBABILITIES, strict=True)
+    )
+    + ", 1 / AvgCH + 1 / AvgCD + 1 / AvgCA AS market_overround FROM flagged WHERE NOT incomplete AND NOT bad)"
+)
+PRED_COLUMNS = "fold, fold_role, MatchDate, Division, HomeTeam, AwayTeam, label"
+PREDICTIONS = f"""{TAGGED}, {PRIOR}, {DEVIG},
+covered AS (SELECT t.fold, t.fold_role, t.MatchDate, t.Division, t.HomeTeam, t.AwayTeam, t.FTR AS label,
+  d.probability_home AS mh, d.probability_draw AS md, d.probability_away AS ma
+  FROM tagged t JOIN devig d ON t.MatchDate = d.MatchDate AND t.Division = d.Division AND t.HomeTeam = d.HomeTeam AND t.AwayTeam = d.AwayTeam
+  WHERE t.part = 'test'),
+predictions AS (
+  SELECT {PRED_COLUMNS}, 'market' AS model, mh AS h, md AS d, ma AS a FROM covered
+  UNION ALL SELECT {PRED_COLUMNS}, 'uniform', 1 / {dbl('3')}, 1 / {dbl('3')}, 1 / {dbl('3')} FROM covered
+  UNION ALL SELECT c.fold, c.fold_role, MatchDate, Division, HomeTeam, AwayTeam, label, 'training_prior', probability_home, probability_draw, probability_away
+    FROM covered c JOIN prior p ON p.fold = c.fold),
+scored AS (SELECT *, -ln(greatest(CASE label WHEN 'H' THEN h WHEN 'D' THEN d ELSE a END, {dbl('1e-15')})) AS ll,
+  (h - CAST(label = 'H' AS DOUBLE)) ** 2 + (d - CAST(label = 'D' AS DOUBLE)) ** 2 + (a - CAST(label = 'A' AS DOUBLE)) ** 2 AS bs,
+  greatest(h, d, a) AS conf,
+  CAST(label = CASE WHEN h = greatest(h, d, a) THEN 'H' WHEN d = greatest(h, d, a) THEN 'D' ELSE 'A' END AS DOUBLE) AS hit
+  FROM predictions),
+binned AS (SELECT *, least(9, {' + '.join(f"CAST(conf > {dbl(repr(e))} AS INT)" for e in
+           [i * 0.1 for i in range(1, 11)])}) AS bin FROM scored),
+bins AS (SELECT fold, fold_role, model, bin, count(*) AS n, avg(hit) AS accuracy, avg(conf) AS mean_confidence FROM binned GROUP BY ALL),
+sizes AS (SELECT fold, model, sum(n) AS total FROM bins GROUP BY ALL),
+eces AS (SELECT b.fold, b.model, sum(n / total * abs(accuracy - mean_confidence)) AS ece
+  FROM bins b JOIN sizes s ON b.fold = s.fold AND b.model = s.model GROUP BY ALL),
+fm AS (SELECT s.fold, s.fold_role, s.model, count(*) AS n_samples, avg(ll) AS log_loss, avg(bs) AS brier_score, any_value(ece) AS ece
+  FROM scored s JOIN eces e ON s.fold = e.fold AND s.model = e.model GROUP BY s.fold, s.fold_role, s.model)"""
+DATE = "strftime({0}, '%Y-%m-%d') AS {0}"
+
+
+@oracle
+def canonical_rows() -> str:
+    text = "trim(Date)"
+    short = (
+        f"CASE WHEN CAST(substr({text}, 7, 2) AS INT) >= 69 THEN '19' ELSE '20' END || substr({text}, 7, 2)"
+    )
+    date = (
+        f"CASE WHEN substr({text}, 5, 1) = '-' THEN {text} WHEN length({text}) = 10 "
+        f"THEN substr({text}, 7, 4) || '-' || substr({text}, 4, 2) || '-' || substr({text}, 1, 2) "
+        f"ELSE {short} || '-' || substr({text}, 4, 2) || '-' || substr({text}, 1, 2) END"
+    )
+    names = {"FTHome": "FTHG", "FTAway": "FTAG", **{c: a for a, c in S.SOURCE_ALIASES.items()}}
+    counts = [
+        f"CAST({'AS_' if names[c] == 'AS' else names[c]} AS BIGINT) AS {c}" for c in S.COUNT_COLUMNS
+    ]
+    return (
+        f"{oracle_with('raw_csv')} SELECT {date} AS MatchDate, CAST(substr(Season, 1, 4) AS BIGINT) AS SeasonStartYear, "
+        f"Div AS Division, trim(HomeTeam) AS HomeTeam, trim(AwayTeam) AS AwayTeam, FTR, {', '.join(counts)} FROM raw_csv"
+    )
+
+
+@oracle
+def malformed_rows() -> str:
+    return f"""{oracle_with('matches')},
+r AS (SELECT *, game_id % 5 = 0 AS b_date, game_id % 7 <= 1 AS b_season, game_id % 11 = 0 AS b_home, game_id % 13 = 0 AS b_away,
+  concat_ws('|', CASE WHEN game_id % 5 = 0 THEN NULL ELSE strftime(MatchDate, '%Y-%m-%d') END, Division, HomeTeam, AwayTeam) AS txt FROM matches),
+u AS (SELECT 'MatchDate' AS issue, txt FROM r WHERE b_date UNION ALL SELECT 'SeasonStartYear', txt FROM r WHERE b_season
+  UNION ALL SELECT 'FTHome', txt FROM r WHERE b_home UNION ALL SELECT 'FTAway', txt FROM r WHERE b_away),
+n AS (SELECT *, row_number() OVER (PARTITION BY issue ORDER BY txt) AS k FROM u)
+SELECT issue, count(*) AS bad_rows, string_agg(CASE WHEN k <= 5 THEN txt END, ',' ORDER BY txt) AS preview,
+  CAST(greatest(count(*) - 5, 0) AS BIGINT) AS more FROM n GROUP BY issue"""
+
+
+@oracle
+def canonical_audit() -> str:
+    return f"""{oracle_with('matches')},
+d AS (SELECT count(*) AS dup FROM (SELECT 1 FROM matches GROUP BY MatchDate, Division, HomeTeam, AwayTeam HAVING count(*) > 1)),
+c AS (SELECT count(*) AS n, count(DISTINCT Division) AS nd, count(DISTINCT SeasonStartYear) AS ns,
+  CAST(sum((MatchDate IS NULL)::INT + (Division IS NULL)::INT + (HomeTeam IS NULL)::INT + (AwayTeam IS NULL)::INT) AS BIGINT) AS nk,
+  count(*) FILTER (FTR NOT IN ('H', 'D', 'A') OR FTR IS NULL) AS bad_ftr, count(*) FILTER (MatchDate IS NULL) AS bad_date,
+  count(*) FILTER (HomeTeam = AwayTeam) AS same FROM matches)
+SELECT n AS output_row_count, nd AS number_of_divisions, ns AS number_of_seasons, nk AS null_natural_key_cells,
+  bad_ftr AS invalid_target_labels, bad_date AS invalid_dates, same AS invalid_home_away_rows, dup AS duplicate_natural_keys,
+  n AS input_row_count, CAST(nk = 0 AS INT) AS deterministic_ordering, 1 AS rows_preserved,
+  concat_ws('; ', CASE WHEN dup > 0 THEN dup || ' duplicate natural keys' END, CASE WHEN same > 0 THEN same || ' rows have identical home and away teams' END) AS issues,
+  '' AS missing_required_columns, CAST(dup = 0 AND nk = 0 AND bad_ftr = 0 AND bad_date = 0 AND same = 0 AS INT) AS passed
+FROM c, d"""
+
+
+@oracle
+def canonical_issue_counts() -> str:
+    negative = " + ".join(f"({c} < 0)::INT" for c in S.COUNT_COLUMNS[1:])
+    return f"""{oracle_with('matches')},
+f AS (SELECT CASE WHEN game_id % 17 = 0 THEN NULL ELSE MatchDate END AS d, SeasonStartYear,
+  CASE WHEN game_id % 19 = 0 THEN ' ' ELSE Division END AS v, HomeTeam AS h, CASE WHEN game_id % 23 = 0 THEN HomeTeam ELSE AwayTeam END AS a,
+  CASE WHEN game_id % 29 = 0 THEN 'X' ELSE FTR END AS r, CASE WHEN game_id % 31 = 0 THEN -1 ELSE FTHome END AS g,
+  coalesce({' + '.join(f"coalesce(({c} < 0)::INT, 0)" for c in S.COUNT_COLUMNS[1:])}, 0) AS neg FROM matches),
+k AS (SELECT count(*) AS n FROM f GROUP BY d, v, h, a HAVING count(*) > 1)
+SELECT count(*) AS row_count, count(*) FILTER (d IS NULL) AS null_dates, count(*) FILTER (SeasonStartYear IS NULL) AS null_seasons,
+  count(*) FILTER (trim(v) = '' OR trim(h) = '' OR trim(a) = '') AS blank_strings, count(*) FILTER (h = a) AS same_team_rows,
+  count(*) FILTER (r NOT IN ('H', 'D', 'A')) AS invalid_results,
+  CAST(sum(neg + coalesce((g < 0)::INT, 0)) AS BIGINT) AS negative_counts, CAST(0 AS BIGINT) AS fractional_counts,
+  count(*) FILTER (d IS NULL) AS null_key_cells, (SELECT count(*) FROM k) AS duplicate_keys, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM k) AS duplicate_rows
+FROM f"""
+
+
+@oracle
+def natural_key_check() -> str:
+    return "SELECT l_orderkey, l_linenumber, count(*) AS copies FROM lineitem GROUP BY ALL HAVING count(*) > 1"
+
+
+@oracle
+def target_check() -> str:
+    zero = "CAST(count(*) FILTER ({}) AS BIGINT) AS {}"
+    hot = [f"(CASE WHEN FTR = '{c}' THEN 1 ELSE 0 END)" for c in S.CLASSES]
+    return f"{oracle_with('matches')} SELECT " + ", ".join(
+        [
+            zero.format("FTR IS NULL", "FTR_null"),
+            zero.format("FTR NOT IN ('H', 'D', 'A')", "FTR_domain"),
+            zero.format("FTR IS NULL", "target_1x2_null"),
+            zero.format("FTR NOT IN ('H', 'D', 'A')", "target_1x2_domain"),
+            *[zero.format("FTR IS NULL", f"{c}_null") for c in S.TARGETS[1:4]],
+            *[zero.format("FTR IS NULL", f"{c}_domain") for c in S.TARGETS[1:4]],
+            zero.format(f"{' + '.join(hot)} <> 1", "target_home_win_sum"),
+        ]
+    ) + " FROM matches"
+
+
+@oracle
+def feature_check() -> str:
+    zero = "CAST(0 AS BIGINT) AS "
+    return f"""{oracle_with('matches')} SELECT count(*) AS row_count,
+  count(*) FILTER (MatchDate IS NULL OR Division IS NULL OR HomeTeam IS NULL OR AwayTeam IS NULL) AS null_keys,
+  count(*) FILTER (SeasonStartYear IS NULL) AS null_seasons, count(*) FILTER (FTR NOT IN ('H', 'D', 'A')) AS invalid_results,
+  {', '.join(zero + c for c in ('target_1x2_differs', 'one_hot_differs', 'invalid_over_under', 'infinite_cells', 'nan_cells'))}
+  FROM matches"""
+
+
+@oracle
+def column_roles() -> str:
+    roles = {
+        "label": ["FTR", *S.TARGETS],
+        "metadata": ["MatchDate", "SeasonStartYear", "Division", "HomeTeam", "AwayTeam"],
+        "same_match": [*S.COUNT_COLUMNS],
+        "unknown": ["game_id", "home_club_id", "away_club_id", "nat", "q", "n", "price"],
+    }
+    made = {c: "FTR" for c in S.TARGETS[:4]} | {"target_ou25": "FTHome + FTAway"}
+    parts = [
+        f"SELECT '{c}' AS \"column\", '{r}' AS role, count({made.get(c, c)}) AS present_values FROM matches"
+        for r, columns in roles.items()
+        for c in columns
+    ]
+    return f"{oracle_with('matches')} {' UNION ALL '.join(parts)}"
+
+
+@oracle
+def sides_unpivot() -> str:
+    return f"""{oracle_with('matches')}, {sides_sql()}
+SELECT Division, SeasonStartYear, team, count(*) AS matches, sum(points) AS points,
+  CAST(sum(Goals_for) AS BIGINT) AS goals_for, CAST(sum(Goals_against) AS BIGINT) AS goals_against FROM sides GROUP BY ALL"""
+
+
+@oracle
+def fold_assignment() -> str:
+    return f"{oracle_with('matches')}, {TAGGED} SELECT fold, fold_role, part, {KEY} FROM tagged"
+
+
+@oracle
+def fold_bounds() -> str:
+    out = []
+    for part in ("train", "test"):
+        for fn, name in (("min", "start"), ("max", "end")):
+            out.append(
+                f"strftime({fn}(CASE WHEN part = '{part}' THEN MatchDate END), '%Y-%m-%d') AS {part}_{name}_date"
+            )
+        out.append(f"count(*) FILTER (part = '{part}') AS {part}_rows")
+    return (
+        f"{oracle_with('matches')}, {TAGGED} SELECT fold, test_year, fold_role, {', '.join(out)}"
+        " FROM tagged GROUP BY fold, test_year, fold_role"
+    )
+
+
+@oracle
+def inner_time_split() -> str:
+    return f"""{oracle_with('matches')}, {TAGGED}, tr AS (SELECT * FROM tagged WHERE part = 'train'),
+dd AS (SELECT fold, MatchDate, row_number() OVER (PARTITION BY fold ORDER BY MatchDate DESC) AS back, count(*) OVER (PARTITION BY fold) AS n
+  FROM (SELECT DISTINCT fold, MatchDate FROM tr)),
+bo AS (SELECT fold, min(MatchDate) AS start FROM dd WHERE back <= least(greatest(1, floor(n * {dbl('0.1')})), n - 1) GROUP BY fold)
+SELECT tr.fold, CASE WHEN MatchDate < start THEN 'fit' ELSE 'validation' END AS inner_part, count(*) AS "rows",
+  strftime(min(MatchDate), '%Y-%m-%d') AS first_date, strftime(max(MatchDate), '%Y-%m-%d') AS last_date
+FROM tr JOIN bo ON bo.fold = tr.fold GROUP BY 1, 2"""
+
+
+@oracle
+def date_batches() -> str:
+    return f"{oracle_with('matches')} SELECT dense_rank() OVER (ORDER BY MatchDate) AS batch, {MKEY} FROM matches m"
+
+
+@oracle
+def training_prior() -> str:
+    return (
+        f"{oracle_with('matches')}, {TAGGED}, {PRIOR} SELECT fold, "
+        + ", ".join(rnd(p, p) for p in S.PROBABILITIES)
+        + " FROM prior"
+    )
+
+
+def _devig_select(prefix: str = "") -> str:
+    return ", ".join(rnd(prefix + p, p) for p in (*S.PROBABILITIES, "market_overround"))
+
+
+@oracle
+def devig_market() -> str:
+    return f"{oracle_with('market')}, {DEVIG} SELECT {KEY}, {_devig_select()} FROM devig"
+
+
+MARKET_COUNTS = """count(*) AS supplied_market_rows, count(*) FILTER (NOT incomplete AND NOT bad) AS valid_market_rows,
+  count(*) FILTER (incomplete) AS incomplete_odds_rows, count(*) FILTER (bad) AS invalid_odds_rows"""
+MARKET_DUPES = (
+    "(SELECT count(*) FROM (SELECT 1 FROM flagged GROUP BY MatchDate, Division, HomeTeam, AwayTeam"
+    " HAVING count(*) > 1)) AS duplicate_market_keys"
+)
+
+
+@oracle
+def market_audit() -> str:
+    return (
+        f"{oracle_with('market')}, {FLAGGED} SELECT {MARKET_COUNTS}, CAST(0 AS BIGINT) AS invalid_key_rows, "
+        f"{MARKET_DUPES} FROM flagged"
+    )
+
+
+@oracle
+def market_alignment() -> str:
+    return (
+        f"{oracle_with('market')}, {DEVIG} SELECT {MKEY}, m.SeasonStartYear, {_devig_select('d.')} FROM matches m JOIN devig d"
+        " USING (MatchDate, Division, HomeTeam, AwayTeam)"
+    )
+
+
+@oracle
+def market_coverage() -> str:
+    return f"""{oracle_with('market')}, {DEVIG},
+j AS (SELECT m.game_id IS NOT NULL AS inm, d.market_overround IS NOT NULL AS ind FROM matches m FULL JOIN devig d
+  ON m.MatchDate = d.MatchDate AND m.Division = d.Division AND m.HomeTeam = d.HomeTeam AND m.AwayTeam = d.AwayTeam),
+c AS (SELECT count(*) FILTER (inm) AS candidate_match_rows, count(*) FILTER (NOT ind) AS unmatched_match_keys,
+  count(*) FILTER (NOT inm) AS unmatched_market_keys, count(*) FILTER (inm AND ind) AS aligned_rows FROM j),
+a AS (SELECT {MARKET_COUNTS}, {MARKET_DUPES} FROM flagged)
+SELECT *, round({dbl('100')} * aligned_rows / candidate_match_rows, 6) AS coverage_percentage FROM c, a"""
+
+
+@oracle
+def coverage_slices() -> str:
+    base = "count(*) AS candidate_match_rows, count(d.market_overround) AS aligned_rows, round({0} * count(d.market_overround) / count(*), 6) AS coverage_percentage FROM matches m LEFT JOIN devig d USING (MatchDate, Division, HomeTeam, AwayTeam)".format(dbl("100"))
+    return (
+        f"{oracle_with('market')}, {DEVIG} SELECT 'Division' AS kind, Division AS name, {base} GROUP BY Division"
+        f" UNION ALL SELECT 'SeasonStartYear', CAST(SeasonStartYear AS VARCHAR), {base} GROUP BY SeasonStartYear"
+        f" UNION ALL SELECT 'all', 'all', {base}"
+    )
+
+
+@oracle
+def probability_sanity() -> str:
+    return f"""{oracle_with('market')}, {DEVIG},
+s AS (SELECT Division, day(MatchDate) = 1 AS nan, CASE WHEN day(MatchDate) = 2 THEN probability_home + 1 ELSE probability_home END AS h,
+  probability_draw AS d, probability_away AS a FROM devig)
+SELECT Division, count(*) AS "rows", count(*) FILTER (nan) AS not_finite,
+  count(*) FILTER (NOT nan AND (h > 1 OR h < 0)) AS outside_unit_interval,
+  count(*) FILTER (NOT nan AND abs(h + d + a - 1) > 1e-8) AS not_summing_to_one FROM s GROUP BY Division"""
+
+
+@oracle
+def probability_metrics() -> str:
+    return (
+        f"{oracle_with('market')}, {PREDICTIONS} SELECT fold, model, n_samples, {rnd('log_loss', 'log_loss')}, "
+        f"{rnd('brier_score', 'brier_score')}, {rnd('ece', 'ece')} FROM fm"
+    )
+
+
+@oracle
+def calibration_bins() -> str:
+    return (
+        f"{oracle_with('market')}, {PREDICTIONS} SELECT fold, model, bin, n, {rnd('accuracy', 'accuracy')}, "
+        f"{rnd('mean_confidence', 'mean_confidence')} FROM bins"
+    )
+
+
+@oracle
+def weighted_views() -> str:
+    weighted = ", ".join(rnd(f"sum({m} * n_samples) / sum(n_samples)", m) for m in ("log_loss", "brier_score", "ece"))
+    return f"""{oracle_with('market')}, {PREDICTIONS},
+v AS (SELECT *, fold_role AS view FROM fm UNION ALL SELECT *, 'all_historical_diagnostic' FROM fm)
+SELECT model, view, count(*) AS fold_count, CAST(sum(n_samples) AS BIGINT) AS n_samples, {weighted} FROM v GROUP BY model, view"""
+
+
+@oracle
+def gate() -> str:
+    dev = "CASE WHEN fold_role = 'development' THEN n_samples END"
+    fin = "CASE WHEN fold_role <> 'development' THEN n_samples END"
+    return f"""{oracle_with('market')}, {PREDICTIONS},
+c AS (SELECT m.fold, m.fold_role, m.model AS candidate, m.n_samples, b.log_loss - m.log_loss AS gain
+  FROM fm m JOIN fm b ON b.fold = m.fold AND b.model = 'training_prior' WHERE m.model <> 'training_prior'),
+o AS (SELECT candidate, count(*) FILTER (fold_role = 'development') AS development_fold_count,
+  sum(gain * {dev}) / sum({dev}) AS gain, count(*) FILTER (fold_role = 'development' AND gain > 0) AS improving_fold_count,
+  sum(gain * {fin}) / sum({fin}) AS final_gain FROM c GROUP BY candidate)
+SELECT candidate, development_fold_count, {rnd('gain', 'candidate_improvement_log_loss')}, improving_fold_count,
+  {rnd('final_gain', 'historical_final_improvement_log_loss')},
+  CAST(gain >= 0.005 AND improving_fold_count >= 2 AS INT) AS passed,
+  CASE WHEN gain >= 0.005 AND improving_fold_count >= 2 THEN 'passed' ELSE 'failed' END AS verdict FROM o"""
+
+
+@oracle
+def best_candidate() -> str:
+    return f"""{oracle_with('market')}, {PREDICTIONS},
+p AS (SELECT model, sum(log_loss * n_samples) / sum(n_samples) AS ll FROM fm WHERE fold_role = 'development' GROUP BY model)
+SELECT model AS selected, {rnd('ll', 'development_log_loss')} FROM p ORDER BY ll, model LIMIT 1"""
+
+
+@oracle
+def identical_rows() -> str:
+    return f"""{oracle_with('market')}, {TAGGED}, {DEVIG}
+SELECT t.fold, CAST(1 AS BIGINT) AS models, CAST(1 AS BIGINT) AS "rows", count(*) AS count
+FROM tagged t ANTI JOIN devig d USING (MatchDate, Division, HomeTeam, AwayTeam) WHERE t.part = 'test' GROUP BY t.fold"""

@@ -12,7 +12,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab import schema as S
-from pairlab.operators import elo, features, form, labels
+from pairlab.operators import (
+    baselines,
+    canonical,
+    elo,
+    features,
+    folds,
+    form,
+    guards,
+    labels,
+    market,
+    metrics,
+)
 from pairlab.plans import derived
 from pairlab.plans.derived import Tables
 
@@ -71,3 +82,241 @@ def elo_features(spark, sf):
 @query
 def label_targets(spark, sf):
     return plain(labels.add_target_labels(Tables(spark, sf).canonical).select(*S.KEY, *S.TARGETS))
+
+
+YEARS = (*derived.DEVELOPMENT, derived.FINAL)
+
+
+def labelled(t: Tables) -> DataFrame:
+    return labels.add_target_labels(t.canonical).select(*S.METADATA, *S.TARGETS)
+
+
+def tagged(t: Tables, df: DataFrame | None = None) -> DataFrame:
+    return folds.expanding_folds(df if df is not None else labelled(t), YEARS, derived.FINAL)
+
+
+def simple_predictions(t: Tables) -> DataFrame:
+    """Uniform, prior and market probabilities on the market-covered test rows."""
+    rows = tagged(t)
+    covered = market.closing_market_probabilities(market.valid_market(market.market_rows(t.market)))
+    odds = (
+        baselines.test_rows(rows)
+        .join(covered, list(S.KEY))
+        .withColumn("model", F.lit("market"))
+        .select(*baselines.PREDICTION)
+    )
+    plainer = baselines.uniform_predictions(rows).unionByName(baselines.prior_predictions(rows))
+    return plainer.join(covered.select(*S.KEY), list(S.KEY), "left_semi").unionByName(odds)
+
+
+@query
+def canonical_rows(spark, sf):
+    """Text rows to canonical rows: aliases, dates, seasons, counts, trimming."""
+    raw = Tables(spark, sf).raw_csv.withColumnRenamed("AS_", "AS")
+    return plain(canonical.normalise(raw).drop("_issues"))
+
+
+@query
+def malformed_rows(spark, sf):
+    """Counts and previews of malformed values: dates, seasons and counts made unusable."""
+    t = Tables(spark, sf)
+    raw = t.matches.selectExpr(
+        "Division AS Div",
+        "CASE WHEN game_id % 5 = 0 THEN concat('day ', cast(game_id AS string)) ELSE cast(MatchDate AS string) END AS Date",
+        "CASE WHEN game_id % 7 = 0 THEN '2324' WHEN game_id % 7 = 1 THEN '1999-2001' ELSE cast(SeasonStartYear AS string) END AS Season",
+        "HomeTeam",
+        "AwayTeam",
+        "FTR",
+        "CASE WHEN game_id % 11 = 0 THEN '1.5' ELSE cast(FTHome AS string) END AS FTHG",
+        "CASE WHEN game_id % 13 = 0 THEN 'x' ELSE cast(FTAway AS string) END AS FTAG",
+        *S.MATCH_STATS,
+    )
+    out = canonical.bad_row_preview(canonical.normalise(raw))
+    return out.withColumn("preview", F.array_join("preview", ","))
+
+
+@query
+def canonical_audit(spark, sf):
+    audit = canonical.audit_canonical(Tables(spark, sf).canonical)
+    joined = [
+        F.array_join(c, "; ").alias(c) for c in ("issues", "missing_required_columns")
+    ]
+    rest = [c for c in audit.columns if c not in ("issues", "missing_required_columns")]
+    return plain(audit.select(*rest, *joined))
+
+
+@query
+def canonical_issue_counts(spark, sf):
+    """The canonical rules counted over rows with seeded faults."""
+    t = Tables(spark, sf)
+    faulty = t.matches.selectExpr(
+        "CASE WHEN game_id % 17 = 0 THEN NULL ELSE MatchDate END AS MatchDate",
+        "SeasonStartYear",
+        "CASE WHEN game_id % 19 = 0 THEN ' ' ELSE Division END AS Division",
+        "HomeTeam",
+        "CASE WHEN game_id % 23 = 0 THEN HomeTeam ELSE AwayTeam END AS AwayTeam",
+        "CASE WHEN game_id % 29 = 0 THEN 'X' ELSE FTR END AS FTR",
+        "CASE WHEN game_id % 31 = 0 THEN -1 ELSE FTHome END AS FTHome",
+        "FTAway",
+        *S.MATCH_STATS,
+    )
+    return canonical.canonical_issues(faulty)
+
+
+@query
+def natural_key_check(spark, sf):
+    """Order lines whose (order, line number) repeats."""
+    lines = Tables(spark, sf).base("lineitem")
+    return canonical.duplicate_keys(lines, ["l_orderkey", "l_linenumber"])
+
+
+@query
+def target_check(spark, sf):
+    return guards.target_issues(labelled(Tables(spark, sf)), ("FTR", *S.TARGETS[:4]))
+
+
+@query
+def feature_check(spark, sf):
+    """The closed feature-table rules over the complete feature table."""
+    return guards.feature_issues(features.build_feature_table(Tables(spark, sf).canonical, EXPECTED))
+
+
+@query
+def column_roles(spark, sf):
+    """Role and present values of every column of the match table with its labels."""
+    t = Tables(spark, sf)
+    return guards.column_roles(labels.add_target_labels(t.matches))
+
+
+@query
+def sides_unpivot(spark, sf):
+    """Goals per team and season from each team's own perspective."""
+    rows = form.team_sides(Tables(spark, sf).canonical)
+    return plain(
+        rows.groupBy("Division", "SeasonStartYear", "team").agg(
+            F.count(F.lit(1)).alias("matches"),
+            F.sum("points").alias("points"),
+            F.sum("Goals_for").alias("goals_for"),
+            F.sum("Goals_against").alias("goals_against"),
+        )
+    )
+
+
+@query
+def fold_assignment(spark, sf):
+    rows = tagged(Tables(spark, sf))
+    return plain(rows.select("fold", "fold_role", "part", *S.KEY))
+
+
+@query
+def fold_bounds(spark, sf):
+    return plain(folds.fold_bounds(tagged(Tables(spark, sf))))
+
+
+@query
+def inner_time_split(spark, sf):
+    train = tagged(Tables(spark, sf)).where(F.col("part") == "train")
+    out = folds.inner_time_split(train)
+    return plain(
+        out.groupBy("fold", "inner_part").agg(
+            F.count(F.lit(1)).alias("rows"),
+            F.min("MatchDate").alias("first_date"),
+            F.max("MatchDate").alias("last_date"),
+        )
+    )
+
+
+@query
+def date_batches(spark, sf):
+    return plain(folds.date_batches(Tables(spark, sf).canonical).select("batch", *S.KEY))
+
+
+@query
+def training_prior(spark, sf):
+    return plain(baselines.training_prior(tagged(Tables(spark, sf))))
+
+
+@query
+def devig_market(spark, sf):
+    rows = market.valid_market(market.market_rows(Tables(spark, sf).market))
+    return plain(market.closing_market_probabilities(rows))
+
+
+@query
+def market_audit(spark, sf):
+    return market.market_audit(market.market_rows(Tables(spark, sf).market))
+
+
+@query
+def market_alignment(spark, sf):
+    t = Tables(spark, sf)
+    return plain(market.align_closing_market(t.canonical, t.market))
+
+
+@query
+def market_coverage(spark, sf):
+    t = Tables(spark, sf)
+    return plain(market.market_coverage(t.canonical, t.market))
+
+
+@query
+def coverage_slices(spark, sf):
+    t = Tables(spark, sf)
+    keys = market.valid_market(market.market_rows(t.market))
+    return plain(market.coverage_slices(t.canonical, keys))
+
+
+@query
+def probability_sanity(spark, sf):
+    """Sanity counts over market probabilities, some of them spoiled."""
+    t = Tables(spark, sf)
+    rows = market.closing_market_probabilities(
+        market.valid_market(market.market_rows(t.market))
+    ).withColumn(
+        "probability_home",
+        F.when(F.dayofmonth("MatchDate") == 1, F.lit(float("nan")))
+        .when(F.dayofmonth("MatchDate") == 2, F.col("probability_home") + 1.0)
+        .otherwise(F.col("probability_home")),
+    )
+    return metrics.probability_sanity(rows, ["Division"])
+
+
+@query
+def probability_metrics(spark, sf):
+    return plain(metrics.evaluate(simple_predictions(Tables(spark, sf))))
+
+
+@query
+def calibration_bins(spark, sf):
+    return plain(metrics.calibration_bins(simple_predictions(Tables(spark, sf))))
+
+
+def _fold_metrics(spark, sf):
+    return metrics.evaluate(simple_predictions(Tables(spark, sf)), ["fold", "fold_role", "model"])
+
+
+@query
+def weighted_views(spark, sf):
+    return plain(metrics.weighted_views(_fold_metrics(spark, sf)))
+
+
+@query
+def gate(spark, sf):
+    compared = metrics.compare_models(_fold_metrics(spark, sf), "training_prior")
+    return plain(metrics.gate(compared))
+
+
+@query
+def best_candidate(spark, sf):
+    return plain(metrics.best_candidate(_fold_metrics(spark, sf)))
+
+
+@query
+def identical_rows(spark, sf):
+    """Rows of a fold that not every model scored: here the market-less test rows."""
+    t = Tables(spark, sf)
+    rows = tagged(t)
+    uncut = baselines.uniform_predictions(rows).unionByName(
+        simple_predictions(t).where(F.col("model") == "market")
+    )
+    return plain(metrics.rows_not_shared(uncut).groupBy("fold", "models", "rows").count())
