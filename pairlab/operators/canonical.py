@@ -69,7 +69,7 @@ def normalise(
     season_code: str | None = None,
     context_column: str | None = None,
 ) -> DataFrame:
-    """Typed canonical columns plus ``_issues``, the list of what is wrong with each row.
+    """Typed canonical columns plus ``_issues``, one entry per rule, NULL where the row obeys it.
 
     ``context_column`` names a column that holds the season of the file a row came from.
     Nothing is raised here: malformed values become NULL and are listed.
@@ -115,27 +115,27 @@ def normalise(
     counts = {c: F.when(whole[c], F.col(c)).try_cast("bigint") for c in S.COUNT_COLUMNS}
     return parsed.select(
         *[(counts[c] if c in counts else F.col(c)).alias(c) for c in S.CANONICAL],
-        F.array_compact(F.array(*issues)).alias("_issues"),
+        F.array(*issues).alias("_issues"),
     )
 
 
 def bad_row_preview(normal: DataFrame, limit: int = 5) -> DataFrame:
     """Per issue: how many rows show it and the text of the first few."""
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in S.KEY])
-    per_issue = normal.select(F.explode("_issues").alias("issue"), text.alias("row"))
-    counts = per_issue.groupBy("issue").agg(F.count(F.lit(1)).alias("bad_rows"))
+    per_issue = normal.select(F.explode("_issues").alias("issue"), text.alias("row")).where(
+        F.col("issue").isNotNull()
+    )
+    counts = per_issue.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("issue").orderBy("row")
-    few = (
-        per_issue.withColumn("_n", F.row_number().over(first))
-        .where(F.col("_n") <= limit)
-        .groupBy("issue")
-        .agg(F.sort_array(F.collect_list("row")).alias("preview"))
+    few = per_issue.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit)
+    # a union of two small tables; joining them would drag the parsing through join inference
+    both = counts.select("issue", "n", F.lit(None).cast("string").alias("row")).unionByName(
+        few.select("issue", F.lit(None).cast("bigint").alias("n"), "row")
     )
-    return counts.join(few, "issue").select(
-        "issue",
-        "bad_rows",
-        "preview",
-        F.greatest(F.col("bad_rows") - limit, F.lit(0)).cast("bigint").alias("more"),
+    return both.groupBy("issue").agg(
+        F.max("n").alias("bad_rows"),
+        F.sort_array(F.collect_list("row")).alias("preview"),
+        F.greatest(F.max("n") - limit, F.lit(0)).cast("bigint").alias("more"),
     )
 
 
