@@ -122,13 +122,13 @@ def normalise(
 def bad_row_preview(normal: DataFrame, limit: int = 5) -> DataFrame:
     """Per issue: how many rows show it and the text of the first few."""
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in S.KEY])
-    per_issue = normal.select(F.explode("_issues").alias("issue"), text.alias("row")).where(
+    # the outer form keeps the planner from pushing a copy of every parsing rule below the scan
+    per_issue = normal.select(F.explode_outer("_issues").alias("issue"), text.alias("row")).where(
         F.col("issue").isNotNull()
     )
     counts = per_issue.groupBy("issue").agg(F.count(F.lit(1)).alias("n"))
     first = Window.partitionBy("issue").orderBy("row")
     few = per_issue.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit)
-    # a union of two small tables; joining them would drag the parsing through join inference
     both = counts.select("issue", "n", F.lit(None).cast("string").alias("row")).unionByName(
         few.select("issue", F.lit(None).cast("bigint").alias("n"), "row")
     )
