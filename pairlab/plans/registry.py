@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab import schema as S
+from pairlab.functions import names
 from pairlab.operators import (
+    availability,
     baselines,
     canonical,
     elo,
@@ -20,9 +22,11 @@ from pairlab.operators import (
     folds,
     form,
     guards,
+    history,
     labels,
     market,
     metrics,
+    xg,
 )
 from pairlab.plans import derived
 from pairlab.plans.derived import Tables
@@ -320,3 +324,151 @@ def identical_rows(spark, sf):
         simple_predictions(t).where(F.col("model") == "market")
     )
     return plain(metrics.rows_not_shared(uncut).groupBy("fold", "models", "rows").count())
+
+
+# The derived external names normalise to "t 00"; these aliases close the gap to "t00".
+XG_ALIASES = {f"t {i:02d}": f"t{i:02d}" for i in range(12)}
+XG_DIVISIONS = tuple(f"N{i:02d}" for i in range(5))
+
+
+def external(t: Tables, good: bool = False) -> DataFrame:
+    return xg.normalise_external(t.external_xg_good if good else t.external_xg, XG_ALIASES)
+
+
+def aligned_xg(t: Tables, good: bool = False) -> DataFrame:
+    source = t.scored if good else t.matches
+    return xg.align_external_xg(source, external(t, good), XG_ALIASES)
+
+
+@query
+def team_names(spark, sf):
+    """Raw and normalised external names with their number of rows."""
+    t = Tables(spark, sf)
+    name = names.team_name_udf(XG_ALIASES)
+    rows = t.external_xg.select("HomeTeam", name("HomeTeam").alias("normalised"))
+    return rows.groupBy("HomeTeam", "normalised").agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query
+def xg_audit(spark, sf):
+    """External rows audited with spoiled values, repeated keys and a foreign division."""
+    t = Tables(spark, sf)
+    base = t.external_xg.withColumn(
+        "home_xg",
+        F.when(F.dayofmonth("MatchDate") == 3, F.lit(-1.0))
+        .when(F.dayofmonth("MatchDate") == 4, F.lit(None))
+        .otherwise(F.col("home_xg")),
+    )
+    again = base.where(F.dayofmonth("MatchDate") == 5)
+    normal = xg.normalise_external(base.unionByName(again), XG_ALIASES)
+    return plain(xg.external_audit(normal, XG_DIVISIONS[:4]))
+
+
+@query
+def xg_alignment(spark, sf):
+    out = aligned_xg(Tables(spark, sf))
+    return plain(out.drop("_home", "_away"))
+
+
+@query
+def xg_unmatched(spark, sf):
+    """External rows no match claims, when the matches lose one day in ten."""
+    t = Tables(spark, sf)
+    fewer = t.matches.where(F.dayofmonth("MatchDate") % 10 != 0)
+    return plain(xg.unmatched_external(fewer, external(t), XG_ALIASES))
+
+
+@query
+def xg_coverage(spark, sf):
+    return plain(xg.alignment_coverage(aligned_xg(Tables(spark, sf))))
+
+
+@query
+def xg_quality(spark, sf):
+    """The gates on the failing and on the passing external table."""
+    t = Tables(spark, sf)
+    rows = [
+        xg.quality(aligned_xg(t, good)).withColumn("source", F.lit(n))
+        for n, good in (("external_xg", False), ("external_xg_good", True))
+    ]
+    return plain(rows[0].unionByName(rows[1]))
+
+
+@query
+def xg_rolling(spark, sf):
+    aligned = aligned_xg(Tables(spark, sf))
+    return plain(xg.xg_features(aligned, aligned))
+
+
+@query
+def relation_quality(spark, sf):
+    t = Tables(spark, sf)
+    return availability.relation_quality(t.fixtures, t.appearances, t.lineups, t.valuations)
+
+
+@query
+def valuation_asof(spark, sf):
+    """Latest earlier valuation of every player on every day they appear."""
+    t = Tables(spark, sf)
+    asked = t.appearances.join(t.fixtures.select("game_id", "MatchDate"), "game_id")
+    return plain(availability.value_as_of(asked, t.valuations))
+
+
+def _sided(spark, sf, names, make):
+    t = Tables(spark, sf)
+    parts = availability.participation(t.appearances, t.lineups)
+    state = make(t, parts)
+    joined = history.join_sides(t.fixtures.select(*S.KEY, "SeasonStartYear"), state, names)
+    return plain(joined.select(*S.KEY, *availability.side_columns(names)))
+
+
+@query
+def availability_load(spark, sf):
+    return _sided(
+        spark, sf, S.AVAILABILITY_BASE[:6], lambda t, p: availability.load_state(t.fixtures, p)
+    )
+
+
+@query
+def availability_pool(spark, sf):
+    chosen = [c for c in S.AVAILABILITY_BASE if "players_" in c or "minutes_share" in c or c == "avg_player_minutes_5"]
+    chosen = [c for c in chosen if "value" not in c] + ["unique_starters_5"]
+    return _sided(
+        spark, sf, chosen, lambda t, p: availability.pool_state(t.fixtures, p, t.valuations)
+    )
+
+
+@query
+def availability_value(spark, sf):
+    chosen = [c for c in S.AVAILABILITY_BASE if "value" in c]
+    return _sided(
+        spark, sf, chosen, lambda t, p: availability.pool_state(t.fixtures, p, t.valuations)
+    )
+
+
+@query
+def availability_lineup(spark, sf):
+    chosen = [c for c in S.AVAILABILITY_BASE if c.endswith("_last") or c == "avg_starter_changes_5"]
+    return _sided(spark, sf, chosen, lambda t, p: availability.lineup_state(t.fixtures, p))
+
+
+def availability_table(t: Tables) -> DataFrame:
+    return availability.availability_features(t.fixtures, t.appearances, t.lineups, t.valuations)
+
+
+@query
+def availability_features(spark, sf):
+    return plain(availability_table(Tables(spark, sf)))
+
+
+@query
+def availability_scope(spark, sf):
+    """Coverage of matches by fixtures, when a day in ten has no fixture."""
+    t = Tables(spark, sf)
+    fewer = t.fixtures.where(F.dayofmonth("MatchDate") % 10 != 0)
+    return plain(availability.scope_coverage(labelled(t), fewer))
+
+
+@query
+def availability_completeness(spark, sf):
+    return plain(availability.cell_completeness(availability_table(Tables(spark, sf))))
