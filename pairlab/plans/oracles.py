@@ -5,7 +5,7 @@ from __future__ import annotations
 from pairlab import schema as S
 from pairlab.plans import derived
 from pairlab.plans.derived import oracle_with
-from pairlab.plans.registry import EXPECTED
+from pairlab.plans.registry import EXPECTED, POOL_FEATURES
 
 ORACLES: dict[str, object] = {}
 KEY = "strftime(MatchDate, '%Y-%m-%d') AS MatchDate, Division, HomeTeam, AwayTeam"
@@ -553,3 +553,266 @@ def identical_rows() -> str:
     return f"""{oracle_with('market')}, {TAGGED}, {DEVIG}
 SELECT t.fold, CAST(1 AS BIGINT) AS models, CAST(1 AS BIGINT) AS "rows", count(*) AS count
 FROM tagged t ANTI JOIN devig d USING (MatchDate, Division, HomeTeam, AwayTeam) WHERE t.part = 'test' GROUP BY t.fold"""
+
+
+def clean_name(x: str) -> str:
+    """The derived names: accent, hyphen and alias steps end at t00 .. t11."""
+    return f"regexp_replace(lower(strip_accents({x})), '[- ]+', '')"
+
+
+XG_JOIN = """x AS (SELECT Division, MatchDate, {h} AS hn, {a} AS an, home_xg, away_xg FROM {src}),
+al AS (SELECT m.MatchDate, m.Division, m.HomeTeam, m.AwayTeam, m.SeasonStartYear, m.FTHome, m.FTAway, x.home_xg, x.away_xg,
+  CAST(x.hn IS NOT NULL AS INT) AS aligned
+  FROM {base} m LEFT JOIN x ON x.MatchDate = m.MatchDate AND x.Division = m.Division AND x.hn = lower(m.HomeTeam) AND x.an = lower(m.AwayTeam)
+  WHERE m.Division IN (SELECT DISTINCT Division FROM {src}))"""
+
+
+def xg_join(src: str = "external_xg", base: str = "matches") -> str:
+    return XG_JOIN.format(h=clean_name("HomeTeam"), a=clean_name("AwayTeam"), src=src, base=base)
+
+
+@oracle
+def team_names() -> str:
+    return (
+        f"{oracle_with('external_xg')} SELECT HomeTeam, {clean_name('HomeTeam')} AS normalised, count(*) AS \"rows\""
+        " FROM external_xg GROUP BY 1, 2"
+    )
+
+
+@oracle
+def xg_audit() -> str:
+    return f"""{oracle_with('external_xg')},
+b AS (SELECT Division, MatchDate, HomeTeam, AwayTeam, CASE WHEN day(MatchDate) = 3 THEN -1 WHEN day(MatchDate) = 4 THEN NULL ELSE home_xg END AS hx, away_xg AS ax FROM external_xg),
+u AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE day(MatchDate) = 5),
+w AS (SELECT *, count(*) OVER (PARTITION BY MatchDate, Division, HomeTeam, AwayTeam) AS n, hx IS NULL OR hx < 0 AS bh, Division = 'N04' AS fo FROM u)
+SELECT count(*) AS supplied_rows, count(*) FILTER (NOT bh AND NOT fo AND n = 1 AND HomeTeam <> AwayTeam) AS valid_rows,
+  count(*) FILTER (HomeTeam = AwayTeam) AS invalid_key_rows, count(*) FILTER (bh) AS invalid_xg_rows, count(*) FILTER (bh) AS invalid_xg_values,
+  count(*) FILTER (fo) AS unsupported_division_rows,
+  (SELECT count(*) FROM (SELECT 1 FROM u GROUP BY MatchDate, Division, HomeTeam, AwayTeam HAVING count(*) > 1)) AS duplicate_keys,
+  count(*) FILTER (n > 1) AS duplicate_rows, 0 AS passed FROM w"""
+
+
+@oracle
+def xg_alignment() -> str:
+    return f"{oracle_with('external_xg')}, {xg_join()} SELECT {KEY}, SeasonStartYear, FTHome, FTAway, home_xg, away_xg, aligned FROM al"
+
+
+@oracle
+def xg_unmatched() -> str:
+    return f"""{oracle_with('external_xg')}, x AS (SELECT *, {clean_name('HomeTeam')} AS hn, {clean_name('AwayTeam')} AS an FROM external_xg)
+SELECT {DATE.format('MatchDate')}, Division, hn AS HomeTeam, an AS AwayTeam, home_xg, away_xg FROM x WHERE day(MatchDate) % 10 = 0"""
+
+
+@oracle
+def xg_coverage() -> str:
+    out = "count(*) AS canonical_rows, CAST(sum(aligned) AS BIGINT) AS aligned_rows, round(CAST(sum(aligned) AS DOUBLE) / count(*), 6) AS coverage"
+    return (
+        f"{oracle_with('external_xg')}, {xg_join()} SELECT Division, SeasonStartYear, {out} FROM al"
+        " GROUP BY GROUPING SETS ((Division), (Division, SeasonStartYear), (SeasonStartYear), ())"
+    )
+
+
+def _quality_sql(src: str, base: str, tag: str) -> str:
+    text = xg_join(src, base)
+    for name in ("x", "al"):
+        text = text.replace(f"{name} AS (", f"{name}_{tag} AS (").replace(f"JOIN {name} ON", f"JOIN {name}_{tag} ON")
+    for c in ("home_xg", "away_xg", "hn", "an", "MatchDate", "Division"):
+        text = text.replace(f" x.{c}", f" x_{tag}.{c}").replace(f"(x.{c}", f"(x_{tag}.{c}")
+    return f"""{text},
+s_{tag} AS (SELECT Division, SeasonStartYear, CAST(sum(aligned) AS DOUBLE) / count(*) AS cov, sum(aligned) AS m, avg(home_xg) AS mh, avg(away_xg) AS ma FROM al_{tag} GROUP BY 1, 2),
+v_{tag} AS (SELECT home_xg AS xg, CAST(FTHome AS DOUBLE) AS g FROM al_{tag} WHERE aligned = 1 UNION ALL SELECT away_xg, CAST(FTAway AS DOUBLE) FROM al_{tag} WHERE aligned = 1),
+q_{tag} AS (SELECT (SELECT count(*) FROM s_{tag} WHERE m > 0) AS covered_league_seasons, (SELECT min(cov) FROM s_{tag} WHERE m > 0) AS minimum_claimed_league_season_coverage,
+  CAST(count(xg) AS DOUBLE) / count(*) AS value_coverage, min(xg) AS minimum_xg, max(xg) AS maximum_xg,
+  (SELECT min(least(mh, ma)) FROM s_{tag}) AS minimum_side_mean, (SELECT max(greatest(mh, ma)) FROM s_{tag}) AS maximum_side_mean,
+  CASE WHEN count(xg) >= 200 THEN corr(xg, g) END AS goals_correlation, '{src}' AS source FROM v_{tag})"""
+
+
+@oracle
+def xg_quality() -> str:
+    names = (
+        "minimum_claimed_league_season_coverage", "value_coverage", "minimum_xg", "maximum_xg",
+        "minimum_side_mean", "maximum_side_mean", "goals_correlation",
+    )
+    return f"""{oracle_with('external_xg', 'external_xg_good', 'scored')}, {_quality_sql('external_xg', 'matches', 'a')}, {_quality_sql('external_xg_good', 'scored', 'b')},
+q AS (SELECT * FROM q_a UNION ALL SELECT * FROM q_b)
+SELECT source, covered_league_seasons, {', '.join(rnd(n, n) for n in names)},
+  CAST(minimum_claimed_league_season_coverage >= 0.98 AND value_coverage >= 0.98 AND minimum_xg >= 0 AND maximum_xg <= 10
+    AND minimum_side_mean >= 0.7 AND maximum_side_mean <= 2.3 AND goals_correlation BETWEEN 0.45 AND 0.95 AS INT) AS passed FROM q"""
+
+
+def xg_history_sql(home: str, away: str, source: str) -> str:
+    """Sides of a history table with the last five and ten rows averaged at seq = prior_n."""
+    part = "PARTITION BY Division, SeasonStartYear, team"
+    order = f"{part} ORDER BY MatchDate, HomeTeam, AwayTeam"
+    ok = "xf IS NOT NULL AND xa IS NOT NULL"
+    cols = []
+    for k in (5, 10):
+        w = f"OVER ({order} ROWS BETWEEN {k - 1} PRECEDING AND CURRENT ROW)"
+        cols += [
+            f"avg(CASE WHEN {ok} THEN xf END) {w} AS f{k}",
+            f"avg(CASE WHEN {ok} THEN xa END) {w} AS a{k}",
+            f"CASE WHEN count(CASE WHEN {ok} AND g IS NULL THEN 1 END) {w} = 0 THEN avg(CASE WHEN {ok} THEN g - xf END) {w} END AS d{k}",
+        ]
+    one = "SELECT MatchDate, SeasonStartYear, Division, HomeTeam, AwayTeam, '{s}' AS side, {t} AS team, {f} AS xf, {a} AS xa, CAST({g} AS DOUBLE) AS g FROM {src}"
+    h = one.format(s="H", t="HomeTeam", f=home, a=away, g="FTHome", src=source)
+    a = one.format(s="A", t="AwayTeam", f=away, a=home, g="FTAway", src=source)
+    return f"""xs AS (SELECT *, row_number() OVER ({order}) AS seq, {', '.join(cols)},
+  count(*) OVER ({part} ORDER BY MatchDate RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS prior_n
+  FROM ({h} UNION ALL {a}) u)"""
+
+
+@oracle
+def xg_rolling() -> str:
+    out = []
+    for s, i in (("H", "ih"), ("A", "ia")):
+        for k in (5, 10):
+            out += [
+                rnd(f"{i}.f{k}", f"XgForAvg{k}_{s}_xg_pre"),
+                rnd(f"{i}.a{k}", f"XgAgainstAvg{k}_{s}_xg_pre"),
+                rnd(f"{i}.f{k} - {i}.a{k}", f"XgDiffAvg{k}_{s}_xg_pre"),
+                rnd(f"{i}.d{k}", f"GminusXgForAvg{k}_{s}_xg_pre"),
+            ]
+    same = "{0}.MatchDate = m.MatchDate AND {0}.Division = m.Division AND {0}.HomeTeam = m.HomeTeam AND {0}.AwayTeam = m.AwayTeam AND {0}.side = '{1}'"
+    prior = "{1}.Division = {0}.Division AND {1}.SeasonStartYear = {0}.SeasonStartYear AND {1}.team = {0}.team AND {1}.seq = {0}.prior_n"
+    return (
+        f"{oracle_with('external_xg')}, {xg_join()}, {xg_history_sql('home_xg', 'away_xg', 'al')} SELECT {MKEY}, {', '.join(out)} FROM al m"
+        f" JOIN xs h ON {same.format('h', 'H')} JOIN xs a ON {same.format('a', 'A')}"
+        f" LEFT JOIN xs ih ON {prior.format('h', 'ih')} LEFT JOIN xs ia ON {prior.format('a', 'ia')}"
+    )
+
+
+@oracle
+def relation_quality() -> str:
+    zero = "CAST(0 AS BIGINT) AS "
+    return f"""{oracle_with('appearances', 'lineups', 'valuations')}
+SELECT (SELECT count(*) FROM matches) AS supplied_match_rows, (SELECT count(*) FROM appearances) AS appearance_rows,
+  (SELECT count(*) FROM lineups) AS lineup_rows, (SELECT count(*) FROM valuations) AS valuation_rows,
+  (SELECT count(DISTINCT game_id) FROM appearances) AS appearance_games, (SELECT count(DISTINCT game_id) FROM lineups) AS lineup_games,
+  (SELECT count(*) FROM valuations WHERE date IS NULL OR market_value_in_eur < 0) AS invalid_valuation_rows,
+  {', '.join(zero + c for c in ('null_fixture_ids', 'invalid_minutes_rows', 'null_appearance_ids', 'invalid_role_rows', 'null_lineup_ids', 'null_valuation_ids', 'duplicate_match_keys', 'duplicate_game_ids', 'duplicate_appearance_rows', 'duplicate_lineup_rows', 'duplicate_valuation_rows', 'unmatched_appearance_games', 'unmatched_lineup_games'))}"""
+
+
+ASOF = "(SELECT arg_max(v.market_value_in_eur, v.date) FROM valuations v WHERE v.player_id = {p} AND v.date < {d})"
+
+
+@oracle
+def valuation_asof() -> str:
+    return f"""{oracle_with('appearances', 'valuations')},
+q AS (SELECT DISTINCT player_id, MatchDate FROM appearances JOIN matches USING (game_id))
+SELECT q.player_id, {DATE.format('MatchDate')}, round(v.market_value_in_eur, 6) AS value FROM q
+ASOF LEFT JOIN valuations v ON q.player_id = v.player_id AND q.MatchDate > v.date"""
+
+
+def fixture_sides_sql() -> str:
+    one = "SELECT MatchDate, SeasonStartYear, Division, HomeTeam, AwayTeam, game_id, '{s}' AS side, {t} AS team, {c} AS club_id FROM matches"
+    part = "PARTITION BY Division, SeasonStartYear, team"
+    return f"""fs AS (SELECT *, row_number() OVER ({part} ORDER BY MatchDate, game_id, side) AS seq,
+  count(*) OVER ({part} ORDER BY MatchDate RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS prior_n
+  FROM ({one.format(s='H', t='HomeTeam', c='home_club_id')} UNION ALL {one.format(s='A', t='AwayTeam', c='away_club_id')}) u),
+gm AS (SELECT game_id, player_club_id AS club_id, sum(minutes_played) AS gmin FROM appearances GROUP BY 1, 2),
+ld AS (SELECT f.*, {', '.join(_recent('count(*)', 'matches_30d', 30) if d == 0 else _recent('sum(coalesce(gmin, 0))', f'minutes_{d}d', d) for d in (0, 7, 14, 21, 30))},
+  CAST(date_diff('day', max(f.MatchDate) OVER ({part} ORDER BY f.MatchDate RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING), f.MatchDate) AS DOUBLE) AS days_since_prev_match
+  FROM fs f LEFT JOIN gm USING (game_id, club_id)),
+recent AS (SELECT t.game_id AS tgame, t.side AS tside, t.MatchDate AS tdate, h.game_id, h.club_id, t.prior_n - h.seq + 1 AS back, h.seq
+  FROM fs t JOIN fs h ON h.Division = t.Division AND h.SeasonStartYear = t.SeasonStartYear AND h.team = t.team AND h.seq > t.prior_n - 10 AND h.seq <= t.prior_n),
+pl AS (SELECT tgame, tside, tdate, player_id, sum(CASE WHEN back <= 5 THEN minutes_played END) AS m5, sum(minutes_played) AS m10,
+  min(CASE WHEN back <= 5 THEN r.seq END) AS f5, min(r.seq) AS f10
+  FROM recent r JOIN appearances a ON a.game_id = r.game_id AND a.player_club_id = r.club_id GROUP BY 1, 2, 3, 4),
+pv AS (SELECT pl.*, v.market_value_in_eur AS val, row_number() OVER (PARTITION BY tgame, tside ORDER BY f5 IS NULL, m5 DESC, f5, pl.player_id) AS r5,
+  row_number() OVER (PARTITION BY tgame, tside ORDER BY m10 DESC, f10, pl.player_id) AS r10
+  FROM pl ASOF LEFT JOIN valuations v ON pl.player_id = v.player_id AND pl.tdate > v.date),
+po AS (SELECT tgame, tside, count(f5) AS u5, count(*) AS u10, sum(m5) AS t5, sum(m10) AS t10,
+  sum(CASE WHEN r5 <= 5 THEN m5 END) AS a5, sum(CASE WHEN r5 <= 11 THEN m5 END) AS a11, sum(CASE WHEN r10 <= 11 THEN m10 END) AS b11,
+  sum(CASE WHEN f5 IS NOT NULL THEN val END) AS v5, sum(CASE WHEN f5 IS NOT NULL AND r5 <= 11 THEN val END) AS v11,
+  avg(CASE WHEN f5 IS NOT NULL THEN CAST(val IS NOT NULL AS DOUBLE) END) AS cov FROM pv GROUP BY 1, 2),
+st AS (SELECT DISTINCT game_id, club_id, player_id FROM lineups WHERE type = 'starting_lineup'),
+us AS (SELECT tgame, tside, count(DISTINCT player_id) AS us5 FROM recent r JOIN st USING (game_id, club_id) WHERE back <= 5 GROUP BY 1, 2),
+lp AS (SELECT r.tgame, r.tside, r.tdate, s.player_id FROM recent r JOIN st s USING (game_id, club_id) WHERE back = 1),
+ls AS (SELECT tgame, tside, sum(v.market_value_in_eur) AS lv FROM lp ASOF LEFT JOIN valuations v ON lp.player_id = v.player_id AND lp.tdate > v.date GROUP BY 1, 2),
+ss AS (SELECT game_id, club_id, list(player_id) AS ps FROM st GROUP BY 1, 2),
+ne AS (SELECT r.*, ps, lag(ps) OVER (PARTITION BY tgame, tside ORDER BY seq) AS old, row_number() OVER (PARTITION BY tgame, tside ORDER BY seq DESC) AS k
+  FROM recent r JOIN ss USING (game_id, club_id) WHERE back <= 5),
+ln AS (SELECT tgame, tside,
+  max(CASE WHEN k = 1 THEN len(list_intersect(ps, old)) / {dbl('11')} END) AS starter_overlap_last,
+  max(CASE WHEN k = 1 THEN len(list_intersect(ps, old)) / CAST(len(list_distinct(list_concat(ps, old))) AS DOUBLE) END) AS starter_jaccard_last,
+  max(CASE WHEN k = 1 THEN 1 - len(list_intersect(ps, old)) / {dbl('11')} END) AS rotation_index_last,
+  avg({dbl('11')} - len(list_intersect(ps, old))) AS avg_starter_changes_5 FROM ne WHERE old IS NOT NULL GROUP BY 1, 2),
+av AS (SELECT f.game_id, f.side, {', '.join(f'CASE WHEN f.prior_n > 0 THEN {c} END AS {c}' for c in ('matches_30d', 'minutes_7d', 'minutes_14d', 'minutes_21d', 'minutes_30d'))},
+  days_since_prev_match, CASE WHEN f.prior_n > 0 THEN CAST(coalesce(u5, 0) AS DOUBLE) END AS unique_players_5, CASE WHEN f.prior_n > 0 THEN CAST(coalesce(u10, 0) AS DOUBLE) END AS unique_players_10,
+  CAST(us5 AS DOUBLE) AS unique_starters_5, CASE WHEN t5 > 0 THEN a5 / t5 END AS top5_minutes_share_5, CASE WHEN t5 > 0 THEN a11 / t5 END AS top11_minutes_share_5,
+  CASE WHEN t10 > 0 THEN b11 / t10 END AS top11_minutes_share_10, CASE WHEN u5 > 0 THEN t5 / u5 END AS avg_player_minutes_5,
+  starter_overlap_last, starter_jaccard_last, rotation_index_last, avg_starter_changes_5,
+  v5 AS recent_players_value_sum_5, v11 AS recent_top11_value_sum_5, lv AS last_starters_value_sum, cov AS recent_value_coverage_5
+  FROM ld f LEFT JOIN po ON po.tgame = f.game_id AND po.tside = f.side LEFT JOIN us ON us.tgame = f.game_id AND us.tside = f.side
+  LEFT JOIN ls ON ls.tgame = f.game_id AND ls.tside = f.side LEFT JOIN ln ON ln.tgame = f.game_id AND ln.tside = f.side)"""
+
+
+def _recent(expr: str, name: str, days: int) -> str:
+    return (
+        f"CAST(coalesce({expr} OVER (PARTITION BY Division, SeasonStartYear, team ORDER BY f.MatchDate "
+        f"RANGE BETWEEN INTERVAL {days} DAY PRECEDING AND INTERVAL 1 DAY PRECEDING), 0) AS DOUBLE) AS {name}"
+    )
+
+
+AVAILABILITY_FROM = (
+    " FROM matches m JOIN av h ON h.game_id = m.game_id AND h.side = 'H' JOIN av a ON a.game_id = m.game_id AND a.side = 'A'"
+)
+
+
+def availability_sql(names, extra: str = "") -> str:
+    out = []
+    for s in "ha":
+        out += [rnd(f"{s}.{n}", f"avail_{s.upper()}_{n}_pre") for n in names]
+    out += [rnd(f"h.{n} - a.{n}", f"avail_diff_{n}_pre") for n in names]
+    return (
+        f"{oracle_with('appearances', 'lineups', 'valuations')}, {fixture_sides_sql()} "
+        f"SELECT {MKEY}, {extra}{', '.join(out)}{AVAILABILITY_FROM}"
+    )
+
+
+@oracle
+def availability_load() -> str:
+    return availability_sql(S.AVAILABILITY_BASE[:6])
+
+
+@oracle
+def availability_value() -> str:
+    return availability_sql([c for c in S.AVAILABILITY_BASE if "value" in c])
+
+
+@oracle
+def availability_lineup() -> str:
+    return availability_sql(
+        [c for c in S.AVAILABILITY_BASE if c.endswith("_last") or c == "avg_starter_changes_5"]
+    )
+
+
+@oracle
+def availability_features() -> str:
+    return availability_sql(S.AVAILABILITY_BASE, "m.SeasonStartYear, m.game_id, ")
+
+
+@oracle
+def availability_scope() -> str:
+    c = "day(MatchDate) % 10 <> 0"
+    return f"""{oracle_with('matches')} SELECT Division, SeasonStartYear, count(*) AS base_rows, count(*) FILTER ({c}) AS covered_rows,
+  CAST(0 AS BIGINT) AS unmatched_supplied_matches, round(CAST(count(*) FILTER ({c}) AS DOUBLE) / count(*), 6) AS covered_share
+  FROM matches GROUP BY GROUPING SETS ((Division), (SeasonStartYear), ())"""
+
+
+@oracle
+def availability_completeness() -> str:
+    cells = []
+    for n in S.AVAILABILITY_BASE:
+        cells += [f"(h.{n} IS NOT NULL)::INT + (a.{n} IS NOT NULL)::INT + (h.{n} - a.{n} IS NOT NULL)::INT"]
+    return f"""{oracle_with('appearances', 'lineups', 'valuations')}, {fixture_sides_sql()},
+c AS (SELECT m.Division, m.SeasonStartYear, {' + '.join(cells)} AS p{AVAILABILITY_FROM})
+SELECT Division, SeasonStartYear, count(*) AS "rows", CAST(sum(p) AS BIGINT) AS present_cells,
+  round(sum(p) / (count(*) * {dbl(str(len(S.AVAILABILITY_FEATURES)))}), 6) AS cell_share,
+  round(CAST(count(*) FILTER (p > 0) AS DOUBLE) / count(*), 6) AS any_present_share
+FROM c GROUP BY GROUPING SETS ((Division), (SeasonStartYear), ())"""
+
+
+@oracle
+def availability_pool() -> str:
+    return availability_sql(POOL_FEATURES)

@@ -429,12 +429,18 @@ def availability_load(spark, sf):
     )
 
 
+POOL_FEATURES = [
+    c for c in S.AVAILABILITY_BASE if c.startswith(("top", "avg_player")) or c == "unique_starters_5"
+]
+
+
 @query
 def availability_pool(spark, sf):
-    chosen = [c for c in S.AVAILABILITY_BASE if "players_" in c or "minutes_share" in c or c == "avg_player_minutes_5"]
-    chosen = [c for c in chosen if "value" not in c] + ["unique_starters_5"]
     return _sided(
-        spark, sf, chosen, lambda t, p: availability.pool_state(t.fixtures, p, t.valuations)
+        spark,
+        sf,
+        POOL_FEATURES,
+        lambda t, p: availability.pool_state(t.fixtures, p, t.valuations),
     )
 
 
