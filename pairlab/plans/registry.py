@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from pairlab import schema as S
 from pairlab.functions import names
+from pairlab.models import goals
 from pairlab.operators import (
     availability,
     baselines,
@@ -21,15 +22,20 @@ from pairlab.operators import (
     features,
     folds,
     form,
+    graph,
     guards,
     history,
     labels,
     market,
     metrics,
+    scaling,
+    sequences,
     xg,
 )
-from pairlab.plans import derived
+from pairlab.plans import derived, experiments, ledger
+from pairlab.plans import graph as graph_plan
 from pairlab.plans.derived import Tables
+from pairlab.session import durable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Divisions of the derived tables with a known season length; the others stay unknown.
@@ -478,3 +484,295 @@ def availability_scope(spark, sf):
 @query
 def availability_completeness(spark, sf):
     return plain(availability.cell_completeness(availability_table(Tables(spark, sf))))
+
+
+@query
+def graph_edges(spark, sf):
+    """Training edges of the first fold and the last, log1p weighted."""
+    t = Tables(spark, sf)
+    edges = graph.season_edges(t.fixtures, graph.side_weights(t.appearances, t.lineups))
+    dims = folds.fold_table(spark, YEARS, derived.FINAL)
+    return plain(graph.fold_edges(edges, dims))
+
+
+@query
+def graph_metadata(spark, sf):
+    t = Tables(spark, sf)
+    edges = graph.season_edges(t.fixtures, graph.side_weights(t.appearances, t.lineups))
+    dims = folds.fold_table(spark, YEARS, derived.FINAL)
+    return graph.fold_metadata(t.fixtures, graph.fold_edges(edges, dims), dims)
+
+
+@query
+def graph_pool(spark, sf):
+    """Size and weight of each side's player pool over the last ten games."""
+    t = Tables(spark, sf)
+    weights = graph.side_weights(t.appearances, t.lineups)
+    state = graph.pool_summary(graph.recent_pool(t.fixtures, weights))
+    joined = history.join_sides(
+        t.fixtures.select(*S.KEY, "SeasonStartYear"), state, ["pool_players", "pool_weight"]
+    )
+    return plain(joined.drop("SeasonStartYear"))
+
+
+@query
+def graph_pool_values(spark, sf):
+    """Pool vectors and their comparison, with each player's value standing in as embedding."""
+    t = Tables(spark, sf)
+    weights = graph.side_weights(t.appearances, t.lineups)
+    stand_in = t.player_lines.where(F.col("player_id") % 5 != 0).groupBy("player_id").agg(
+        F.array(*[(F.max("qty") * (i + 1) % 7 - F.min("qty") % (i + 3)) for i in range(8)]).alias(
+            "embedding"
+        )
+    )
+    pool = graph.recent_pool(t.fixtures, weights)
+    made = graph.graph_features(t.fixtures, pool, stand_in, "svd8_recent10")
+    shown = [c for c in made.columns if "_e0" not in c or "_e00" in c or "_e07" in c]
+    return plain(made.select(*shown), 5)
+
+
+@query
+def match_sequences(spark, sf):
+    """Every element of every side's last-ten sequence."""
+    t = Tables(spark, sf)
+    made = sequences.match_sequences(t.canonical, t.canonical)
+    sides = F.explode(
+        F.array(
+            F.struct(F.lit("H").alias("side"), F.col("home_sequence").alias("s")),
+            F.struct(F.lit("A").alias("side"), F.col("away_sequence").alias("s")),
+        )
+    ).alias("x")
+    flat = made.select(*S.KEY, sides).select(
+        *S.KEY, "x.side", F.posexplode("x.s").alias("position", "d")
+    )
+    return plain(flat.select(*S.KEY, "side", "position", "d.*"))
+
+
+@query
+def vocabulary_ids(spark, sf):
+    """Team tokens of the first fold's training seasons applied to all later matches."""
+    t = Tables(spark, sf)
+    train = t.canonical.where(F.col("SeasonStartYear") < YEARS[0])
+    later = t.canonical.where(F.col("SeasonStartYear") >= YEARS[0]).select(*S.KEY)
+    return plain(sequences.team_ids(later, sequences.train_vocabulary(train)))
+
+
+@query
+def vocabulary_oov(spark, sf):
+    """Unseen teams per fold, when a team is only known by its month of play."""
+    t = Tables(spark, sf)
+    renamed = t.canonical.withColumn(
+        "HomeTeam", F.concat("HomeTeam", F.lit("-"), F.date_format("MatchDate", "yyyy"))
+    )
+    return sequences.oov_counts(tagged(t, renamed))
+
+
+@query
+def scaler_stats(spark, sf):
+    """Train-only median, mean and scale of the 52 features in every fold."""
+    table = features.build_feature_table(Tables(spark, sf).canonical, EXPECTED)
+    rows = folds.expanding_folds(durable(table), YEARS, derived.FINAL)
+    train = rows.where(F.col("part") == "train")
+    return plain(scaling.column_stats(train, S.FEATURES), 4)
+
+
+@query
+def goal_counts(spark, sf):
+    """Training rows of the goals model, folded to distinct count triples."""
+    rows = goals.side_rows(Tables(spark, sf).canonical)
+    return rows.groupBy("SeasonStartYear", "goals", "sot", "off").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+
+
+@query
+def pseudo_xg_fixed(spark, sf):
+    """Pseudo-xG history features under given season coefficients."""
+    t = Tables(spark, sf)
+    given = t.canonical.groupBy("SeasonStartYear").agg(
+        F.lit(-0.5).alias("b0"),
+        (F.lit(0.01) * (F.col("SeasonStartYear") - 1990)).alias("b1"),
+        F.lit(-0.02).alias("b2"),
+    )
+    return plain(goals.pseudo_xg_features(t.canonical, given.where(F.col("SeasonStartYear") > 1995)), 5)
+
+
+@query
+def pseudo_xg(spark, sf):
+    """Walk-forward pseudo-xG features with one goals model per season."""
+    return plain(goals.pseudo_xg_features(Tables(spark, sf).canonical))
+
+
+def fitted_features(t: Tables) -> DataFrame:
+    return durable(features.build_feature_table(t.canonical, EXPECTED))
+
+
+def outcome_rows(outcome, baseline: str = "lr52") -> DataFrame:
+    """Fold metrics with improvement over the baseline."""
+    compared = outcome.comparison(baseline).select(
+        "fold", F.col("candidate").alias("model"), "improvement_log_loss"
+    )
+    return plain(outcome.fold_metrics.join(compared, ["fold", "model"], "left"))
+
+
+@query
+def lr_backtest(spark, sf):
+    out = experiments.backtest(fitted_features(Tables(spark, sf)), YEARS, derived.FINAL)
+    return plain(out.fold_metrics)
+
+
+@query
+def market_comparison(spark, sf):
+    t = Tables(spark, sf)
+    out = experiments.backtest(fitted_features(t), YEARS, derived.FINAL)
+    return plain(experiments.compare_with_market(out, t.market)[1])
+
+
+@query
+def pseudo_xg_candidate(spark, sf):
+    t = Tables(spark, sf)
+    out = experiments.compare_candidate(
+        fitted_features(t),
+        goals.pseudo_xg_features(t.canonical),
+        S.PSEUDO_XG_FEATURES,
+        "pseudo_xg",
+        YEARS,
+        derived.FINAL,
+    )
+    return outcome_rows(out)
+
+
+@query
+def xg_candidate(spark, sf):
+    """External-xG candidate on the covered divisions and the seasons it reaches."""
+    t = Tables(spark, sf)
+    aligned = durable(aligned_xg(t, True))
+    covered = fitted_features(t).join(aligned.select(*S.KEY), list(S.KEY), "left_semi")
+    out = experiments.compare_candidate(
+        covered,
+        xg.xg_features(aligned, aligned),
+        S.XG_FEATURES,
+        "external_xg",
+        YEARS,
+        derived.FINAL,
+    )
+    return outcome_rows(out)
+
+
+@query
+def availability_candidate(spark, sf):
+    t = Tables(spark, sf)
+    out = experiments.compare_candidate(
+        fitted_features(t),
+        availability_table(t),
+        S.AVAILABILITY_FEATURES,
+        "availability",
+        YEARS,
+        derived.FINAL,
+    )
+    return outcome_rows(out)
+
+
+@query
+def graph_embedding(spark, sf):
+    """Singular values' worth of the last fold's player embedding: sign-free summary."""
+    t = Tables(spark, sf)
+    edges = graph.season_edges(t.fixtures, graph.side_weights(t.appearances, t.lineups))
+    last = folds.fold_table(spark, [derived.FINAL], derived.FINAL)
+    made = graph.player_embeddings(durable(graph.fold_edges(edges, last)), 8)
+    return plain(
+        made.select(F.posexplode("embedding").alias("axis", "value"))
+        .groupBy("axis")
+        .agg(
+            F.count(F.lit(1)).alias("players"),
+            F.sum(F.col("value") * F.col("value")).alias("squared_length"),
+        ),
+        4,
+    )
+
+
+@query
+def graph_candidate(spark, sf):
+    return outcome_rows(graph_experiment(spark, sf)[1])
+
+
+def graph_experiment(spark, sf):
+    t = Tables(spark, sf)
+    return graph_plan.graph_comparison(
+        fitted_features(t), t.fixtures, t.appearances, t.lineups, YEARS, derived.FINAL
+    )
+
+
+@query
+def sequence_candidate(spark, sf):
+    t = Tables(spark, sf)
+    leagues = [
+        r[0]
+        for r in t.canonical.select("Division").distinct().orderBy("Division").collect()
+    ]
+    made = sequences.pooled_representation(
+        sequences.match_sequences(t.canonical, t.canonical), leagues
+    )
+    out = experiments.compare_candidate(
+        fitted_features(t),
+        made,
+        sequences.pooled_names(leagues),
+        "sequences",
+        YEARS,
+        derived.FINAL,
+    )
+    return outcome_rows(out)
+
+
+@query
+def capacity_audit(spark, sf):
+    table = fitted_features(Tables(spark, sf))
+    return outcome_rows(experiments.capacity_audit(table, YEARS, derived.FINAL)[1])
+
+
+def division_records(t: Tables) -> DataFrame:
+    """One experiment record per division: the market against the training prior."""
+    scored = metrics.evaluate(simple_predictions(t), ["Division", "fold", "fold_role", "model"])
+    compared = metrics.compare_models(
+        scored.where(F.col("model") != "uniform"),
+        "training_prior",
+        ["Division", "fold", "fold_role"],
+    )
+    return ledger.records_from_comparison(compared, "Division")
+
+
+@query
+def candidate_ranking(spark, sf):
+    checked = ledger.recheck(division_records(Tables(spark, sf)))
+    return plain(ledger.rank_by_improvement(checked))
+
+
+@query
+def population_ranking(spark, sf):
+    checked = ledger.recheck(division_records(Tables(spark, sf)))
+    return plain(ledger.rank_raw_within_population(checked))
+
+
+@query
+def ledger_checks(spark, sf):
+    """Stored improvements spoiled in every third division and caught by the recheck."""
+    records = division_records(Tables(spark, sf))
+    spoiled = records.withColumn(
+        "development",
+        F.when(
+            F.substring("experiment_id", -2, 2).cast("int") % 3 == 0,
+            F.col("development").withField(
+                "improvement_log_loss", F.col("development.improvement_log_loss") + 0.5
+            ),
+        ).otherwise(F.col("development")),
+    )
+    checked = ledger.recheck(spoiled)
+    return plain(
+        checked.select(
+            "experiment_id",
+            "improvement",
+            "improving_folds",
+            "passed",
+            F.array_join("issues", "; ").alias("issues"),
+        )
+    )
