@@ -10,7 +10,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +24,7 @@ from pairlab.plans import ledger
 from pairlab.session import durable
 
 BASELINE = "lr52"
+PARALLEL_FITS = 6
 
 
 @dataclass
@@ -85,15 +88,22 @@ def run_models(
     columns = list(dict.fromkeys(c for s in specs for c in s.columns))
     if stats is None:
         stats = classify.fold_stats(folds.expanding_folds(table, years, final), columns)
-    parts, models = [], []
-    for year in years:
-        train, test = split(table, year, final)
+    tasks = [(year, spec) for year in years for spec in specs]
+
+    def run(task):
+        year, spec = task
+        train, _ = split(table, year, final)
         fold = folds.fold_name(year)
-        for spec in specs:
-            fit = classify.fit_logistic if spec.kind == "logistic" else classify.fit_network
-            model = fit(train, spec.columns, stats[fold], spec.name, fold)
-            models.append(model)
-            parts.append(model.predict(test))
+        fit = classify.fit_logistic if spec.kind == "logistic" else classify.fit_network
+        return fit(train, spec.columns, stats[fold], spec.name, fold)
+
+    # fits are independent chains of small jobs, so a few run side by side
+    with ThreadPool(min(PARALLEL_FITS, len(tasks))) as pool:
+        models = pool.map(inheritable_thread_target(table.sparkSession)(run), tasks)
+    parts = [
+        m.predict(split(table, year, final)[1])
+        for m, (year, _) in zip(models, tasks, strict=True)
+    ]
     return union(parts), models
 
 
