@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pairlab import schema as S
+from pairlab.operators.sequences import DESCRIPTORS
 from pairlab.plans import derived
 from pairlab.plans.derived import oracle_with
 from pairlab.plans.registry import EXPECTED, POOL_FEATURES
@@ -816,3 +817,210 @@ FROM c GROUP BY GROUPING SETS ((Division), (SeasonStartYear), ())"""
 @oracle
 def availability_pool() -> str:
     return availability_sql(POOL_FEATURES)
+
+
+WEIGHTS = """wt AS (SELECT game_id, club_id, player_id, coalesce(sum(minutes_played), 0) + CAST(30 AS DOUBLE) * max(st) + CAST(5 AS DOUBLE) * max(be) AS w FROM (
+  SELECT game_id, player_club_id AS club_id, player_id, minutes_played, 0 AS st, 0 AS be FROM appearances
+  UNION ALL SELECT game_id, club_id, player_id, NULL, (type = 'starting_lineup')::INT, (type = 'substitutes')::INT FROM lineups) u GROUP BY 1, 2, 3)"""
+CLUB_SIDES = """cs AS (SELECT game_id, SeasonStartYear, Division, HomeTeam AS team, home_club_id AS club_id FROM matches
+  UNION ALL SELECT game_id, SeasonStartYear, Division, AwayTeam, away_club_id FROM matches)"""
+EDGES = (
+    f"{WEIGHTS}, {CLUB_SIDES}, {FOLDS}, ed AS (SELECT fold, Division, team, player_id, ln(1 + sum(w)) AS edge FROM cs JOIN wt USING (game_id, club_id)"
+    " JOIN folds ON SeasonStartYear < test_year WHERE w > 0 GROUP BY 1, 2, 3, 4)"
+)
+
+
+@oracle
+def graph_edges() -> str:
+    return f"{oracle_with('appearances', 'lineups')}, {EDGES} SELECT fold, Division, team, player_id, {rnd('edge', 'edge')} FROM ed"
+
+
+@oracle
+def graph_metadata() -> str:
+    return f"""{oracle_with('appearances', 'lineups')}, {EDGES},
+n AS (SELECT fold, count(DISTINCT game_id) AS training_fixtures, count(DISTINCT Division || '/' || team) AS team_nodes FROM cs JOIN folds ON SeasonStartYear < test_year GROUP BY fold),
+e AS (SELECT fold, count(DISTINCT player_id) AS player_nodes, count(*) AS edges FROM ed GROUP BY fold)
+SELECT * FROM n JOIN e USING (fold)"""
+
+
+def pool_sql() -> str:
+    """Players and weights of each side's last ten earlier games of the season."""
+    return (
+        f"{oracle_with('appearances', 'lineups', 'valuations')}, {fixture_sides_sql()}, {WEIGHTS}, "
+        "gp AS (SELECT tgame, tside, player_id, sum(w) AS w FROM recent JOIN wt USING (game_id, club_id) GROUP BY 1, 2, 3)"
+    )
+
+
+@oracle
+def graph_pool() -> str:
+    return f"""{pool_sql()}, ps AS (SELECT tgame, tside, CAST(count(*) AS DOUBLE) AS n, sum(w) FILTER (w > 0) AS tw FROM gp GROUP BY 1, 2)
+SELECT {MKEY}, h.n AS "pool_players_H", {rnd('h.tw', 'pool_weight_H')}, a.n AS "pool_players_A", {rnd('a.tw', 'pool_weight_A')}
+FROM matches m LEFT JOIN ps h ON h.tgame = m.game_id AND h.tside = 'H' LEFT JOIN ps a ON a.tgame = m.game_id AND a.tside = 'A'"""
+
+
+@oracle
+def graph_pool_values() -> str:
+    d = 8
+    emb = ", ".join(f"sqrt(max(qty) + {i}) - sqrt(min(qty) + {3 * i}) AS e{i}" for i in range(d))
+    sums = ", ".join(
+        f"CASE WHEN sum(w) FILTER (e0 IS NOT NULL) > 0 THEN sum(w * e{i}) / sum(w) FILTER (e0 IS NOT NULL) ELSE 0 END AS v{i}"
+        for i in range(d)
+    )
+    vec = {s: [f"coalesce({s}.v{i}, 0)" for i in range(d)] for s in "ha"}
+    out = []
+    for i in (0, 7):
+        h, a = vec["h"][i], vec["a"][i]
+        for kind, x in (("H", h), ("A", a), ("diff", f"{h} - {a}"), ("absdiff", f"abs({h} - {a})")):
+            out.append(rnd(x, f"graph_svd8_recent10_{kind}_e{i:02d}_pre", 5))
+    hh = " + ".join(f"{x} * {x}" for x in vec["h"])
+    aa = " + ".join(f"{x} * {x}" for x in vec["a"])
+    ha = " + ".join(f"{x} * {y}" for x, y in zip(vec["h"], vec["a"], strict=True))
+    gg = " + ".join(f"({x} - {y}) * ({x} - {y})" for x, y in zip(vec["h"], vec["a"], strict=True))
+    p = "graph_svd8_recent10"
+    out += [
+        rnd(f"CASE WHEN sqrt({hh}) * sqrt({aa}) > 0 THEN ({ha}) / (sqrt({hh}) * sqrt({aa})) END", f"{p}_cosine_pre", 5),
+        rnd(f"sqrt({gg})", f"{p}_l2_pre", 5),
+        rnd("h.share", f"{p}_H_known_weight_share_pre", 5),
+        rnd("a.share", f"{p}_A_known_weight_share_pre", 5),
+        rnd("h.share - a.share", f"{p}_diff_known_weight_share_pre", 5),
+        f"coalesce(h.n, 0) AS {p}_H_pool_players_pre",
+        f"coalesce(a.n, 0) AS {p}_A_pool_players_pre",
+        f"coalesce(h.n, 0) - coalesce(a.n, 0) AS {p}_diff_pool_players_pre",
+    ]
+    return f"""{pool_sql()}, em AS (SELECT player_id, {emb} FROM player_lines WHERE player_id % 5 <> 0 GROUP BY 1),
+pe AS (SELECT tgame, tside, CAST(count(*) AS DOUBLE) AS n, coalesce(sum(w) FILTER (e0 IS NOT NULL), 0) / sum(w) AS share, {sums}
+  FROM gp LEFT JOIN em USING (player_id) GROUP BY 1, 2)
+SELECT {MKEY}, m.SeasonStartYear, m.game_id, {', '.join(out)}
+FROM matches m LEFT JOIN pe h ON h.tgame = m.game_id AND h.tside = 'H' LEFT JOIN pe a ON a.tgame = m.game_id AND a.tside = 'A'"""
+
+
+@oracle
+def match_sequences() -> str:
+    def one(side: str) -> str:
+        team, f, g, w, lo = (
+            ("HomeTeam", "Home", "Away", "H", "A") if side == "H" else ("AwayTeam", "Away", "Home", "A", "H")
+        )
+        gf, ga = f"coalesce(FT{f}, 0) / {dbl('3')}", f"coalesce(FT{g}, 0) / {dbl('3')}"
+        return (
+            f"SELECT MatchDate, SeasonStartYear, Division, HomeTeam, AwayTeam, '{side}' AS side, {team} AS team, "
+            f"{dbl('1' if side == 'H' else '0')} AS was_home, {gf} AS goals_for, {ga} AS goals_against, {gf} - {ga} AS goal_difference, "
+            f"coalesce({f}Shots, 0) / {dbl('15')} AS shots_for, coalesce({g}Shots, 0) / {dbl('15')} AS shots_against, "
+            f"coalesce({f}Target, 0) / {dbl('5')} AS shots_on_target_for, coalesce({g}Target, 0) / {dbl('5')} AS shots_on_target_against, "
+            f"coalesce({f}Corners, 0) / {dbl('6')} AS corners_for, coalesce({g}Corners, 0) / {dbl('6')} AS corners_against, "
+            f"CASE FTR WHEN '{w}' THEN {ONE} WHEN 'D' THEN 1 / {dbl('3')} WHEN '{lo}' THEN {dbl('0')} END AS points FROM matches"
+        )
+
+    part = "PARTITION BY Division, team"
+    shown = ", ".join(rnd(f"h.{d}", d) for d in DESCRIPTORS[:-2])
+    return f"""{oracle_with('matches')}, cs AS (SELECT *, row_number() OVER ({part} ORDER BY MatchDate, HomeTeam, AwayTeam) AS seq,
+  count(*) OVER ({part} ORDER BY MatchDate RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS prior_n
+  FROM ({one('H')} UNION ALL {one('A')}) u)
+SELECT strftime(t.MatchDate, '%Y-%m-%d') AS MatchDate, t.Division, t.HomeTeam, t.AwayTeam, t.side,
+  CAST(h.seq - greatest(t.prior_n - 9, 1) AS INT) AS position, {shown},
+  {rnd("ln(1 + CAST(date_diff('day', h.MatchDate, t.MatchDate) AS DOUBLE)) / " + dbl('7'), 'log_days_ago')},
+  CAST(h.SeasonStartYear = t.SeasonStartYear AS DOUBLE) AS same_season
+FROM cs t JOIN cs h ON h.Division = t.Division AND h.team = t.team AND h.seq <= t.prior_n AND h.seq > t.prior_n - 10"""
+
+
+@oracle
+def vocabulary_ids() -> str:
+    y = YEARS[0]
+    return f"""{oracle_with('matches')}, tt AS (SELECT DISTINCT Division, team FROM (
+  SELECT Division, HomeTeam AS team FROM matches WHERE SeasonStartYear < {y} UNION ALL SELECT Division, AwayTeam FROM matches WHERE SeasonStartYear < {y}) u),
+ti AS (SELECT *, row_number() OVER (ORDER BY Division, team) - 1 AS id FROM tt),
+li AS (SELECT Division, row_number() OVER (ORDER BY Division) - 1 AS league_id, (SELECT count(*) FROM tt) + row_number() OVER (ORDER BY Division) - 1 AS unk
+  FROM (SELECT DISTINCT Division FROM tt) d)
+SELECT {MKEY}, league_id, coalesce(h.id, unk) AS home_id, coalesce(a.id, unk) AS away_id, (h.id IS NULL)::INT AS home_unseen, (a.id IS NULL)::INT AS away_unseen
+FROM matches m JOIN li ON li.Division = m.Division LEFT JOIN ti h ON h.Division = m.Division AND h.team = m.HomeTeam
+LEFT JOIN ti a ON a.Division = m.Division AND a.team = m.AwayTeam WHERE m.SeasonStartYear >= {y}"""
+
+
+@oracle
+def vocabulary_oov() -> str:
+    return f"""{oracle_with('matches')}, {FOLDS}, r AS (SELECT *, HomeTeam || '-' || CAST(year(MatchDate) AS VARCHAR) AS ht FROM matches),
+g AS (SELECT f.fold, f.test_year, r.* FROM r JOIN folds f ON r.SeasonStartYear <= f.test_year),
+k AS (SELECT DISTINCT fold, Division, team FROM (SELECT fold, Division, ht AS team FROM g WHERE SeasonStartYear < test_year
+  UNION ALL SELECT fold, Division, AwayTeam FROM g WHERE SeasonStartYear < test_year) u),
+t AS (SELECT * FROM g WHERE SeasonStartYear = test_year),
+h AS (SELECT t.fold, count(*) AS n FROM t ANTI JOIN k ON k.fold = t.fold AND k.Division = t.Division AND k.team = t.ht GROUP BY t.fold),
+a AS (SELECT t.fold, count(*) AS n FROM t ANTI JOIN k ON k.fold = t.fold AND k.Division = t.Division AND k.team = t.AwayTeam GROUP BY t.fold)
+SELECT f.fold, count(*) AS team_tokens, count(DISTINCT Division) AS unknown_tokens, coalesce(any_value(h.n), 0) AS oov_home, coalesce(any_value(a.n), 0) AS oov_away
+FROM folds f JOIN k ON k.fold = f.fold LEFT JOIN h ON h.fold = f.fold LEFT JOIN a ON a.fold = f.fold GROUP BY f.fold"""
+
+
+@oracle
+def scaler_stats() -> str:
+    """Medians of the feature table per fold, then moments after imputation."""
+    inner = feature_table().replace(", 4) + CAST(0 AS DOUBLE)", ", 12) + CAST(0 AS DOUBLE)")
+    parts = []
+    for c in S.FEATURES:
+        med = f'coalesce(quantile_cont(CAST("{c}" AS DOUBLE), 0.5), 0)'
+        parts.append(
+            f"SELECT fold, '{c}' AS feature, count(*) AS \"rows\", count(\"{c}\") AS present, any_value(med) AS median, "
+            f'avg(coalesce(CAST("{c}" AS DOUBLE), med)) AS mean, stddev_pop(coalesce(CAST("{c}" AS DOUBLE), med)) AS sd '
+            f'FROM (SELECT g.fold, g."{c}", m.med FROM g JOIN (SELECT fold, {med} AS med FROM g GROUP BY fold) m ON m.fold = g.fold) x GROUP BY fold'
+        )
+    return (
+        f"WITH ft AS MATERIALIZED ({inner}), {FOLDS}, g AS MATERIALIZED (SELECT f.fold, ft.* FROM ft JOIN folds f ON ft.SeasonStartYear < f.test_year), "
+        f"s AS ({' UNION ALL '.join(parts)}) SELECT fold, feature, \"rows\", present, {rnd('median', 'median', 4)}, {rnd('mean', 'mean', 4)}, "
+        f"round(CASE WHEN sd > 1e-12 THEN sd ELSE 1 END, 4) AS scale FROM s"
+    )
+
+
+@oracle
+def goal_counts() -> str:
+    one = "SELECT SeasonStartYear, FT{0} AS goals, {0}Target AS sot, {0}Shots - {0}Target AS off FROM matches"
+    return (
+        f"{oracle_with('matches')} SELECT SeasonStartYear, goals, sot, off, count(*) AS n FROM "
+        f"({one.format('Home')} UNION ALL {one.format('Away')}) u WHERE goals IS NOT NULL AND sot >= 0 AND off >= 0 GROUP BY ALL"
+    )
+
+
+@oracle
+def pseudo_xg_fixed() -> str:
+    b1 = f"{dbl('0.01')} * (SeasonStartYear - 1990)"
+    px = (
+        "CASE WHEN SeasonStartYear > 1995 AND {0}Target >= 0 AND {0}Shots - {0}Target >= 0 THEN "
+        f"exp({dbl('-0.5')} + {b1} * {{0}}Target + {dbl('-0.02')} * ({{0}}Shots - {{0}}Target)) END"
+    )
+    out = []
+    for s, i in (("H", "ih"), ("A", "ia")):
+        for k in (5, 10):
+            out += [
+                rnd(f"{i}.f{k}", f"PxgForAvg{k}_{s}_pxg_pre", 5),
+                rnd(f"{i}.a{k}", f"PxgAgainstAvg{k}_{s}_pxg_pre", 5),
+                rnd(f"{i}.d{k}", f"GminusPxgForAvg{k}_{s}_pxg_pre", 5),
+            ]
+    same = "{0}.MatchDate = m.MatchDate AND {0}.Division = m.Division AND {0}.HomeTeam = m.HomeTeam AND {0}.AwayTeam = m.AwayTeam AND {0}.side = '{1}'"
+    prior = "{1}.Division = {0}.Division AND {1}.SeasonStartYear = {0}.SeasonStartYear AND {1}.team = {0}.team AND {1}.seq = {0}.prior_n"
+    return (
+        f"{oracle_with('matches')}, px AS (SELECT *, {px.format('Home')} AS hx, {px.format('Away')} AS ax FROM matches), "
+        f"{xg_history_sql('hx', 'ax', 'px')} SELECT {MKEY}, {', '.join(out)} FROM px m"
+        f" JOIN xs h ON {same.format('h', 'H')} JOIN xs a ON {same.format('a', 'A')}"
+        f" LEFT JOIN xs ih ON {prior.format('h', 'ih')} LEFT JOIN xs ia ON {prior.format('a', 'ia')}"
+    )
+
+
+LEDGER = """dm AS (SELECT Division, fold, fold_role, model, count(*) AS n, avg(ll) AS ll FROM scored GROUP BY ALL),
+dc AS (SELECT m.Division, m.fold, m.fold_role, m.n, b.ll AS base, m.ll AS cand FROM dm m JOIN dm b ON b.Division = m.Division AND b.fold = m.fold AND b.model = 'training_prior' WHERE m.model = 'market'),
+lg AS (SELECT 'experiment_' || Division AS experiment_id, 'population_' || Division AS population_id, Division, sum(n * base) / sum(n) - sum(n * cand) / sum(n) AS improvement,
+  sum(n * cand) / sum(n) AS candidate_log_loss, count(*) FILTER (base - cand > 0) AS improving_folds FROM dc WHERE fold_role = 'development' GROUP BY Division)"""
+
+
+@oracle
+def candidate_ranking() -> str:
+    return f"""{oracle_with('market')}, {PREDICTIONS}, {LEDGER}
+SELECT row_number() OVER (ORDER BY improvement DESC, experiment_id) AS rank, experiment_id, population_id, {rnd('improvement', 'improvement')} FROM lg"""
+
+
+@oracle
+def population_ranking() -> str:
+    return f"""{oracle_with('market')}, {PREDICTIONS}, {LEDGER}
+SELECT population_id, row_number() OVER (PARTITION BY population_id ORDER BY candidate_log_loss, experiment_id) AS rank, experiment_id, {rnd('candidate_log_loss', 'candidate_log_loss')} FROM lg"""
+
+
+@oracle
+def ledger_checks() -> str:
+    return f"""{oracle_with('market')}, {PREDICTIONS}, {LEDGER}
+SELECT experiment_id, {rnd('improvement', 'improvement')}, improving_folds, CAST(improvement >= 0.005 AND improving_folds >= 2 AS INT) AS passed,
+  CASE WHEN CAST(substr(Division, 2) AS INT) % 3 = 0 THEN 'improvement differs' ELSE '' END AS issues FROM lg"""

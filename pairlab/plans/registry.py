@@ -521,7 +521,7 @@ def graph_pool_values(spark, sf):
     t = Tables(spark, sf)
     weights = graph.side_weights(t.appearances, t.lineups)
     stand_in = t.player_lines.where(F.col("player_id") % 5 != 0).groupBy("player_id").agg(
-        F.array(*[(F.max("qty") * (i + 1) % 7 - F.min("qty") % (i + 3)) for i in range(8)]).alias(
+        F.array(*[F.sqrt(F.max("qty") + i) - F.sqrt(F.min("qty") + 3 * i) for i in range(8)]).alias(
             "embedding"
         )
     )
