@@ -871,18 +871,18 @@ def graph_pool_values() -> str:
     for i in (0, 7):
         h, a = vec["h"][i], vec["a"][i]
         for kind, x in (("H", h), ("A", a), ("diff", f"{h} - {a}"), ("absdiff", f"abs({h} - {a})")):
-            out.append(rnd(x, f"graph_svd8_recent10_{kind}_e{i:02d}_pre", 5))
+            out.append(rnd(x, f"graph_svd8_recent10_{kind}_e{i:02d}_pre", 9))
     hh = " + ".join(f"{x} * {x}" for x in vec["h"])
     aa = " + ".join(f"{x} * {x}" for x in vec["a"])
     ha = " + ".join(f"{x} * {y}" for x, y in zip(vec["h"], vec["a"], strict=True))
     gg = " + ".join(f"({x} - {y}) * ({x} - {y})" for x, y in zip(vec["h"], vec["a"], strict=True))
     p = "graph_svd8_recent10"
     out += [
-        rnd(f"CASE WHEN sqrt({hh}) * sqrt({aa}) > 0 THEN ({ha}) / (sqrt({hh}) * sqrt({aa})) END", f"{p}_cosine_pre", 5),
-        rnd(f"sqrt({gg})", f"{p}_l2_pre", 5),
-        rnd("h.share", f"{p}_H_known_weight_share_pre", 5),
-        rnd("a.share", f"{p}_A_known_weight_share_pre", 5),
-        rnd("h.share - a.share", f"{p}_diff_known_weight_share_pre", 5),
+        rnd(f"CASE WHEN sqrt({hh}) * sqrt({aa}) > 0 THEN ({ha}) / (sqrt({hh}) * sqrt({aa})) END", f"{p}_cosine_pre", 9),
+        rnd(f"sqrt({gg})", f"{p}_l2_pre", 9),
+        rnd("h.share", f"{p}_H_known_weight_share_pre", 9),
+        rnd("a.share", f"{p}_A_known_weight_share_pre", 9),
+        rnd("h.share - a.share", f"{p}_diff_known_weight_share_pre", 9),
         f"coalesce(h.n, 0) AS {p}_H_pool_players_pre",
         f"coalesce(a.n, 0) AS {p}_A_pool_players_pre",
         f"coalesce(h.n, 0) - coalesce(a.n, 0) AS {p}_diff_pool_players_pre",

@@ -528,7 +528,7 @@ def graph_pool_values(spark, sf):
     pool = graph.recent_pool(t.fixtures, weights)
     made = graph.graph_features(t.fixtures, pool, stand_in, "svd8_recent10")
     shown = [c for c in made.columns if "_e0" not in c or "_e00" in c or "_e07" in c]
-    return plain(made.select(*shown), 5)
+    return plain(made.select(*shown), 9)
 
 
 @query

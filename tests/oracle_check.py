@@ -33,7 +33,7 @@ def normal(rows, columns):
         if v is None:
             return "~"
         if isinstance(v, float):
-            return f"{v:.6f}"
+            return repr(v + 0.0)
         if isinstance(v, (list, tuple)):
             return "[" + ",".join(cell(x) for x in v) + "]"
         return str(v)
