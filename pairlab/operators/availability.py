@@ -16,6 +16,7 @@ from pairlab import schema as S
 from pairlab.functions.scalars import any_of, count_if, day, finite, percentage
 from pairlab.operators import history as H
 from pairlab.operators.canonical import duplicate_summary
+from pairlab.session import durable
 
 # Pool sizes and day windows.
 POOL = 10
@@ -201,15 +202,14 @@ def recent_games(fixtures: DataFrame, k: int = POOL) -> DataFrame:
     )
 
 
-def player_pool(fixtures: DataFrame, parts: DataFrame) -> DataFrame:
+def player_pool(recent: DataFrame, parts: DataFrame) -> DataFrame:
     """Per (team, day, player) of the last ten games: minutes, starts and first appearance."""
     back = F.col("back")
     short = back <= SHORT
     played = F.col("minutes").isNotNull()
     started = F.col("started") == 1
     return (
-        recent_games(fixtures)
-        .join(parts, ["game_id", "club_id"])
+        recent.join(parts, ["game_id", "club_id"])
         .groupBy(*TEAM_DAY, "player_id")
         .agg(
             F.sum(F.when(short, F.col("minutes"))).alias("m5"),
@@ -264,12 +264,16 @@ def _top(pool: DataFrame, minutes: str, first: str) -> DataFrame:
     )
 
 
-def pool_state(fixtures: DataFrame, parts: DataFrame, valuations: DataFrame) -> DataFrame:
-    """Pool sizes, minutes shares, distinct starters and squad values per (team, day)."""
-    pool = player_pool(fixtures, parts)
+def pool_state(recent: DataFrame, parts: DataFrame, valuations: DataFrame) -> DataFrame:
+    """Pool sizes, minutes shares, distinct starters and squad values per (team, day).
+
+    The pool with its values is written once: three aggregations read it, each pruning to eleven
+    rows or folding map-side before its shuffle, so no pool has to fit into one task.
+    """
+    pool = player_pool(recent, parts)
     wanted = pool.where(F.col("first5").isNotNull() | F.col("start1").isNotNull())
     values = value_as_of(wanted, valuations)
-    pool = pool.join(values, ["player_id", "MatchDate"], "left")
+    pool = durable(pool.join(values, ["player_id", "MatchDate"], "left"))
     in5, value = F.col("first5").isNotNull(), F.col("value")
     totals = pool.groupBy(*TEAM_DAY).agg(
         count_if(in5).alias("u5"),
@@ -308,7 +312,7 @@ def pool_state(fixtures: DataFrame, parts: DataFrame, valuations: DataFrame) ->
     )
 
 
-def lineup_state(fixtures: DataFrame, parts: DataFrame) -> DataFrame:
+def lineup_state(recent: DataFrame, parts: DataFrame) -> DataFrame:
     """Continuity between consecutive known line-ups among the last five games.
 
     Each pair of consecutive line-ups is compared once, by a join on the player, and the result
@@ -316,7 +320,7 @@ def lineup_state(fixtures: DataFrame, parts: DataFrame) -> DataFrame:
     """
     starters = parts.where(F.col("started") == 1).select("game_id", "club_id", "player_id")
     sizes = starters.groupBy("game_id", "club_id").agg(F.count(F.lit(1)).alias("size"))
-    games = recent_games(fixtures, SHORT).join(sizes, ["game_id", "club_id"])
+    games = recent.where(F.col("back") <= SHORT).join(sizes, ["game_id", "club_id"])
     # at most five entries per (team, day), latest first
     known = games.groupBy(*TEAM_DAY).agg(
         F.sort_array(F.collect_list(F.struct("back", "game_id", "club_id", "size"))).alias("g")
@@ -379,9 +383,10 @@ def availability_state(
     """All 21 features per (team, day); NULL throughout when the team has no earlier match."""
     parts = participation(appearances, lineups)
     key = list(TEAM_DAY)
+    recent = recent_games(fixtures)
     load = load_state(fixtures, parts)
-    state = load.join(pool_state(fixtures, parts, valuations), key, "left").join(
-        lineup_state(fixtures, parts), key, "left"
+    state = load.join(pool_state(recent, parts, valuations), key, "left").join(
+        lineup_state(recent, parts), key, "left"
     )
     seen = F.col("days_since_prev_match").isNotNull()
     zero_if_seen = ("unique_players_5", "unique_players_10")

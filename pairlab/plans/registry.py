@@ -446,7 +446,7 @@ def availability_pool(spark, sf):
         spark,
         sf,
         POOL_FEATURES,
-        lambda t, p: availability.pool_state(t.fixtures, p, t.valuations),
+        lambda t, p: availability.pool_state(availability.recent_games(t.fixtures), p, t.valuations),
     )
 
 
@@ -454,14 +454,14 @@ def availability_pool(spark, sf):
 def availability_value(spark, sf):
     chosen = [c for c in S.AVAILABILITY_BASE if "value" in c]
     return _sided(
-        spark, sf, chosen, lambda t, p: availability.pool_state(t.fixtures, p, t.valuations)
+        spark, sf, chosen, lambda t, p: availability.pool_state(availability.recent_games(t.fixtures), p, t.valuations)
     )
 
 
 @query
 def availability_lineup(spark, sf):
     chosen = [c for c in S.AVAILABILITY_BASE if c.endswith("_last") or c == "avg_starter_changes_5"]
-    return _sided(spark, sf, chosen, lambda t, p: availability.lineup_state(t.fixtures, p))
+    return _sided(spark, sf, chosen, lambda t, p: availability.lineup_state(availability.recent_games(t.fixtures), p))
 
 
 def availability_table(t: Tables) -> DataFrame:
