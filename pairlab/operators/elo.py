@@ -156,7 +156,7 @@ def _replay_by_date(
                 (F.coalesce("rating", "Elo") + F.coalesce("delta", F.lit(0.0))).alias("rating"),
             )
         )
-    return spark.read.schema(STATE).parquet(table)
+    return spark.read.schema(STATE).parquet(table).select(*H.TEAM, "MatchDate", "Elo")
 
 
 def elo_state(
@@ -190,7 +190,7 @@ def elo_state(
             games.where(F.col("Division").isin(hot)), start, k, advantage, reversion
         )
         out = out.unionByName(large)
-    return out
+    return out.select(*H.TEAM, "MatchDate", "Elo")
 
 
 def add_elo_features(matches: DataFrame, **parameters) -> DataFrame:

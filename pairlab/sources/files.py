@@ -47,7 +47,7 @@ def _headers(spark: SparkSession, path: str) -> DataFrame:
         .load(path)
     )
     utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    line = F.element_at(F.split(F.decode("content", F.lit("ISO-8859-1")), r"\r?\n", 2), 1)
+    line = F.element_at(F.split(F.decode("content", "ISO-8859-1"), r"\r?\n", 2), 1)
     return files.select("path", utf8.alias("utf8"), line.alias("header"))
 
 
@@ -180,11 +180,16 @@ RECORD_SCHEMA = T.StructType(
 )
 
 
-def read_experiment_records(spark: SparkSession, directory: str) -> DataFrame:
-    """Nested experiment records, one JSON document per file; a malformed file stops the job."""
+def read_experiment_records(
+    spark: SparkSession, directory: str, lines: bool = False
+) -> DataFrame:
+    """Nested experiment records, one JSON document per file or, with ``lines``, per line.
+
+    A malformed document stops the job.
+    """
     return (
         spark.read.schema(RECORD_SCHEMA)
-        .option("multiLine", True)
+        .option("multiLine", not lines)
         .option("mode", "FAILFAST")
         .json(directory)
     )

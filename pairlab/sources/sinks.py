@@ -21,8 +21,8 @@ def _write(df: DataFrame, destination: str, rows_per_file: int) -> None:
     bad = unsafe.collect()
     if bad:
         raise S.ContractError(f"unsafe division partition name: {bad[0][0]!r}")
-    # One file per division, except that a division over the bound is cut into date ranges, so
-    # no task writes an unbounded partition. Only the large divisions are listed.
+    # One file per division, except that a division over the bound is spread over tasks by date
+    # and cut into files, so nothing writes an unbounded partition. Only large ones are listed.
     big = {
         r["Division"]: -(-r["count"] // rows_per_file)
         for r in df.groupBy("Division").count().where(F.col("count") > rows_per_file).collect()
@@ -42,6 +42,7 @@ def _write(df: DataFrame, destination: str, rows_per_file: int) -> None:
         placed.sortWithinPartitions("Division", *S.KEY)
         .write.partitionBy("Division")
         .option("compression", "zstd")
+        .option("maxRecordsPerFile", rows_per_file)
         .option("partitionOverwriteMode", "dynamic")
         .mode("overwrite")
         .parquet(destination)
