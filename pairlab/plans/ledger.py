@@ -8,10 +8,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from pairlab import schema as S
 from pairlab.functions.scalars import finite
+from pairlab.operators.indexing import dense_index
 from pairlab.operators.metrics import MIN_FOLDS, MIN_IMPROVEMENT
 
 # Tolerance and roles.
@@ -133,24 +133,32 @@ def validate_ledger(records: DataFrame) -> DataFrame:
 def rank_by_improvement(checked: DataFrame) -> DataFrame:
     """Rank of every candidate by improvement over its own baseline, ties by identifier.
 
-    Improvements are comparable across populations; the ledger holds one row per experiment.
+    Improvements are comparable across populations.
     """
-    candidates = checked.where(F.col("role") == "research_candidate")
-    order = Window.orderBy(F.col("improvement").desc(), F.col("experiment_id"))
-    return candidates.select(
-        F.row_number().over(order).cast("bigint").alias("rank"),
-        "experiment_id",
-        "population_id",
-        "improvement",
+    candidates = checked.where(F.col("role") == "research_candidate").select(
+        "experiment_id", "population_id", "improvement"
+    )
+    placed = dense_index(candidates, [F.col("improvement").desc(), F.col("experiment_id")], "at")
+    return placed.select(
+        (F.col("at") + 1).alias("rank"), "experiment_id", "population_id", "improvement"
     )
 
 
 def rank_raw_within_population(checked: DataFrame) -> DataFrame:
-    """Rank by raw log loss, only ever among candidates of one population."""
-    order = Window.partitionBy("population_id").orderBy("candidate_log_loss", "experiment_id")
-    return checked.where(F.col("role") == "research_candidate").select(
+    """Rank by raw log loss, only ever among candidates of one population.
+
+    Positions in one range-sorted order, counted from each population's first.
+    """
+    candidates = checked.where(F.col("role") == "research_candidate").select(
+        "population_id", "candidate_log_loss", "experiment_id"
+    )
+    placed = dense_index(
+        candidates, ["population_id", "candidate_log_loss", "experiment_id"], "at"
+    )
+    first = placed.groupBy("population_id").agg(F.min("at").alias("_first"))
+    return placed.join(first, "population_id").select(
         "population_id",
-        F.row_number().over(order).cast("bigint").alias("rank"),
+        (F.col("at") - F.col("_first") + 1).alias("rank"),
         "experiment_id",
         "candidate_log_loss",
     )
