@@ -32,7 +32,7 @@ K_FACTOR = 40.0
 HOME_ADVANTAGE = 60.0
 SEASON_REVERSION = 0.30
 
-MAX_GROUP_ROWS = 5_000_000
+MAX_GROUP_ROWS = 2_000_000
 STATE = "Division string, SeasonStartYear bigint, MatchDate date, team string, Elo double"
 
 

@@ -155,7 +155,7 @@ def compare_models(
         F.col("log_loss").alias("baseline_log_loss"),
     )
     rest = fold_metrics.where(F.col("model") != baseline)
-    return rest.join(F.broadcast(base), list(by)).select(  # one row per fold
+    return rest.join(base, list(by)).select(
         *by,
         F.col("model").alias("candidate"),
         "n_samples",

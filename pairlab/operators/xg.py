@@ -113,8 +113,8 @@ def align_external_xg(
     ``aligned`` is 1 where an external row exists; unmatched matches stay as missing slots.
     """
     name = team_name_udf(aliases)
-    covered = normal.select("Division").distinct()  # at most the supported divisions
-    ours = matches.join(F.broadcast(covered), "Division", "left_semi").select(
+    covered = normal.select("Division").distinct()
+    ours = matches.join(covered, "Division", "left_semi").select(
         *S.KEY,
         "SeasonStartYear",
         "FTHome",

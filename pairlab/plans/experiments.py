@@ -23,7 +23,7 @@ from pairlab.operators import baselines, folds, market, metrics
 from pairlab.plans import ledger
 from pairlab.session import durable
 
-BASELINE = "lr52"
+BASELINE = "base52"
 PARALLEL_FITS = 6
 
 

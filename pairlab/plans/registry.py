@@ -607,7 +607,7 @@ def fitted_features(t: Tables) -> DataFrame:
     return durable(features.build_feature_table(t.canonical, EXPECTED))
 
 
-def outcome_rows(outcome, baseline: str = "lr52") -> DataFrame:
+def outcome_rows(outcome, baseline: str = "base52") -> DataFrame:
     """Fold metrics with improvement over the baseline."""
     compared = outcome.comparison(baseline).select(
         "fold", F.col("candidate").alias("model"), "improvement_log_loss"

@@ -145,7 +145,7 @@ def test_final_rows_never_change_development_numbers(outcome):
         F.when(F.col("SeasonStartYear") == 2001, 9.0).otherwise(F.col("HomeElo_pre")),
     )
     again = experiments.backtest(spoiled, (1999, 2000, 2001), 2001)
-    where = "model = 'lr52' AND fold_role = 'development'"
+    where = "model = 'base52' AND fold_role = 'development'"
 
     def values(o):
         return sorted((r.fold, round(r.log_loss, 9)) for r in o.fold_metrics.where(where).collect())
@@ -156,7 +156,7 @@ def test_final_rows_never_change_development_numbers(outcome):
 def test_market_comparison(outcome, tables):
     _, out = outcome
     per_fold, views = experiments.compare_with_market(out, tables.market)
-    row = per_fold.where("model = 'lr52'").first()
+    row = per_fold.where("model = 'base52'").first()
     assert 0 < row.aligned_rows < row.candidate_test_rows
     market = per_fold.where(f"model = 'market' AND fold = '{row.fold}'").first()
     assert row.market_advantage_log_loss == pytest.approx(row.log_loss - market.log_loss)
