@@ -109,14 +109,20 @@ def with_pseudo_xg(matches: DataFrame, coefficients: DataFrame) -> DataFrame:
     )
 
 
-def pseudo_xg_features(matches: DataFrame, coefficients: DataFrame | None = None) -> DataFrame:
+def pseudo_xg_features(
+    matches: DataFrame,
+    coefficients: DataFrame | None = None,
+    targets: DataFrame | None = None,
+) -> DataFrame:
     """The 12 walk-forward pseudo-xG features of every match, in one window pass.
 
     Histories are season-local and a season has one model, so every season's features come out
-    of the same pass.
+    of the same pass. ``targets`` may name other matches than those of the history.
     """
     if coefficients is None:
         coefficients = walk_forward_coefficients(matches)
     valued = with_pseudo_xg(matches, coefficients)
-    state = xg.history_state(valued, "home_pxg", "away_pxg", "Pxg", diff=False)
-    return xg.on_matches(matches, state, S.PSEUDO_XG_FEATURES, "pxg")
+    asked = None if targets is None else H.team_days(targets)
+    state = xg.history_state(valued, "home_pxg", "away_pxg", "Pxg", diff=False, asked=asked)
+    wanted = matches if targets is None else targets
+    return xg.on_matches(wanted, state, S.PSEUDO_XG_FEATURES, "pxg")

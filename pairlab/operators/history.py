@@ -87,6 +87,36 @@ def prior_tail(entity: Sequence[str], day: str, k: int, tail: str = "day_tail")
     return last_rows(F.flatten(F.collect_list(tail).over(frame)), k)
 
 
+def tails_before(
+    daily: DataFrame, entity: Sequence[str], day: str, k: int, asked: DataFrame | None = None
+) -> DataFrame:
+    """``tail``: the last ``k`` rows before each (entity, day).
+
+    Without ``asked`` the days are those of the history itself. With it they are the distinct days
+    of ``asked``, which need not occur in the history: each reads the tail the latest earlier
+    history day left behind.
+    """
+    if asked is None:
+        return daily.select(*entity, day, prior_tail(entity, day, k).alias("tail"))
+    through = over_days(entity, day).rowsBetween(-(k - 1), 0)
+    left = last_rows(F.flatten(F.collect_list("day_tail").over(through)), k)
+    known = daily.select(*entity, day, left.alias("tail"), F.lit(0).alias("_ask"))
+    empty = F.lit(None).cast(known.schema["tail"].dataType)
+    wanted = asked.select(*entity, day).distinct().select(
+        *entity, day, empty.alias("tail"), F.lit(1).alias("_ask")
+    )
+    latest = F.last("tail", ignorenulls=True).over(days_before(entity, day))
+    return (
+        known.unionByName(wanted).withColumn("tail", latest).where(F.col("_ask") == 1).drop("_ask")
+    )
+
+
+def team_days(targets: DataFrame, season: bool = True) -> DataFrame:
+    """The (entity, day) pairs that targets ask about."""
+    keep = ["Division", *(["SeasonStartYear"] if season else []), "MatchDate"]
+    return sides(targets, keep, {"team": (F.col("HomeTeam"), F.col("AwayTeam"))}).drop("side")
+
+
 def slot(tail: str, back: int) -> Column:
     """The ``back``-th most recent entry of a tail (1 = latest), NULL when there are fewer."""
     return F.get(F.col(tail), F.size(tail) - back)

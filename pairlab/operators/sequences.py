@@ -63,7 +63,9 @@ def descriptor_sides(matches: DataFrame) -> DataFrame:
     return H.sides(matches, keep, pairs)
 
 
-def sequence_state(matches: DataFrame, length: int = LENGTH) -> DataFrame:
+def sequence_state(
+    matches: DataFrame, length: int = LENGTH, asked: DataFrame | None = None
+) -> DataFrame:
     """Per (division, team, day): descriptors of the last matches before it, over all seasons."""
     if length < 1:
         raise ValueError("the sequence length must be positive")
@@ -72,20 +74,23 @@ def sequence_state(matches: DataFrame, length: int = LENGTH) -> DataFrame:
     daily = H.day_tails(
         rows, H.CAREER, "MatchDate", ("HomeTeam", "AwayTeam"), payload, length
     )
-    return daily.select(
-        *H.CAREER, "MatchDate", H.prior_tail(H.CAREER, "MatchDate", length).alias("past")
+    return H.tails_before(daily, H.CAREER, "MatchDate", length, asked).withColumnRenamed(
+        "tail", "past"
     )
 
 
 def match_sequences(
-    targets: DataFrame, matches: DataFrame, length: int = LENGTH
+    targets: DataFrame, matches: DataFrame, length: int = LENGTH, inside: bool = False
 ) -> DataFrame:
     """Home and away sequences of every target, oldest first.
 
+    ``inside`` says that the targets are rows of the history, which saves a step.
+
     A sequence is as long as the history (its size is the mask); each element holds the 13
     descriptors, the last two relative to the target.
     """
-    state = sequence_state(matches, length)
+    asked = None if inside else H.team_days(targets, season=False)
+    state = sequence_state(matches, length, asked)
     joined = H.join_sides(
         targets.select(*S.KEY, "SeasonStartYear"), state, ["past"], season=False
     )

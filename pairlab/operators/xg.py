@@ -258,7 +258,12 @@ def history_issues(aligned: DataFrame) -> DataFrame:
 
 
 def history_state(
-    rows: DataFrame, home: str, away: str, prefix: str, diff: bool
+    rows: DataFrame,
+    home: str,
+    away: str,
+    prefix: str,
+    diff: bool,
+    asked: DataFrame | None = None,
 ) -> DataFrame:
     """Per (team, day): means over the last five and ten matches with both values present.
 
@@ -280,9 +285,9 @@ def history_state(
     daily = H.day_tails(
         team, H.TEAM, "MatchDate", ("HomeTeam", "AwayTeam"), ("x_for", "x_against", "goals"), k
     )
-    state = daily.select(
-        *H.TEAM, "MatchDate", H.prior_tail(H.TEAM, "MatchDate", k).alias("tail")
-    ).select(*H.TEAM, "MatchDate", *[H.slot("tail", i).alias(f"s{i}") for i in range(1, k + 1)])
+    state = H.tails_before(daily, H.TEAM, "MatchDate", k, asked).select(
+        *H.TEAM, "MatchDate", *[H.slot("tail", i).alias(f"s{i}") for i in range(1, k + 1)]
+    )
     columns = []
     for w in WINDOWS:
         slots = [f"s{i}" for i in range(1, w + 1)]
@@ -334,10 +339,11 @@ def on_matches(targets: DataFrame, state: DataFrame, features: Sequence[str], ta
     return joined.select(*S.KEY, *features)
 
 
-def xg_features(targets: DataFrame, aligned: DataFrame) -> DataFrame:
-    """The 16 external-xG features of every target match; targets outside stay NULL.
+def xg_features(targets: DataFrame, aligned: DataFrame, inside: bool = False) -> DataFrame:
+    """The 16 external-xG features of every target match, NULL where a team has no history.
 
-    Targets must be among the aligned matches (each team-day needs a state row).
+    ``inside`` says that the targets are rows of the aligned history, which saves a step.
     """
-    state = history_state(aligned, "home_xg", "away_xg", "Xg", diff=True)
+    asked = None if inside else H.team_days(targets)
+    state = history_state(aligned, "home_xg", "away_xg", "Xg", diff=True, asked=asked)
     return on_matches(targets, state, S.XG_FEATURES, "xg")

@@ -62,6 +62,25 @@ def test_xg_history(spark):
     assert got[4].GminusXgForAvg5_H_xg_pre is None  # a counted match has no goals
 
 
+def test_targets_outside_the_history(spark, matches):
+    cut = "1999-06-01"
+    past, later = matches.where(F.col("MatchDate") < cut), matches.where(F.col("MatchDate") >= cut)
+    made = {k: v for k, v in table(sequences.match_sequences(later, past)).items()}
+    assert len(made) == later.count() and any(v[1] for v in made.values())
+    for k, v in made.items():
+        assert all(x.log_days_ago > 0 for x in v[1])
+    whole = table(sequences.match_sequences(matches, matches))
+    inside = table(sequences.match_sequences(matches, matches, inside=True))
+    assert whole == inside
+    # before the first later match of a team, its past is the same with and without later rows
+    first = {}
+    for k in sorted(made):
+        first.setdefault((k[1], k[2]), k)
+        first.setdefault((k[1], k[3]), k)
+    fresh = [k for k in made if first[k[1], k[2]] == k and first[k[1], k[3]] == k]
+    assert fresh and all(made[k] == whole[k] for k in fresh)
+
+
 def test_external_schema(spark, tables):
     with pytest.raises(S.ContractError, match="unexpected"):
         xg.normalise_external(tables.external_xg.withColumn("x", F.lit(1)))
