@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import language_id, packing, simhash
+from pairlab.llm import decontaminate, language_id, line_dedup, packing, simhash
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,26 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that five or more sources share."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return line_dedup.remove_shared_lines(docs)
+
+
+SQL["op3_line_dedup"] = line_dedup.SQL
+
+
+@_register
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a window of a benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontaminate.contamination(docs, items)
+
+
+SQL["op6_decontamination"] = decontaminate.SQL
+
+
 @_register
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of at most 4096 tokens."""
