@@ -5,7 +5,15 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from pairlab.llm import decontaminate, language_id, line_dedup, packing, simhash
+from pairlab.llm import (
+    decontaminate,
+    html_text,
+    language_id,
+    line_dedup,
+    packing,
+    pii,
+    simhash,
+)
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -44,6 +52,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op3_line_dedup"] = line_dedup.SQL
 
 
+@_register
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 @_register
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in a window of a benchmark item."""
