@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pairlab.llm import (
     decontaminate,
+    ego_join,
     html_text,
     language_id,
     line_dedup,
@@ -74,6 +75,12 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op6_decontamination"] = decontaminate.SQL
 
 
+@_register
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector."""
+    return ego_join.near_duplicate_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @_register
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of at most 4096 tokens."""
