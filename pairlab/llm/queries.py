@@ -10,10 +10,12 @@ from pairlab.llm import (
     ego_join,
     html_text,
     language_id,
+    licenses,
     line_dedup,
     packing,
     pii,
     simhash,
+    warc,
 )
 
 QUERIES: dict = {}
@@ -75,6 +77,15 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["op6_decontamination"] = decontaminate.SQL
 
 
+@_register
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record of every page in the deduplicated archives, read back from them."""
+    _, records = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return records.select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
+    )
+
+
 @_register
 def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and component of every vector."""
@@ -86,3 +97,9 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place of every piece of every document in sequences of at most 4096 tokens."""
     docs = table(spark, sf_dir, "documents")
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_register
+def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every document."""
+    return licenses.scan(table(spark, sf_dir, "documents"))
