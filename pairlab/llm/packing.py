@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import bisect
+import os
 import zlib
 from collections import deque
+from functools import cache
 from typing import NamedTuple
 
 import numpy as np
@@ -16,7 +18,7 @@ from pairlab.session import durable
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 400_000  # words whose ids a task remembers; it starts anew beyond them
+CACHE_WORDS = 500_000  # words whose ids a Python worker remembers
 
 PIECES = (
     "piece int, start bigint, length bigint, ids_crc32 bigint, _part int, _rank bigint"
@@ -127,30 +129,89 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Run]:
     return runs
 
 
-def _encoder(tokenizer_path: str):
-    """A function from a text to its ids.
+class Encoder:
+    """Token ids of texts, as little-endian 32-bit bytes.
 
-    The vocabulary's splitter never joins characters across white space, so a text's ids are those
-    of its blank-separated parts in order, and a part's ids are looked up once for each task.
+    The vocabulary's splitter never joins characters across white space, and parts letters from
+    punctuation. So a text's ids are those of its blank-separated parts in order, and a part made of
+    Latin letters and then ASCII punctuation is two words. Words are encoded once and remembered;
+    those met after the memory is full are encoded again when they return.
     """
-    from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    known: dict[str, np.ndarray] = {}
+    PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
-    def encode(text: str) -> np.ndarray:
+    def __init__(self, tokenizer_path: str, memory: int = CACHE_WORDS):
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        self.memory = memory
+        self.parts: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(size, dtype=bool)
+        if suffix:
+            for token, i in self.tokenizer.get_vocab().items():
+                self.ends[i] = token.endswith(suffix)
+
+    def _whole(self, items: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(items, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
+
+    def _letters(self, words: list[str]) -> list[bytes]:
+        """Ids of words of letters: encoded in one go and cut after each token that ends a word."""
+        text = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
+        ids = np.array(text.ids, dtype="<u4")
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words) or cuts[-1] != len(ids):
+            return self._whole(words)
+        raw, at = ids.tobytes(), [0, *(4 * cuts).tolist()]
+        return [raw[lo:hi] for lo, hi in zip(at, at[1:])]
+
+    def _learn(self, new: list[str]) -> dict[str, bytes]:
+        plain, other = {}, []
+        for p in new:
+            word = p.rstrip(self.PUNCTUATION)
+            if word.isalpha() and max(word) < "\u0100" or not word and p:
+                plain[p] = word.lower(), p[len(word) :]
+            else:
+                other.append(p)
+        out = dict(zip(other, self._whole(other))) if other else {}
+        words, known = {}, self.words
+        for pair in plain.values():
+            for w in pair:
+                if w and w not in known:
+                    words[w] = b""
+        if words:
+            letters = [w for w in words if w.isalpha()]
+            marks = [w for w in words if not w.isalpha()]
+            for group, method in ((letters, self._letters), (marks, self._whole)):
+                if group:
+                    words.update(zip(group, method(group)))
+            if len(known) + len(words) <= self.memory:
+                known.update(words)
+        for p, pair in plain.items():
+            out[p] = b"".join(known.get(w) or words[w] for w in pair if w)
+        return out
+
+    def __call__(self, text: str) -> bytes:
         parts = text.replace("\n", " ").split(" ")
-        new = {p for p in parts if p not in known}
+        known = self.parts
+        new = [p for p in set(parts) if p not in known]
         if new:
-            if len(known) + len(new) > CACHE_WORDS:
-                known.clear()
-                new = set(parts)
-            new = list(new)
-            for p, e in zip(new, tokenizer.encode_batch(new, add_special_tokens=False)):
-                known[p] = np.array(e.ids, dtype="<u4")
-        return np.concatenate([known[p] for p in parts])
+            learned = self._learn(new)
+            if len(known) + len(new) <= self.memory:
+                known.update(learned)
+            else:
+                known = learned | {p: known[p] for p in set(parts) if p not in learned}
+        return b"".join(map(known.__getitem__, parts))
+
 
-    return encode
+@cache
+def _encoder(tokenizer_path: str) -> Encoder:
+    """One for each Python worker, which serves one task after another."""
+    return Encoder(tokenizer_path)
 
 
 def pieces(
@@ -170,18 +231,20 @@ def pieces(
         part = TaskContext.get().partitionId()
         encode = _encoder(tokenizer_path)
         ranks: dict[int, int] = {}
-        end = np.array([end_id], dtype="<u4")
+        end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows, cols = [], [[] for _ in range(7)]
             for at, text in enumerate(batch.column(1)):
-                ids = np.concatenate([encode(text.as_py() or ""), end])
-                for k, lo in enumerate(range(0, len(ids), capacity)):
-                    own = ids[lo : lo + capacity]
-                    n = len(own)
+                ids = encode(text.as_py() or "") + end
+                for k, lo in enumerate(range(0, len(ids) // 4, capacity)):
+                    own = ids[4 * lo : 4 * (lo + capacity)]
+                    n = len(own) // 4
                     rank = ranks.get(n, 0)
                     ranks[n] = rank + 1
                     rows.append(at)
-                    values = (k, lo, n, zlib.crc32(own.tobytes()), part, rank, own if with_ids else None)
+                    values = (k, lo, n, zlib.crc32(own), part, rank)
+                    if with_ids:
+                        values += (np.frombuffer(own, dtype="<u4"),)
                     for c, v in zip(cols, values):
                         c.append(v)
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
