@@ -63,9 +63,9 @@ def principal_dimensions(classes: DataFrame, width: int, dimensions: int) -> np.
     return np.ascontiguousarray(vectors[:, ::-1][:, :dimensions])
 
 
-def _boxes(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _boxes(points: np.ndarray, tile_rows: int) -> tuple[np.ndarray, np.ndarray]:
     """Lowest and highest corner of each tile of rows."""
-    starts = np.arange(0, len(points), TILE_ROWS)
+    starts = np.arange(0, len(points), tile_rows)
     return np.minimum.reduceat(points, starts), np.maximum.reduceat(points, starts)
 
 
@@ -80,7 +80,7 @@ def _exact(x: np.ndarray, y: np.ndarray) -> float:
     return dot / sqrt(xx * yy)
 
 
-def _join(width: int, basis: np.ndarray, threshold: float):
+def _join(width: int, basis: np.ndarray, threshold: float, tile_rows: int):
     """Compare the two blocks of each pair, tile by tile.
 
     Rows come sorted by pair, the first block's before the second's. A task holds one block. For
@@ -108,8 +108,8 @@ def _join(width: int, basis: np.ndarray, threshold: float):
             for i, j in zip(*np.nonzero(reach)):
                 if inside and j < i:
                     continue
-                h = slice(i * TILE_ROWS, (i + 1) * TILE_ROWS)
-                v = slice(j * TILE_ROWS, (j + 1) * TILE_ROWS)
+                h = slice(i * tile_rows, (i + 1) * tile_rows)
+                v = slice(j * tile_rows, (j + 1) * tile_rows)
                 cos = rows["unit"][v] @ home["unit"][h].T
                 near = cos >= threshold
                 for r, c in zip(*np.nonzero(np.abs(cos - threshold) < BORDER)):
@@ -131,7 +131,7 @@ def _join(width: int, basis: np.ndarray, threshold: float):
                     fresh = peer[at] < 0
                     peer[at[fresh]] = first[fresh]
                     pairs = np.unique(np.stack([peer[at], own], axis=1), axis=0)
-                if inside and len(pairs) > 4 * TILE_ROWS:
+                if inside and len(pairs) > 4 * tile_rows:
                     # rows with the same first match are joined through it
                     first = pairs[np.searchsorted(pairs[:, 0], pairs[:, 0]), 1]
                     star = np.stack([first, pairs[:, 1]], axis=1)
@@ -162,7 +162,7 @@ def _join(width: int, basis: np.ndarray, threshold: float):
 
         def rows_of(seq, n, raw):
             unit = _unit(raw)
-            return {"seq": seq, "n": n, "raw": raw, "unit": unit, "boxes": _boxes(unit @ basis)}
+            return {"seq": seq, "n": n, "raw": raw, "unit": unit, "boxes": _boxes(unit @ basis, tile_rows)}
 
         def open_home():
             seq, n, raw = (np.concatenate(x) for x in zip(*state["waiting"]))
@@ -248,6 +248,7 @@ def near_duplicate_vectors(
     threshold: float = THRESHOLD,
     dimensions: int = DIMENSIONS,
     block_rows: int = BLOCK_ROWS,
+    tile_rows: int = TILE_ROWS,
     id_col: str = "vec_id",
     vec_col: str = "embedding",
 ) -> DataFrame:
@@ -329,7 +330,7 @@ def near_duplicate_vectors(
         .select("a", "b", "side", "seq", "n", "vec")
         .repartition("a", "b")
         .sortWithinPartitions("a", "b", "side")
-        .mapInArrow(_join(width, basis, threshold), "seq bigint, links bigint, peer bigint")
+        .mapInArrow(_join(width, basis, threshold, tile_rows), "seq bigint, links bigint, peer bigint")
     )
     roots = connected_components(
         compared.select(F.col("seq").alias("a"), F.col("peer").alias("b"))

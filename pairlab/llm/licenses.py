@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_right
 from typing import NamedTuple
 
 import numpy as np
@@ -190,23 +190,22 @@ def find_licenses(
         ids.append(get(m.group().lower(), 0))
         places.append(m)
     ids = np.array(ids, dtype=np.uint64)
-    seeds: dict[int, Counter] = {}
+    seeds: dict[int, dict[int, list[int]]] = {}
     for at, h in index.fingerprints(ids):
         for t, own in index.postings.get(h, ()):
-            seeds.setdefault(t, Counter())[at - own] += 1
+            seeds.setdefault(t, {}).setdefault(at - own, []).append(at)
     found = []
     for t, diagonals in seeds.items():
         words = index.words[t]
-        done = None
-        for d in sorted(diagonals):
-            if done is not None and d <= done + band:
-                continue  # within the band of the diagonal before
-            done = d
-            near = [x for x in range(d, d + band + 1) if x in diagonals]
-            centre = max(near, key=lambda x: (diagonals[x], -x))
-            matched, first, last = align(words, ids, centre, band)
+        width = min(band, max(1, len(words) // 4))  # a strip that holds one copy of the template
+        settled = bytearray(len(ids))
+        for d in sorted(diagonals, key=lambda x: (-len(diagonals[x]), x)):
+            if all(settled[p] for p in diagonals[d]):
+                continue  # its fingerprints lie in matches found before
+            matched, first, last = align(words, ids, d, width)
             coverage = matched / len(words)
             if coverage >= min_coverage:
+                settled[first : last + 1] = b"\1" * (last + 1 - first)
                 found.append(
                     Match(index.names[t], places[first].start(), places[last].end(), matched, round(coverage, 6))
                 )
@@ -215,8 +214,6 @@ def find_licenses(
     kept: list[Match] = []
     starts: list[int] = []
     ends: list[int] = []
-    from bisect import bisect_right
-
     for x in found:
         i = bisect_right(starts, x.start)
         if (i and ends[i - 1] > x.start) or (i < len(starts) and starts[i] < x.end):
