@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accepted text forms.
@@ -45,7 +45,10 @@ def parse_date(c: Column) -> Column:
 
 def parse_season(c: Column) -> Column:
     """Start year from 2023, 2023.0 (as a number), '2023', '2023-2024' or '2023/2024'."""
-    text = strip(c.cast("string"))
+    value = c.try_cast("double")
+    whole = F.when(value == F.floor(value), F.floor(value).cast("string"))
+    fractional = F.typeof(c).isin("double", "float") | F.typeof(c).startswith("decimal")
+    text = strip(F.when(fractional, whole).otherwise(c.cast("string")))
     start = F.regexp_extract(text, LONG_SEASON, 1).try_cast("bigint")
     end = F.regexp_extract(text, LONG_SEASON, 2).try_cast("bigint")
     year = F.coalesce(
@@ -111,3 +114,19 @@ def every(*conditions: Column) -> Column:
     for c in conditions[1:]:
         out = out & c
     return out
+
+
+def require(df: DataFrame, condition: Column, message: str) -> DataFrame:
+    """``df``, but a row that breaks the condition stops the job.
+
+    The guard is a filter: a narrower select cannot prune it, as it would a guarded column.
+    """
+    broken = F.raise_error(F.lit(message)).cast("boolean")
+    return df.where(F.when(condition, F.lit(True)).otherwise(broken))
+
+
+def preview(df: DataFrame, order: list[str], rows: int = 5) -> tuple[list, str]:
+    """The first rows in a fixed order, and a note of how many more there are."""
+    first = df.orderBy(*order).limit(rows + 1).collect()
+    more = df.count() - rows if len(first) > rows else 0
+    return first[:rows], f" (+{more} more)" if more else ""

@@ -252,50 +252,45 @@ def value_as_of(lookups: DataFrame, valuations: DataFrame) -> DataFrame:
     )
 
 
-def _top(pool: DataFrame, minutes: str, first: str) -> DataFrame:
-    """The eleven players with most minutes; ties by first appearance, then by identifier."""
+def _rank(minutes: str, first: str):
+    """Place among those who appeared: most minutes, then first appearance, then identifier."""
     order = Window.partitionBy(*TEAM_DAY).orderBy(
-        F.col(minutes).desc(), F.col(first).desc(), F.col("player_id")
-    )
-    return (
-        pool.where(F.col(first).isNotNull())
-        .withColumn("rank", F.row_number().over(order))
-        .where(F.col("rank") <= LINEUP_SIZE)
+        F.col(first).isNull(), F.col(minutes).desc(), F.col(first).desc(), F.col("player_id")
     )
+    return F.when(F.col(first).isNotNull(), F.row_number().over(order))
 
 
 def pool_state(recent: DataFrame, parts: DataFrame, valuations: DataFrame) -> DataFrame:
     """Pool sizes, minutes shares, distinct starters and squad values per (team, day).
 
-    The pool with its values is written once: three aggregations read it, each pruning to eleven
-    rows or folding map-side before its shuffle, so no pool has to fit into one task.
+    A pool holds the squad rows of at most ten games, so it fits a window group. Both rankings and
+    all sums come from one exchange by team and day.
     """
-    pool = player_pool(recent, parts)
+    pool = durable(player_pool(recent, parts))
     wanted = pool.where(F.col("first5").isNotNull() | F.col("start1").isNotNull())
     values = value_as_of(wanted, valuations)
-    pool = durable(pool.join(values, ["player_id", "MatchDate"], "left"))
+    ranked = pool.join(values, ["player_id", "MatchDate"], "left").withColumns(
+        {"r5": _rank("m5", "first5"), "r10": _rank("m10", "first10")}
+    )
     in5, value = F.col("first5").isNotNull(), F.col("value")
-    totals = pool.groupBy(*TEAM_DAY).agg(
+
+    def total(column: str, condition):
+        return F.sum(F.when(condition, F.col(column)))
+
+    joined = ranked.groupBy(*TEAM_DAY).agg(
         count_if(in5).alias("u5"),
         F.count("first10").alias("u10"),
-        F.sum(F.when(in5, F.col("m5"))).alias("t5"),
+        total("m5", in5).alias("t5"),
         F.sum("m10").alias("t10"),
         F.count("start5").alias("s5"),
-        F.sum(F.when(in5, value)).alias("recent_players_value_sum_5"),
-        F.sum(F.when(F.col("start1") == 1, value)).alias("last_starters_value_sum"),
+        total("value", in5).alias("recent_players_value_sum_5"),
+        total("value", F.col("start1") == 1).alias("last_starters_value_sum"),
         F.avg(F.when(in5, value.isNotNull().cast("double"))).alias("recent_value_coverage_5"),
+        total("m5", F.col("r5") <= 5).alias("a5"),
+        total("m5", F.col("r5") <= LINEUP_SIZE).alias("a11"),
+        total("value", F.col("r5") <= LINEUP_SIZE).alias("recent_top11_value_sum_5"),
+        total("m10", F.col("r10") <= LINEUP_SIZE).alias("b11"),
     )
-    top5 = (
-        _top(pool, "m5", "first5")
-        .groupBy(*TEAM_DAY)
-        .agg(
-            F.sum(F.when(F.col("rank") <= 5, F.col("m5"))).alias("a5"),
-            F.sum("m5").alias("a11"),
-            F.sum("value").alias("recent_top11_value_sum_5"),
-        )
-    )
-    top10 = _top(pool, "m10", "first10").groupBy(*TEAM_DAY).agg(F.sum("m10").alias("b11"))
-    joined = totals.join(top5, list(TEAM_DAY), "left").join(top10, list(TEAM_DAY), "left")
     return joined.select(
         *TEAM_DAY,
         F.col("u5").cast("double").alias("unique_players_5"),
@@ -381,9 +376,10 @@ def availability_state(
     fixtures: DataFrame, appearances: DataFrame, lineups: DataFrame, valuations: DataFrame
 ) -> DataFrame:
     """All 21 features per (team, day); NULL throughout when the team has no earlier match."""
-    parts = participation(appearances, lineups)
+    # each is read by two or three of the states below
+    parts = durable(participation(appearances, lineups))
+    recent = durable(recent_games(fixtures))
     key = list(TEAM_DAY)
-    recent = recent_games(fixtures)
     load = load_state(fixtures, parts)
     state = load.join(pool_state(recent, parts, valuations), key, "left").join(
         lineup_state(recent, parts), key, "left"

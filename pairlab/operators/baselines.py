@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab import schema as S
+from pairlab.functions.scalars import require
 
 PREDICTION = ("fold", "test_year", "fold_role", "model", *S.KEY, "label", *S.PROBABILITIES)
 
@@ -16,12 +17,12 @@ def training_prior(folds: DataFrame, label: str = "target_1x2") -> DataFrame:
     shares = [F.avg((F.col(label) == c).cast("double")) for c in S.CLASSES]
     present = F.least(*shares) > 0
     known = F.count_if(F.col(label).isin(*S.CLASSES)) == F.count(F.lit(1))
-    return train.groupBy("fold").agg(
-        F.when(present & known, shares[0])
-        .otherwise(F.raise_error(F.lit("the prior needs H, D and A in training")).cast("double"))
-        .alias(S.PROBABILITIES[0]),
-        *[s.alias(n) for s, n in zip(shares[1:], S.PROBABILITIES[1:], strict=True)],
+    prior = train.groupBy("fold").agg(
+        (present & known).alias("_complete"),
+        *[s.alias(n) for s, n in zip(shares, S.PROBABILITIES, strict=True)],
     )
+    complete = F.coalesce("_complete", F.lit(False))
+    return require(prior, complete, "the prior needs H, D and A in training").drop("_complete")
 
 
 def test_rows(folds: DataFrame, label: str = "target_1x2") -> DataFrame:

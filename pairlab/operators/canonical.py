@@ -170,25 +170,56 @@ def null_cells(columns: Sequence[str]):
     return sum((count_if(F.col(c).isNull()) for c in columns), F.lit(0)).cast("bigint")
 
 
+def _rules(df: DataFrame) -> dict:
+    """Violation counts of the canonical rules that the columns of ``df`` allow to check."""
+    types = dict(df.dtypes)
+    counts = [c for c in S.COUNT_COLUMNS if c in types]
+    broken = [c for c in counts if types[c] != "bigint"]
+    date = F.col("MatchDate")
+    if types.get("MatchDate", "date") != "date":
+        date = parse_date(date)
+    rules = {
+        "null_dates": (["MatchDate"], lambda: count_if(date.isNull())),
+        "null_seasons": (["SeasonStartYear"], lambda: count_if(F.col("SeasonStartYear").isNull())),
+        "blank_strings": (
+            STRINGS[:3],
+            lambda: count_if(any_of(*[is_blank(F.col(c)) for c in STRINGS[:3]])),
+        ),
+        "same_team_rows": (
+            ["HomeTeam", "AwayTeam"],
+            lambda: count_if(F.col("HomeTeam") == F.col("AwayTeam")),
+        ),
+        "invalid_results": (
+            ["FTR"],
+            lambda: count_if(~F.coalesce(F.col("FTR").isin(*S.CLASSES), F.lit(False))),
+        ),
+        "negative_counts": (
+            [],
+            lambda: sum((count_if(F.col(c) < 0) for c in counts), F.lit(0)).cast("bigint"),
+        ),
+        "fractional_counts": (
+            [],
+            lambda: sum((count_if(F.col(c) % 1 != 0) for c in broken), F.lit(0)).cast("bigint"),
+        ),
+        "null_key_cells": ([], lambda: null_cells([c for c in S.KEY if c in types])),
+    }
+    return {
+        code: count() if types.keys() >= set(needs) else F.lit(0).cast("bigint")
+        for code, (needs, count) in rules.items()
+    }
+
+
 def canonical_issues(df: DataFrame) -> DataFrame:
     """One row with the number of violations of every canonical rule."""
-    negative = [count_if(F.col(c) < 0) for c in S.COUNT_COLUMNS]
-    fraction = [
-        count_if(F.col(c) % 1 != 0) for c in S.COUNT_COLUMNS if dict(df.dtypes)[c] != "bigint"
-    ]
-    rules = df.agg(
-        F.count(F.lit(1)).alias("row_count"),
-        count_if(F.col("MatchDate").isNull()).alias("null_dates"),
-        count_if(F.col("SeasonStartYear").isNull()).alias("null_seasons"),
-        count_if(any_of(*[is_blank(F.col(c)) for c in STRINGS[:3]])).alias("blank_strings"),
-        count_if(F.col("HomeTeam") == F.col("AwayTeam")).alias("same_team_rows"),
-        count_if(~F.coalesce(F.col("FTR").isin(*S.CLASSES), F.lit(False))).alias(
-            "invalid_results"
-        ),
-        sum(negative[1:], negative[0]).alias("negative_counts"),
-        sum(fraction, F.lit(0)).cast("bigint").alias("fractional_counts"),
-        null_cells(S.KEY).alias("null_key_cells"),
-    )
+    return _issues(df, {})
+
+
+def _issues(df: DataFrame, more: dict) -> DataFrame:
+    counted = {"row_count": F.count(F.lit(1)), **_rules(df), **more}
+    rules = df.agg(*[c.alias(code) for code, c in counted.items()])
+    if not set(S.KEY) <= set(df.columns):
+        zero = F.lit(0).cast("bigint")
+        return rules.withColumns({"duplicate_keys": zero, "duplicate_rows": zero})
     return rules.crossJoin(F.broadcast(duplicate_summary(df)))  # two one-row aggregates
 
 
@@ -238,89 +269,47 @@ def sort_matches(df: DataFrame) -> DataFrame:
     return df.withColumn("MatchDate", date).orderBy(*S.KEY)
 
 
+FAULTS = (
+    "null_dates",
+    "null_seasons",
+    "blank_strings",
+    "same_team_rows",
+    "invalid_results",
+    "negative_counts",
+    "fractional_counts",
+    "null_key_cells",
+    "duplicate_keys",
+)
+
+
 def audit_canonical(df: DataFrame, input_rows: int | None = None) -> DataFrame:
-    """The structured audit: one row of counts, flags and an issue list.
+    """The structured audit: one row with the count of every canonical rule, and ``issues``.
 
-    ``deterministic_ordering`` is a property of stored files, see ``sources.sinks.order_check``;
-    here it says whether the rows can be ordered at all (every key present).
+    An issue is ``code:count``; ``missing_columns`` and ``lost_rows`` join the rules' codes.
+    ``can_be_ordered`` says whether every key is present; the order of stored files is checked by
+    ``sources.sinks.order_check``.
     """
-    missing = [c for c in S.CANONICAL if c not in df.columns]
-    have = [c for c in S.KEY if c in df.columns]
-    present = set(df.columns)
-    zero = F.lit(0).cast("bigint")
-    if "MatchDate" in present:
-        date = F.col("MatchDate")
-        parsed = date if dict(df.dtypes)["MatchDate"] == "date" else parse_date(date)
-        bad_dates = count_if(parsed.isNull())
-    else:
-        bad_dates = zero
-    rows = F.count(F.lit(1))
-    base = df.agg(
-        rows.alias("output_row_count"),
-        (F.countDistinct("Division") if "Division" in present else zero).alias(
-            "number_of_divisions"
-        ),
-        (F.countDistinct("SeasonStartYear") if "SeasonStartYear" in present else zero).alias(
-            "number_of_seasons"
-        ),
-        null_cells(have).alias("null_natural_key_cells"),
-        (
-            count_if(~F.coalesce(F.col("FTR").isin(*S.CLASSES), F.lit(False)))
-            if "FTR" in present
-            else zero
-        ).alias("invalid_target_labels"),
-        bad_dates.alias("invalid_dates"),
-        (
-            count_if(F.col("HomeTeam") == F.col("AwayTeam"))
-            if {"HomeTeam", "AwayTeam"} <= present
-            else zero
-        ).alias("invalid_home_away_rows"),
-    )
-    if len(have) == len(S.KEY):
-        repeated = duplicate_summary(df).select(
-            F.col("duplicate_keys").alias("duplicate_natural_keys")
-        )
-        base = base.crossJoin(F.broadcast(repeated))
-    else:
-        base = base.withColumn("duplicate_natural_keys", zero)
-    given = F.col("output_row_count") if input_rows is None else F.lit(input_rows).cast("bigint")
-    base = base.withColumn("input_row_count", given).withColumn(
-        "missing_required_columns", F.array(*[F.lit(c) for c in missing]).cast("array<string>")
-    )
-    ordered = F.lit(len(have) == len(S.KEY)) & (F.col("null_natural_key_cells") == 0)
-    base = base.withColumn("deterministic_ordering", ordered).withColumn(
-        "rows_preserved", F.col("input_row_count") == F.col("output_row_count")
-    )
+    types = dict(df.dtypes)
+    missing = [c for c in S.CANONICAL if c not in types]
 
-    def counted(column: str, text: str):
-        return F.when(F.col(column) > 0, F.concat(F.col(column).cast("string"), F.lit(text)))
+    def distinct(column: str):
+        return F.countDistinct(column) if column in types else F.lit(0).cast("bigint")
 
-    notes = [
-        F.when(
-            F.size("missing_required_columns") > 0,
-            F.concat(
-                F.lit("missing required columns: "),
-                F.array_join("missing_required_columns", ", "),
-            ),
-        ),
-        F.when(
-            ~F.col("rows_preserved"),
-            F.concat(
-                F.lit("row preservation failed: "),
-                F.col("input_row_count").cast("string"),
-                F.lit(" input vs "),
-                F.col("output_row_count").cast("string"),
-                F.lit(" output"),
-            ),
-        ),
-        counted("duplicate_natural_keys", " duplicate natural keys"),
-        counted("null_natural_key_cells", " null natural-key cells"),
-        counted("invalid_target_labels", " invalid FTR labels"),
-        counted("invalid_dates", " invalid MatchDate values"),
-        counted("invalid_home_away_rows", " rows have identical home and away teams"),
-        F.when(~F.col("deterministic_ordering"), F.lit("rows cannot be ordered by their key")),
-    ]
-    return base.withColumn("issues", F.array_compact(F.array(*notes))).withColumn(
+    counted = _issues(
+        df, {"divisions": distinct("Division"), "seasons": distinct("SeasonStartYear")}
+    )
+    given = F.col("row_count") if input_rows is None else F.lit(input_rows).cast("bigint")
+    counted = counted.withColumns(
+        {
+            "input_rows": given,
+            "lost_rows": given - F.col("row_count"),
+            "missing_columns": F.array(*[F.lit(c) for c in missing]).cast("array<string>"),
+            "can_be_ordered": (F.col("null_key_cells") == 0) & F.lit(not set(missing) & set(S.KEY)),
+        }
+    )
+    faults = {**{c: F.col(c) for c in FAULTS}, "missing_columns": F.size("missing_columns"), "lost_rows": F.col("lost_rows")}
+    issues = [F.when(n != 0, F.concat_ws(":", F.lit(code), n)) for code, n in faults.items()]
+    return counted.withColumn("issues", F.array_compact(F.array(*issues))).withColumn(
         "passed", F.size("issues") == 0
     )
 
@@ -329,5 +318,5 @@ def require_audit(df: DataFrame, input_rows: int | None = None):
     """The audit row, or an error with the complete issue list."""
     row = audit_canonical(df, input_rows).first()
     if not row.passed:
-        raise S.ContractError("canonical audit failed: " + "; ".join(row.issues))
+        raise S.ContractError(f"the audit found {', '.join(row.issues)}")
     return row

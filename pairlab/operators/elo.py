@@ -1,13 +1,9 @@
 """Date-batched Elo ratings.
 
 A rating feeds the next date's expectation through a logistic, so there is no window form: the
-dates of one division are inherently sequential. Divisions are independent and run in parallel.
-Two exact strategies share the work:
-
-* a division with at most ``max_group_rows`` matches is one grouped-map task holding five narrow
-  columns, vectorised over each date;
-* a larger division never enters a single task. Its dates are replayed one by one as Spark jobs
-  over a rating table, each date being a distributed join and aggregation.
+dates of one division are inherently sequential, and divisions run in parallel. Rows are sorted by
+division and date within tasks and replayed as a stream. A task holds the ratings of one division
+and the matches of one date, however many matches the division has.
 
 The output is a state row per (division, season, team, day) that played, holding the rating every
 match of that day reads.
@@ -15,8 +11,6 @@ match of that day reads.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,7 +18,6 @@ from pyspark.sql import functions as F
 
 from pairlab import schema as S
 from pairlab.operators import history as H
-from pairlab.session import durable, durable_root
 
 # Rating parameters.
 START = 1500.0
@@ -32,7 +25,6 @@ K_FACTOR = 40.0
 HOME_ADVANTAGE = 60.0
 SEASON_REVERSION = 0.30
 
-MAX_GROUP_ROWS = 2_000_000
 STATE = "Division string, SeasonStartYear bigint, MatchDate date, team string, Elo double"
 
 
@@ -44,119 +36,77 @@ def expected_home_score(home, away, advantage: float = HOME_ADVANTAGE):
     return F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), gap))
 
 
-def _replay(start: float, k: float, advantage: float, reversion: float):
-    """Grouped-map body: replay one division in date order, one vectorised step per date."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["MatchDate", "HomeTeam", "AwayTeam"], kind="stable")
-        teams, codes = np.unique(
-            np.concatenate([rows["HomeTeam"], rows["AwayTeam"]]), return_inverse=True
-        )
-        n = len(rows)
-        home, away = codes[:n], codes[n:]
-        score = rows["score"].to_numpy(float)
-        season = rows["SeasonStartYear"].to_numpy()
-        dates = rows["MatchDate"].to_numpy()
-        starts = np.flatnonzero(np.r_[True, dates[1:] != dates[:-1]])
-        ends = np.r_[starts[1:], n]
-        rating = np.full(len(teams), start)
-        current = None
-        who, when, values = [], [], []
-        for lo, hi in zip(starts, ends):
-            if (season[lo:hi] != season[lo]).any():
-                raise ValueError("one division and date spans two seasons")
-            if current is not None and season[lo] != current:
-                rating = rating * (1.0 - reversion) + start * reversion
-            current = season[lo]
-            h, a = home[lo:hi], away[lo:hi]
-            played = np.unique(np.concatenate([h, a]))
-            who.append(played)
-            when.append(np.full(len(played), lo))
-            values.append(rating[played])
-            change = k * (score[lo:hi] - expected_home_score(rating[h], rating[a], advantage))
-            np.add.at(rating, h, change)
-            np.subtract.at(rating, a, change)
-        at = np.concatenate(when)
-        return pd.DataFrame(
+class _Division:
+    """Ratings of one division while its dates go by."""
+
+    def __init__(self, name: str, start: float):
+        self.name, self.start = name, start
+        self.codes: dict[str, int] = {}
+        self.rating = np.full(64, start)
+        self.season = None
+
+    def code(self, teams) -> np.ndarray:
+        codes = self.codes
+        out = np.fromiter((codes.setdefault(t, len(codes)) for t in teams), int, len(teams))
+        while len(codes) > len(self.rating):
+            self.rating = np.concatenate([self.rating, np.full(len(self.rating), self.start)])
+        return out
+
+    def play(self, day: pd.DataFrame, k: float, advantage: float, reversion: float) -> pd.DataFrame:
+        """Pre-match ratings of the teams of one date; the ratings move on afterwards."""
+        season = day["SeasonStartYear"].iat[0]
+        if (day["SeasonStartYear"] != season).any():
+            raise ValueError("one division and date spans two seasons")
+        if self.season is not None and season != self.season:
+            self.rating = self.rating * (1.0 - reversion) + self.start * reversion
+        self.season = season
+        home, away = self.code(day["HomeTeam"]), self.code(day["AwayTeam"])
+        h, a = self.rating[home], self.rating[away]
+        played = np.unique(np.concatenate([home, away]))
+        names = np.array(list(self.codes), dtype=object)
+        state = pd.DataFrame(
             {
-                "Division": rows["Division"].iloc[0],
-                "SeasonStartYear": season[at],
-                "MatchDate": dates[at],
-                "team": teams[np.concatenate(who)],
-                "Elo": np.concatenate(values),
+                "Division": self.name,
+                "SeasonStartYear": season,
+                "MatchDate": day["MatchDate"].iat[0],
+                "team": names[played],
+                "Elo": self.rating[played],
             }
         )
+        change = k * (day["score"].to_numpy(float) - expected_home_score(h, a, advantage))
+        np.add.at(self.rating, home, change)
+        np.subtract.at(self.rating, away, change)
+        return state
 
-    return run
 
+def _replay(start: float, k: float, advantage: float, reversion: float):
+    """Replay rows that come sorted by division and date; the last date of a batch stays open."""
+
+    def run(batches):
+        division, open_rows = None, None
+
+        def play(day):
+            nonlocal division
+            name = day["Division"].iat[0]
+            if division is None or division.name != name:
+                division = _Division(name, start)
+            return division.play(day, k, advantage, reversion)
+
+        for rows in batches:
+            if open_rows is not None:
+                rows = pd.concat([open_rows, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            group = (rows[["Division", "MatchDate"]] != rows[["Division", "MatchDate"]].shift()).any(axis=1)
+            starts = np.flatnonzero(group.to_numpy())
+            open_rows = rows.iloc[starts[-1] :]
+            days = [play(rows.iloc[lo:hi]) for lo, hi in zip(starts, starts[1:])]
+            if days:
+                yield pd.concat(days, ignore_index=True)
+        if open_rows is not None and len(open_rows):
+            yield play(open_rows)
 
-def _replay_by_date(
-    games: DataFrame, start: float, k: float, advantage: float, reversion: float
-) -> DataFrame:
-    """Replay every date of the given divisions as distributed jobs over a rating table."""
-    spark = games.sparkSession
-    games = durable(games.repartition("MatchDate"), partition_by=("MatchDate",))
-    dates = [r[0] for r in games.select("MatchDate").distinct().orderBy("MatchDate").collect()]
-    ratings = spark.createDataFrame(
-        [], "Division string, team string, season bigint, rating double"
-    )
-    table = f"{durable_root(spark)}/pairlab-{uuid.uuid4().hex}"
-    for date in dates:
-        today = games.where(F.col("MatchDate") == F.lit(date))
-        season = today.groupBy("Division").agg(
-            F.min("SeasonStartYear").alias("now"), F.max("SeasonStartYear").alias("now_max")
-        )
-        now = F.when(F.col("now") == F.col("now_max"), F.col("now")).otherwise(
-            F.raise_error(F.lit("one division and date spans two seasons"))
-        )
-        moved = F.col("now").isNotNull() & (F.col("now") != F.col("season"))
-        ratings = ratings.join(
-            season.select("Division", now.alias("now")), "Division", "left"
-        ).select(
-            "Division",
-            "team",
-            F.coalesce("now", "season").alias("season"),
-            F.when(moved, F.col("rating") * (1.0 - reversion) + start * reversion)
-            .otherwise(F.col("rating"))
-            .alias("rating"),
-        )
-
-        def rated(team: str, alias: str) -> DataFrame:
-            return ratings.select("Division", F.col("team").alias(team), F.col("rating").alias(alias))
-
-        played = (
-            today.join(rated("HomeTeam", "h"), ["Division", "HomeTeam"], "left")
-            .join(rated("AwayTeam", "a"), ["Division", "AwayTeam"], "left")
-            .withColumn("h", F.coalesce("h", F.lit(start)))
-            .withColumn("a", F.coalesce("a", F.lit(start)))
-        )
-        change = F.lit(k) * (
-            F.col("score") - expected_home_score(F.col("h"), F.col("a"), advantage)
-        )
-        moves = (
-            H.sides(
-                played.withColumn("change", change),
-                ["Division", "SeasonStartYear", "MatchDate"],
-                {
-                    "team": (F.col("HomeTeam"), F.col("AwayTeam")),
-                    "Elo": (F.col("h"), F.col("a")),
-                    "delta": (F.col("change"), -F.col("change")),
-                },
-            )
-            .groupBy("Division", "SeasonStartYear", "MatchDate", "team")
-            .agg(F.first("Elo").alias("Elo"), F.sum("delta").alias("delta"))
-        )
-        moves.write.parquet(f"{table}/day={date}")
-        step = spark.read.schema(moves.schema).parquet(f"{table}/day={date}")
-        ratings = durable(
-            ratings.join(step, ["Division", "team"], "full").select(
-                "Division",
-                "team",
-                F.coalesce("season", "SeasonStartYear").alias("season"),
-                (F.coalesce("rating", "Elo") + F.coalesce("delta", F.lit(0.0))).alias("rating"),
-            )
-        )
-    return spark.read.schema(STATE).parquet(table).select(*H.TEAM, "MatchDate", "Elo")
+    return run
 
 
 def elo_state(
@@ -165,32 +115,27 @@ def elo_state(
     k: float = K_FACTOR,
     advantage: float = HOME_ADVANTAGE,
     reversion: float = SEASON_REVERSION,
-    max_group_rows: int = MAX_GROUP_ROWS,
 ) -> DataFrame:
     """Pre-match rating per (division, season, team, day)."""
     if not 0.0 <= reversion <= 1.0:
         raise ValueError("season reversion must lie in [0, 1]")
     if k < 0.0:
         raise ValueError("the K factor must not be negative")
-    score = F.when(F.col("FTR") == "H", 1.0).when(F.col("FTR") == "D", 0.5).when(
-        F.col("FTR") == "A", 0.0
+    result = F.col("FTR")
+    score = (
+        F.when(result == "H", 1.0)
+        .when(result == "D", 0.5)
+        .when(result == "A", 0.0)
+        .otherwise(F.raise_error(F.lit("a rated match has a result outside H, D and A")).cast("double"))
     )
-    games = matches.select(
-        "Division", "SeasonStartYear", "MatchDate", "HomeTeam", "AwayTeam", score.alias("score")
+    order = ["MatchDate", "HomeTeam", "AwayTeam"]
+    games = matches.select("Division", "SeasonStartYear", *order, score.alias("score"))
+    return (
+        games.repartition("Division")
+        .sortWithinPartitions("Division", *order)
+        .mapInPandas(_replay(start, k, advantage, reversion), STATE)
+        .select(*H.TEAM, "MatchDate", "Elo")
     )
-    # Only divisions over the bound come back, so this is as short as their list.
-    hot = [
-        r[0]
-        for r in matches.groupBy("Division").count().where(F.col("count") > max_group_rows).collect()
-    ]
-    small = games.where(~F.col("Division").isin(hot)) if hot else games
-    out = small.groupBy("Division").applyInPandas(_replay(start, k, advantage, reversion), STATE)
-    if hot:
-        large = _replay_by_date(
-            games.where(F.col("Division").isin(hot)), start, k, advantage, reversion
-        )
-        out = out.unionByName(large)
-    return out.select(*H.TEAM, "MatchDate", "Elo")
 
 
 def add_elo_features(matches: DataFrame, **parameters) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pairlab import schema as S
 from pairlab.operators import elo, form
 from pairlab.operators import history as H
-from pairlab.operators.labels import label_columns
+from pairlab.operators.labels import known_results, label_columns
 
 
 def team_day_state(matches: DataFrame, **elo_parameters) -> DataFrame:
@@ -35,7 +35,8 @@ def build_feature_table(
     matches = matches.select(*S.CANONICAL)
     state = team_day_state(matches, **elo_parameters)
     carried = [c for c in state.columns if c not in (*H.TEAM, "MatchDate")]
-    joined = H.join_sides(matches.select(*S.METADATA, *label_columns()), state, carried)
+    labelled = known_results(matches).select(*S.METADATA, *label_columns())
+    joined = H.join_sides(labelled, state, carried)
     return joined.select(
         *S.METADATA,
         *S.TARGETS,

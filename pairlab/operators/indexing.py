@@ -25,7 +25,9 @@ def dense_index(distinct: DataFrame, order: Sequence[str], name: str) -> DataFra
         F.col("_metadata.row_index").alias("_at"),
     )
     sizes = placed.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    # by number: as text, part-100000 comes before part-99999
+    number = F.regexp_extract("_file", r"part-(\d+)", 1).cast("bigint")
+    before = Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select(
         "_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset")
     )

@@ -6,27 +6,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab import schema as S
+from pairlab.functions.scalars import require
 
 
 def label_columns() -> list:
     result = F.col("FTR")
-    safe = F.when(result.isin(*S.CLASSES), result).otherwise(
-        F.raise_error(F.concat(F.lit("FTR outside H/D/A: "), F.coalesce(result, F.lit("null"))))
-    )
     hot = {"target_home_win": "H", "target_draw": "D", "target_away_win": "A"}
     goals = F.col("FTHome") + F.col("FTAway")
     over = F.when(goals.isNotNull(), (goals > 2.5).cast("tinyint"))
     return [
-        safe.alias("target_1x2"),
+        result.alias("target_1x2"),
         *[(result == v).cast("tinyint").alias(c) for c, v in hot.items()],
         over.alias("target_ou25"),
     ]
 
 
+def known_results(matches: DataFrame) -> DataFrame:
+    """The matches; a result outside H/D/A stops the job."""
+    known = F.coalesce(F.col("FTR").isin(*S.CLASSES), F.lit(False))
+    return require(matches, known, "FTR outside H/D/A")
+
+
 def add_target_labels(matches: DataFrame) -> DataFrame:
     """Attach the five targets; a result outside H/D/A stops the job."""
     S.require_columns(matches, ["FTR", "FTHome", "FTAway"], "label source")
-    return matches.select("*", *label_columns())
+    return known_results(matches).select("*", *label_columns())
 
 
 add_labels = add_target_labels

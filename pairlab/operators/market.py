@@ -17,7 +17,7 @@ from pairlab.functions.scalars import (
     percentage,
     strip,
 )
-from pairlab.operators.canonical import duplicate_summary, first_source_column
+from pairlab.operators.canonical import assert_natural_key, duplicate_summary, first_source_column
 
 
 def market_rows(raw: DataFrame) -> DataFrame:
@@ -112,9 +112,13 @@ def closing_market_probabilities(market: DataFrame) -> DataFrame:
 
 
 def align_closing_market(matches: DataFrame, raw: DataFrame) -> DataFrame:
-    """Market probabilities of the matches that have them, joined on the exact key."""
+    """Market probabilities of the matches that have them, joined one to one on the exact key.
+
+    Repeated keys on either side are an error.
+    """
     season = ["SeasonStartYear"] if "SeasonStartYear" in matches.columns else []
-    probabilities = closing_market_probabilities(valid_market(market_rows(raw)))
+    assert_natural_key(matches)
+    probabilities = closing_market_probabilities(prepare_closing_market(raw)[0])
     return matches.select(*S.KEY, *season).join(probabilities, list(S.KEY))
 
 

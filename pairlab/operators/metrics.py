@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab import schema as S
-from pairlab.functions.scalars import count_if, every, finite
+from pairlab.functions.scalars import count_if, every, finite, require
 
 # Metric and gate parameters.
 EPSILON = 1e-15
@@ -56,15 +56,13 @@ def validate_probabilities(df: DataFrame) -> None:
         raise S.ContractError(f"invalid probabilities: {wrong}")
 
 
-def _checked(value: Column) -> Column:
-    """The value, or an error when the row's label or probabilities are unusable."""
+def usable_predictions(predictions: DataFrame) -> DataFrame:
+    """The predictions; a row whose label or probabilities are unusable stops the job."""
     usable = every(
         F.coalesce(F.col("label").isin(*S.CLASSES), F.lit(False)),
         *[finite(F.col(c)) & F.col(c).between(0.0, 1.0) for c in P],
     ) & (F.abs(total() - 1.0) <= SUM_TOLERANCE)
-    return F.when(usable, value).otherwise(
-        F.raise_error(F.lit("invalid label or probabilities")).cast("double")
-    )
+    return require(predictions, usable, "invalid label or probabilities")
 
 
 def score_columns(bins: int = BINS, epsilon: float = EPSILON) -> list[Column]:
@@ -88,7 +86,7 @@ def score_columns(bins: int = BINS, epsilon: float = EPSILON) -> list[Column]:
     edges = np.linspace(0.0, 1.0, bins + 1)[1:]
     above = sum(((best > float(e)).cast("int") for e in edges[1:]), (best > float(edges[0])).cast("int"))
     return [
-        _checked(-F.ln(F.greatest(true_p, F.lit(epsilon)))).alias("log_loss"),
+        (-F.ln(F.greatest(true_p, F.lit(epsilon)))).alias("log_loss"),
         brier.alias("brier_score"),
         best.alias("confidence"),
         (F.col("label") == top).cast("double").alias("hit"),
@@ -98,7 +96,7 @@ def score_columns(bins: int = BINS, epsilon: float = EPSILON) -> list[Column]:
 
 def evaluate(predictions: DataFrame, by: Sequence[str] = ("fold", "model"), bins: int = BINS) -> DataFrame:
     """n_samples, log_loss, brier_score and ece per group, in one pass over the predictions."""
-    scored = predictions.select(*by, *score_columns(bins))
+    scored = usable_predictions(predictions).select(*by, *score_columns(bins))
     per_bin = scored.groupBy(*by, "bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.sum("log_loss").alias("ll"),
@@ -117,7 +115,7 @@ def evaluate(predictions: DataFrame, by: Sequence[str] = ("fold", "model"), bins
 
 def calibration_bins(predictions: DataFrame, by: Sequence[str] = ("fold", "model"), bins: int = BINS) -> DataFrame:
     """Rows, accuracy and mean confidence of every occupied calibration bin."""
-    scored = predictions.select(*by, *score_columns(bins))
+    scored = usable_predictions(predictions).select(*by, *score_columns(bins))
     return scored.groupBy(*by, "bin").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("hit").alias("accuracy"),
@@ -190,16 +188,13 @@ def gate(
         count_if(dev & (delta > 0)).alias("improving_fold_count"),
         weighted(delta, ~dev).alias("historical_final_improvement_log_loss"),
     )
-    complete = F.when(
-        F.col("development_fold_count") == development_folds, F.lit(True)
-    ).otherwise(
-        F.raise_error(F.lit(f"the gate needs {development_folds} development folds")).cast(
-            "boolean"
-        )
+    observed = require(
+        observed,
+        F.col("development_fold_count") == development_folds,
+        f"the gate needs {development_folds} development folds",
     )
     passed = (
-        complete
-        & (F.col("candidate_improvement_log_loss") >= minimum_improvement)
+        (F.col("candidate_improvement_log_loss") >= minimum_improvement)
         & (F.col("improving_fold_count") >= minimum_folds)
     )
     return observed.withColumn("passed", passed).withColumn(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab import schema as S
-from pairlab.functions.scalars import count_if, day, points
+from pairlab.functions.scalars import count_if, day, points, require
 from pairlab.operators import history as H
 from pairlab.operators.indexing import dense_index
 
@@ -121,12 +121,8 @@ def gather(sequences: DataFrame, wanted: DataFrame) -> DataFrame:
     found = wanted.select(*S.KEY).join(
         sequences.withColumn("_found", F.lit(True)), list(S.KEY), "left"
     )
-    length = F.when(F.col("_found"), F.col("home_sequence")).otherwise(
-        F.raise_error(F.lit("a requested match has no sequence")).cast(
-            sequences.schema["home_sequence"].dataType
-        )
-    )
-    return found.withColumn("home_sequence", length).drop("_found")
+    has = F.coalesce("_found", F.lit(False))
+    return require(found, has, "a requested match has no sequence").drop("_found")
 
 
 def teams_of(rows: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Match-shaped relations derived from the star-schema tables.
 
 Each is one SQL text that Spark and an ANSI SQL engine run unchanged; ``{name}`` marks an input.
+Every order is a match: where a day would repeat a pair of teams, the division gets further teams,
+so the number of teams grows with the orders.
 """
 
 from __future__ import annotations
@@ -16,13 +18,15 @@ WITH li AS (
 raw AS (
   SELECT o_orderkey AS game_id, CAST(o_orderdate AS DATE) AS MatchDate, CAST(year(o_orderdate) AS BIGINT) AS SeasonStartYear,
          concat('N', lpad(CAST(c_nationkey AS STRING), 2, '0')) AS Division, CAST(c_nationkey AS BIGINT) AS nat,
-         o_custkey % 12 AS h, (o_custkey % 12 + 1 + o_orderkey % 11) % 12 AS a, n, q, o_totalprice AS price,
+         o_custkey % 12 AS h0, (o_custkey % 12 + 1 + o_orderkey % 11) % 12 AS a0, n, q, o_totalprice AS price,
          CASE o_orderkey % 3 WHEN 0 THEN 'H' WHEN 1 THEN 'D' ELSE 'A' END AS fallback
   FROM {orders} JOIN {customer} ON o_custkey = c_custkey LEFT JOIN li ON l_orderkey = o_orderkey),
 g AS (SELECT *, q % 5 AS FTHome, (q + n * 3 + game_id) % 4 AS FTAway,
-             row_number() OVER (PARTITION BY MatchDate, Division, h, a ORDER BY game_id) AS rn FROM raw)
+             12 * (row_number() OVER (PARTITION BY MatchDate, Division, h0, a0 ORDER BY game_id) - 1) AS more FROM raw),
+t AS (SELECT *, h0 + more AS h, a0 + more AS a FROM g)
 SELECT MatchDate, SeasonStartYear, Division,
-       concat('T', lpad(CAST(h AS STRING), 2, '0')) AS HomeTeam, concat('T', lpad(CAST(a AS STRING), 2, '0')) AS AwayTeam,
+       concat(CASE WHEN h < 10 THEN 'T0' ELSE 'T' END, CAST(h AS STRING)) AS HomeTeam,
+       concat(CASE WHEN a < 10 THEN 'T0' ELSE 'T' END, CAST(a AS STRING)) AS AwayTeam,
        CASE WHEN FTHome IS NULL THEN fallback WHEN FTHome > FTAway THEN 'H' WHEN FTHome = FTAway THEN 'D' ELSE 'A' END AS FTR,
        FTHome, FTAway,
        FTHome + q % 6 + 1 + n AS HomeShots, FTAway + q % 7 + 1 + n AS AwayShots,
@@ -31,13 +35,13 @@ SELECT MatchDate, SeasonStartYear, Division,
        CASE WHEN game_id % 19 = 0 THEN NULL ELSE n % 6 END AS HomeYellow, (n + q) % 6 AS AwayYellow,
        CASE WHEN q % 17 = 0 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS HomeRed,
        CASE WHEN q % 13 = 0 THEN CAST(1 AS BIGINT) ELSE CAST(0 AS BIGINT) END AS AwayRed,
-       game_id, nat * 12 + h AS home_club_id, nat * 12 + a AS away_club_id, nat, q, n, price
-FROM g WHERE rn = 1
+       game_id, nat * 100000 + h AS home_club_id, nat * 100000 + a AS away_club_id, nat, q, n, price
+FROM t
 """
 
 PLAYER_LINES = """
 SELECT m.game_id, CASE WHEN l_linenumber % 2 = 1 THEN home_club_id ELSE away_club_id END AS club_id,
-       (CASE WHEN l_linenumber % 2 = 1 THEN home_club_id ELSE away_club_id END) * 100 + l_partkey % 8 AS player_id,
+       (CASE WHEN l_linenumber % 2 = 1 THEN home_club_id ELSE away_club_id END) * 100 + l_partkey % 16 AS player_id,
        l_quantity AS qty, l_returnflag AS flag, CAST(l_shipdate AS DATE) AS ship, l_extendedprice AS eur
 FROM {matches} m JOIN {lineitem} ON l_orderkey = m.game_id
 """
@@ -67,7 +71,7 @@ FROM {matches} WHERE game_id % 7 <> 0
 XG_FORM = """
 SELECT Division, MatchDate, concat('Ť-', substr(HomeTeam, 2)) AS HomeTeam, concat('Ť-', substr(AwayTeam, 2)) AS AwayTeam,
        CAST(FTHome * 6 + game_id % {h} AS DOUBLE) / 10 AS home_xg, CAST(FTAway * 6 + game_id % {a} AS DOUBLE) / 10 AS away_xg
-FROM {{matches}} WHERE nat < 5 AND SeasonStartYear < 2000 AND FTHome IS NOT NULL{more}
+FROM {{matches}} WHERE FTHome IS NOT NULL{more}
 """
 EXTERNAL_XG = XG_FORM.format(h=9, a=7, more=" AND game_id % 17 <> 0")
 EXTERNAL_XG_GOOD = XG_FORM.format(h=17, a=19, more="")

@@ -7,17 +7,17 @@ one long table that is scored in a single aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
 
 from pyspark import inheritable_thread_target
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab import schema as S
-from pairlab.functions.scalars import percentage
+from pairlab.functions.scalars import percentage, require
 from pairlab.models import classify
 from pairlab.operators import baselines, folds, market, metrics
 from pairlab.plans import ledger
@@ -62,10 +62,8 @@ def join_candidate(table: DataFrame, features: DataFrame, columns: Sequence[str]
     """Left one-to-one join of candidate features; a base row without one stops the job."""
     right = features.select(*S.KEY, *columns, F.lit(True).alias("_hit"))
     joined = table.join(right, list(S.KEY), "left")
-    label = F.when(F.col("_hit"), F.col("target_1x2")).otherwise(
-        F.raise_error(F.lit("a base row has no candidate features"))
-    )
-    return joined.withColumn("target_1x2", label).drop("_hit")
+    found = F.coalesce("_hit", F.lit(False))
+    return require(joined, found, "a base row has no candidate features").drop("_hit")
 
 
 def split(table: DataFrame, year: int, final: int) -> tuple[DataFrame, DataFrame]:
@@ -81,27 +79,47 @@ def split(table: DataFrame, year: int, final: int) -> tuple[DataFrame, DataFrame
     return table.where(season <= year - 1), test
 
 
+def side_by_side(work, tasks: Sequence) -> list:
+    """Run independent chains of small jobs a few at a time, in order of ``tasks``."""
+    spark = SparkSession.active()
+    with ThreadPool(max(1, min(PARALLEL_FITS, len(tasks)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(work), tasks)
+
+
 def run_models(
-    table: DataFrame, specs: Sequence[Spec], years: Sequence[int], final: int, stats: dict | None = None
+    table: DataFrame | Mapping[int, DataFrame],
+    specs: Sequence[Spec],
+    years: Sequence[int],
+    final: int,
+    stats: dict | None = None,
+    contract: Sequence[str] = S.FEATURES,
 ) -> tuple[DataFrame, list]:
-    """Fit every model in every fold and return the long predictions and the fitted models."""
+    """Fit every model in every fold and return the long predictions and the fitted models.
+
+    ``table`` is one table for all folds, or one for each test year where features depend on the
+    fold. ``contract`` lists the features that the experiment declares; models may take no others.
+    """
     columns = list(dict.fromkeys(c for s in specs for c in s.columns))
-    if stats is None:
+    tables = table if isinstance(table, Mapping) else dict.fromkeys(years, table)
+    if stats is None and tables is table:
+        made = side_by_side(
+            lambda y: classify.fold_stats(folds.expanding_folds(tables[y], [y], final), columns), years
+        )
+        stats = {fold: s for one in made for fold, s in one.items()}
+    elif stats is None:
         stats = classify.fold_stats(folds.expanding_folds(table, years, final), columns)
     tasks = [(year, spec) for year in years for spec in specs]
 
     def run(task):
         year, spec = task
-        train, _ = split(table, year, final)
+        train, _ = split(tables[year], year, final)
         fold = folds.fold_name(year)
         fit = classify.fit_logistic if spec.kind == "logistic" else classify.fit_network
-        return fit(train, spec.columns, stats[fold], spec.name, fold)
+        return fit(train, spec.columns, stats[fold], spec.name, fold, contract=contract)
 
-    # fits are independent chains of small jobs, so a few run side by side
-    with ThreadPool(min(PARALLEL_FITS, len(tasks))) as pool:
-        models = pool.map(inheritable_thread_target(table.sparkSession)(run), tasks)
+    models = side_by_side(run, tasks)
     parts = [
-        m.predict(split(table, year, final)[1])
+        m.predict(split(tables[year], year, final)[1])
         for m, (year, _) in zip(models, tasks, strict=True)
     ]
     return union(parts), models
@@ -152,7 +170,7 @@ def compare_with_market(
 
     Advantage is the model's aligned log loss minus the market's.
     """
-    odds = market.closing_market_probabilities(market.valid_market(market.market_rows(raw_market)))
+    odds = market.closing_market_probabilities(market.prepare_closing_market(raw_market)[0])
     base = outcome.predictions.where(F.col("model") == BASELINE)
     quoted = (
         base.drop(*S.PROBABILITIES)
@@ -206,7 +224,8 @@ def compare_candidate(
         join_candidate(features, candidate, columns), [*S.FEATURES, *columns], years, final
     )
     specs = [Spec(BASELINE, S.FEATURES), Spec(name, (*S.FEATURES, *columns))]
-    return scored(*run_models(table, specs, years, final))
+    contract = (*S.FEATURES, *columns)
+    return scored(*run_models(table, specs, years, final, contract=contract))
 
 
 def select_then_confirm(

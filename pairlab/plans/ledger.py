@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab import schema as S
-from pairlab.functions.scalars import finite
+from pairlab.functions.scalars import finite, preview
 from pairlab.operators.indexing import dense_index
 from pairlab.operators.metrics import MIN_FOLDS, MIN_IMPROVEMENT
 
@@ -119,9 +119,10 @@ def policy_count(checked: DataFrame) -> DataFrame:
 def validate_ledger(records: DataFrame) -> DataFrame:
     """The checked ledger, or an error that names the first broken records."""
     checked = recheck(records)
-    broken = checked.where(F.size("issues") > 0).select("experiment_id", "issues").limit(5).collect()
-    if broken:
-        raise S.ContractError(f"ledger records are inconsistent: {[tuple(b) for b in broken]}")
+    broken = checked.where(F.size("issues") > 0).select("experiment_id", "issues")
+    first, more = preview(broken, ["experiment_id"])
+    if first:
+        raise S.ContractError(f"ledger records are inconsistent: {[tuple(b) for b in first]}{more}")
     row = policy_count(checked).first()
     if row.policies > 1:
         raise S.ContractError("candidates do not share one gate policy")

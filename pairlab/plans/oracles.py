@@ -304,37 +304,53 @@ SELECT issue, count(*) AS bad_rows, string_agg(CASE WHEN k <= 5 THEN txt END, ',
   CAST(greatest(count(*) - 5, 0) AS BIGINT) AS more FROM n GROUP BY issue"""
 
 
+FAULTY = f"""SELECT CASE WHEN game_id % 17 = 0 THEN NULL ELSE MatchDate END AS d, SeasonStartYear AS s,
+  CASE WHEN game_id % 19 = 0 THEN ' ' ELSE Division END AS v, HomeTeam AS h, CASE WHEN game_id % 23 = 0 THEN HomeTeam ELSE AwayTeam END AS a,
+  CASE WHEN game_id % 29 = 0 THEN 'X' ELSE FTR END AS r, CASE WHEN game_id % 31 = 0 THEN -1 ELSE FTHome END AS g,
+  coalesce({' + '.join(f"coalesce(({c} < 0)::INT, 0)" for c in S.COUNT_COLUMNS[1:])}, 0) AS neg FROM matches"""
+CLEAN = f"""SELECT MatchDate AS d, SeasonStartYear AS s, Division AS v, HomeTeam AS h, AwayTeam AS a, FTR AS r, FTHome AS g,
+  coalesce({' + '.join(f"coalesce(({c} < 0)::INT, 0)" for c in S.COUNT_COLUMNS[1:])}, 0) AS neg FROM matches"""
+ISSUE_COUNTS = """count(*) AS row_count, count(*) FILTER (d IS NULL) AS null_dates, count(*) FILTER (s IS NULL) AS null_seasons,
+  count(*) FILTER (trim(v) = '' OR trim(h) = '' OR trim(a) = '') AS blank_strings, count(*) FILTER (h = a) AS same_team_rows,
+  count(*) FILTER (r NOT IN ('H', 'D', 'A') OR r IS NULL) AS invalid_results,
+  CAST(sum(neg + coalesce((g < 0)::INT, 0)) AS BIGINT) AS negative_counts, CAST(0 AS BIGINT) AS fractional_counts,
+  CAST(sum((d IS NULL)::INT + (v IS NULL)::INT + (h IS NULL)::INT + (a IS NULL)::INT) AS BIGINT) AS null_key_cells,
+  (SELECT count(*) FROM k) AS duplicate_keys, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM k) AS duplicate_rows"""
+
+
+def _audit(rows: str) -> str:
+    faults = (
+        "null_dates null_seasons blank_strings same_team_rows invalid_results negative_counts "
+        "fractional_counts null_key_cells duplicate_keys"
+    ).split()
+    noted = ", ".join(f"CASE WHEN {c} <> 0 THEN '{c}:' || {c} END" for c in faults)
+    return f"""{oracle_with('matches')}, f AS ({rows}),
+k AS (SELECT count(*) AS n FROM f GROUP BY d, v, h, a HAVING count(*) > 1),
+c AS (SELECT {ISSUE_COUNTS}, count(DISTINCT v) AS divisions, count(DISTINCT s) AS seasons FROM f)
+SELECT *, row_count AS input_rows, CAST(0 AS BIGINT) AS lost_rows, '' AS missing_columns, CAST(null_key_cells = 0 AS INT) AS can_be_ordered,
+  concat_ws('; ', {noted}) AS issues, CAST({' + '.join(faults)} = 0 AS INT) AS passed FROM c"""
+
+
 @oracle
 def canonical_audit() -> str:
-    return f"""{oracle_with('matches')},
-d AS (SELECT count(*) AS dup FROM (SELECT 1 FROM matches GROUP BY MatchDate, Division, HomeTeam, AwayTeam HAVING count(*) > 1)),
-c AS (SELECT count(*) AS n, count(DISTINCT Division) AS nd, count(DISTINCT SeasonStartYear) AS ns,
-  CAST(sum((MatchDate IS NULL)::INT + (Division IS NULL)::INT + (HomeTeam IS NULL)::INT + (AwayTeam IS NULL)::INT) AS BIGINT) AS nk,
-  count(*) FILTER (FTR NOT IN ('H', 'D', 'A') OR FTR IS NULL) AS bad_ftr, count(*) FILTER (MatchDate IS NULL) AS bad_date,
-  count(*) FILTER (HomeTeam = AwayTeam) AS same FROM matches)
-SELECT n AS output_row_count, nd AS number_of_divisions, ns AS number_of_seasons, nk AS null_natural_key_cells,
-  bad_ftr AS invalid_target_labels, bad_date AS invalid_dates, same AS invalid_home_away_rows, dup AS duplicate_natural_keys,
-  n AS input_row_count, CAST(nk = 0 AS INT) AS deterministic_ordering, 1 AS rows_preserved,
-  concat_ws('; ', CASE WHEN dup > 0 THEN dup || ' duplicate natural keys' END, CASE WHEN same > 0 THEN same || ' rows have identical home and away teams' END) AS issues,
-  '' AS missing_required_columns, CAST(dup = 0 AND nk = 0 AND bad_ftr = 0 AND bad_date = 0 AND same = 0 AS INT) AS passed
-FROM c, d"""
+    return _audit(CLEAN)
+
+
+@oracle
+def canonical_audit_faults() -> str:
+    return _audit(
+        FAULTY.replace(
+            "SeasonStartYear AS s",
+            "CASE WHEN game_id % 17 <> 0 AND month(MatchDate) <> 7 THEN SeasonStartYear END AS s",
+        )
+    )
 
 
 @oracle
 def canonical_issue_counts() -> str:
-    negative = " + ".join(f"({c} < 0)::INT" for c in S.COUNT_COLUMNS[1:])
-    return f"""{oracle_with('matches')},
-f AS (SELECT CASE WHEN game_id % 17 = 0 THEN NULL ELSE MatchDate END AS d, SeasonStartYear,
-  CASE WHEN game_id % 19 = 0 THEN ' ' ELSE Division END AS v, HomeTeam AS h, CASE WHEN game_id % 23 = 0 THEN HomeTeam ELSE AwayTeam END AS a,
-  CASE WHEN game_id % 29 = 0 THEN 'X' ELSE FTR END AS r, CASE WHEN game_id % 31 = 0 THEN -1 ELSE FTHome END AS g,
-  coalesce({' + '.join(f"coalesce(({c} < 0)::INT, 0)" for c in S.COUNT_COLUMNS[1:])}, 0) AS neg FROM matches),
+    return f"""{oracle_with('matches')}, f AS ({FAULTY}),
 k AS (SELECT count(*) AS n FROM f GROUP BY d, v, h, a HAVING count(*) > 1)
-SELECT count(*) AS row_count, count(*) FILTER (d IS NULL) AS null_dates, count(*) FILTER (SeasonStartYear IS NULL) AS null_seasons,
-  count(*) FILTER (trim(v) = '' OR trim(h) = '' OR trim(a) = '') AS blank_strings, count(*) FILTER (h = a) AS same_team_rows,
-  count(*) FILTER (r NOT IN ('H', 'D', 'A')) AS invalid_results,
-  CAST(sum(neg + coalesce((g < 0)::INT, 0)) AS BIGINT) AS negative_counts, CAST(0 AS BIGINT) AS fractional_counts,
-  count(*) FILTER (d IS NULL) AS null_key_cells, (SELECT count(*) FROM k) AS duplicate_keys, (SELECT CAST(coalesce(sum(n), 0) AS BIGINT) FROM k) AS duplicate_rows
-FROM f"""
+SELECT {ISSUE_COUNTS} FROM f"""
 
 
 @oracle
@@ -369,6 +385,16 @@ def feature_check() -> str:
   FROM matches"""
 
 
+@oracle
+def feature_check_faults() -> str:
+    def on(day: str, name: str) -> str:
+        return f"count(*) FILTER (day(MatchDate) IN ({day})) AS {name}"
+
+    return f"""{oracle_with('matches')} SELECT count(*) AS row_count, CAST(0 AS BIGINT) AS null_keys, {on('9', 'null_seasons')},
+  {on('6, 8', 'invalid_results')}, {on('6, 8', 'target_1x2_differs')}, {on('3, 6, 8', 'one_hot_differs')},
+  {on('5', 'invalid_over_under')}, {on('4', 'infinite_cells')}, {on('7', 'nan_cells')} FROM matches"""
+
+
 @oracle
 def column_roles() -> str:
     roles = {
@@ -585,7 +611,7 @@ def xg_audit() -> str:
     return f"""{oracle_with('external_xg')},
 b AS (SELECT Division, MatchDate, HomeTeam, AwayTeam, CASE WHEN day(MatchDate) = 3 THEN -1 WHEN day(MatchDate) = 4 THEN NULL ELSE home_xg END AS hx, away_xg AS ax FROM external_xg),
 u AS (SELECT * FROM b UNION ALL SELECT * FROM b WHERE day(MatchDate) = 5),
-w AS (SELECT *, count(*) OVER (PARTITION BY MatchDate, Division, HomeTeam, AwayTeam) AS n, hx IS NULL OR hx < 0 AS bh, Division = 'N04' AS fo FROM u)
+w AS (SELECT *, count(*) OVER (PARTITION BY MatchDate, Division, HomeTeam, AwayTeam) AS n, hx IS NULL OR hx < 0 AS bh, Division NOT IN ('N00', 'N01', 'N02', 'N03') AS fo FROM u)
 SELECT count(*) AS supplied_rows, count(*) FILTER (NOT bh AND NOT fo AND n = 1 AND HomeTeam <> AwayTeam) AS valid_rows,
   count(*) FILTER (HomeTeam = AwayTeam) AS invalid_key_rows, count(*) FILTER (bh) AS invalid_xg_rows, count(*) FILTER (bh) AS invalid_xg_values,
   count(*) FILTER (fo) AS unsupported_division_rows,
@@ -868,7 +894,7 @@ def graph_pool_values() -> str:
     )
     vec = {s: [f"coalesce({s}.v{i}, 0)" for i in range(d)] for s in "ha"}
     out = []
-    for i in (0, 7):
+    for i in range(d):
         h, a = vec["h"][i], vec["a"][i]
         for kind, x in (("H", h), ("A", a), ("diff", f"{h} - {a}"), ("absdiff", f"abs({h} - {a})")):
             out.append(rnd(x, f"graph_svd8_recent10_{kind}_e{i:02d}_pre", 9))
@@ -887,7 +913,7 @@ def graph_pool_values() -> str:
         f"coalesce(a.n, 0) AS {p}_A_pool_players_pre",
         f"coalesce(h.n, 0) - coalesce(a.n, 0) AS {p}_diff_pool_players_pre",
     ]
-    return f"""{pool_sql()}, em AS (SELECT player_id, {emb} FROM player_lines WHERE player_id % 5 <> 0 GROUP BY 1),
+    return f"""{pool_sql()}, em AS (SELECT player_id, {emb} FROM player_lines GROUP BY 1 HAVING count(*) > 3),
 pe AS (SELECT tgame, tside, CAST(count(*) AS DOUBLE) AS n, coalesce(sum(w) FILTER (e0 IS NOT NULL), 0) / sum(w) AS share, {sums}
   FROM gp LEFT JOIN em USING (player_id) GROUP BY 1, 2)
 SELECT {MKEY}, m.SeasonStartYear, m.game_id, {', '.join(out)}

@@ -108,7 +108,7 @@ def tagged(t: Tables, df: DataFrame | None = None) -> DataFrame:
 def simple_predictions(t: Tables) -> DataFrame:
     """Uniform, prior and market probabilities on the market-covered test rows."""
     rows = tagged(t)
-    covered = market.closing_market_probabilities(market.valid_market(market.market_rows(t.market)))
+    covered = market.closing_market_probabilities(market.prepare_closing_market(t.market)[0])
     odds = (
         baselines.test_rows(rows)
         .join(covered, list(S.KEY))
@@ -145,21 +145,15 @@ def malformed_rows(spark, sf):
     return out.withColumn("preview", F.array_join("preview", ","))
 
 
-@query
-def canonical_audit(spark, sf):
-    audit = canonical.audit_canonical(Tables(spark, sf).canonical)
-    joined = [
-        F.array_join(c, "; ").alias(c) for c in ("issues", "missing_required_columns")
-    ]
-    rest = [c for c in audit.columns if c not in ("issues", "missing_required_columns")]
-    return plain(audit.select(*rest, *joined))
+def audit_row(audit: DataFrame) -> DataFrame:
+    lists = ("issues", "missing_columns")
+    joined = [F.array_join(c, "; ").alias(c) for c in lists]
+    return plain(audit.select(*[c for c in audit.columns if c not in lists], *joined))
 
 
-@query
-def canonical_issue_counts(spark, sf):
-    """The canonical rules counted over rows with seeded faults."""
-    t = Tables(spark, sf)
-    faulty = t.matches.selectExpr(
+def faulty_rows(t: Tables) -> DataFrame:
+    """Match rows with a fault of every kind seeded by number."""
+    return t.matches.selectExpr(
         "CASE WHEN game_id % 17 = 0 THEN NULL ELSE MatchDate END AS MatchDate",
         "SeasonStartYear",
         "CASE WHEN game_id % 19 = 0 THEN ' ' ELSE Division END AS Division",
@@ -170,7 +164,26 @@ def canonical_issue_counts(spark, sf):
         "FTAway",
         *S.MATCH_STATS,
     )
-    return canonical.canonical_issues(faulty)
+
+
+@query
+def canonical_audit(spark, sf):
+    return audit_row(canonical.audit_canonical(Tables(spark, sf).canonical))
+
+
+@query
+def canonical_audit_faults(spark, sf):
+    """The audit of rows with seeded faults; every rule's code is among its issues."""
+    faulty = faulty_rows(Tables(spark, sf)).withColumn(
+        "SeasonStartYear", F.when(F.month("MatchDate") != 7, F.col("SeasonStartYear"))
+    )
+    return audit_row(canonical.audit_canonical(faulty))
+
+
+@query
+def canonical_issue_counts(spark, sf):
+    """The canonical rules counted over rows with seeded faults."""
+    return canonical.canonical_issues(faulty_rows(Tables(spark, sf)))
 
 
 @query
@@ -191,6 +204,23 @@ def feature_check(spark, sf):
     return guards.feature_issues(features.build_feature_table(Tables(spark, sf).canonical, EXPECTED))
 
 
+@query
+def feature_check_faults(spark, sf):
+    """The same rules over a feature table with faults seeded by day of the month."""
+    day = F.dayofmonth("MatchDate")
+    made = features.build_feature_table(Tables(spark, sf).canonical, EXPECTED).withColumns(
+        {
+            "target_draw": F.when(day == 3, 1 - F.col("target_draw")).otherwise(F.col("target_draw")),
+            "EloDiff_pre": F.when(day == 4, float("inf")).otherwise(F.col("EloDiff_pre")),
+            "target_ou25": F.when(day == 5, 7).otherwise(F.col("target_ou25")),
+            "FTR": F.when(day == 6, "X").when(day == 8, None).otherwise(F.col("FTR")),
+            "HomeElo_pre": F.when(day == 7, float("nan")).otherwise(F.col("HomeElo_pre")),
+            "SeasonStartYear": F.when(day != 9, F.col("SeasonStartYear")),
+        }
+    )
+    return guards.feature_issues(made)
+
+
 @query
 def column_roles(spark, sf):
     """Role and present values of every column of the match table with its labels."""
@@ -248,7 +278,7 @@ def training_prior(spark, sf):
 
 @query
 def devig_market(spark, sf):
-    rows = market.valid_market(market.market_rows(Tables(spark, sf).market))
+    rows = market.prepare_closing_market(Tables(spark, sf).market)[0]
     return plain(market.closing_market_probabilities(rows))
 
 
@@ -272,7 +302,7 @@ def market_coverage(spark, sf):
 @query
 def coverage_slices(spark, sf):
     t = Tables(spark, sf)
-    keys = market.valid_market(market.market_rows(t.market))
+    keys = market.prepare_closing_market(t.market)[0]
     return plain(market.coverage_slices(t.canonical, keys))
 
 
@@ -281,7 +311,7 @@ def probability_sanity(spark, sf):
     """Sanity counts over market probabilities, some of them spoiled."""
     t = Tables(spark, sf)
     rows = market.closing_market_probabilities(
-        market.valid_market(market.market_rows(t.market))
+        market.prepare_closing_market(t.market)[0]
     ).withColumn(
         "probability_home",
         F.when(F.dayofmonth("MatchDate") == 1, F.lit(float("nan")))
@@ -333,7 +363,7 @@ def identical_rows(spark, sf):
 
 
 # The derived external names normalise to "t 00"; these aliases close the gap to "t00".
-XG_ALIASES = {f"t {i:02d}": f"t{i:02d}" for i in range(12)}
+XG_ALIASES = {f"t {i:02d}": f"t{i:02d}" for i in range(144)}
 XG_DIVISIONS = tuple(f"N{i:02d}" for i in range(5))
 
 
@@ -403,7 +433,7 @@ def xg_quality(spark, sf):
 @query
 def xg_rolling(spark, sf):
     aligned = aligned_xg(Tables(spark, sf))
-    return plain(xg.xg_features(aligned, aligned))
+    return plain(xg.xg_features(aligned, aligned, inside=True))
 
 
 @query
@@ -517,25 +547,24 @@ def graph_pool(spark, sf):
 
 @query
 def graph_pool_values(spark, sf):
-    """Pool vectors and their comparison, with each player's value standing in as embedding."""
+    """Pool vectors and their comparison; lines stand in as embedding of players with several."""
     t = Tables(spark, sf)
     weights = graph.side_weights(t.appearances, t.lineups)
-    stand_in = t.player_lines.where(F.col("player_id") % 5 != 0).groupBy("player_id").agg(
-        F.array(*[F.sqrt(F.max("qty") + i) - F.sqrt(F.min("qty") + 3 * i) for i in range(8)]).alias(
-            "embedding"
-        )
+    values = [F.sqrt(F.max("qty") + i) - F.sqrt(F.min("qty") + 3 * i) for i in range(8)]
+    lines = t.player_lines.groupBy("player_id").agg(
+        F.array(*values).alias("embedding"), F.count(F.lit(1)).alias("lines")
     )
+    stand_in = lines.where("lines > 3").drop("lines")
     pool = graph.recent_pool(t.fixtures, weights)
     made = graph.graph_features(t.fixtures, pool, stand_in, "svd8_recent10")
-    shown = [c for c in made.columns if "_e0" not in c or "_e00" in c or "_e07" in c]
-    return plain(made.select(*shown), 9)
+    return plain(made, 9)
 
 
 @query
 def match_sequences(spark, sf):
     """Every element of every side's last-ten sequence."""
     t = Tables(spark, sf)
-    made = sequences.match_sequences(t.canonical, t.canonical)
+    made = sequences.match_sequences(t.canonical, t.canonical, inside=True)
     sides = F.explode(
         F.array(
             F.struct(F.lit("H").alias("side"), F.col("home_sequence").alias("s")),
@@ -650,7 +679,7 @@ def xg_candidate(spark, sf):
     covered = fitted_features(t).join(aligned.select(*S.KEY), list(S.KEY), "left_semi")
     out = experiments.compare_candidate(
         covered,
-        xg.xg_features(aligned, aligned),
+        xg.xg_features(aligned, aligned, inside=True),
         S.XG_FEATURES,
         "external_xg",
         YEARS,
@@ -675,14 +704,19 @@ def availability_candidate(spark, sf):
 
 @query
 def graph_embedding(spark, sf):
-    """Singular values' worth of the last fold's player embedding: sign-free summary."""
+    """Singular values' worth of every fold's player embedding: sign-free summary."""
     t = Tables(spark, sf)
     edges = graph.season_edges(t.fixtures, graph.side_weights(t.appearances, t.lineups))
-    last = folds.fold_table(spark, [derived.FINAL], derived.FINAL)
-    made = graph.player_embeddings(durable(graph.fold_edges(edges, last)), 8)
+    edges = durable(graph.fold_edges(edges, folds.fold_table(spark, YEARS, derived.FINAL)))
+    names = [folds.fold_name(y) for y in YEARS]
+    made = experiments.side_by_side(
+        lambda f: graph.player_embeddings(edges.where(F.col("fold") == f), 8).withColumn("fold", F.lit(f)),
+        names,
+    )
     return plain(
-        made.select(F.posexplode("embedding").alias("axis", "value"))
-        .groupBy("axis")
+        experiments.union(made)
+        .select("fold", F.posexplode("embedding").alias("axis", "value"))
+        .groupBy("fold", "axis")
         .agg(
             F.count(F.lit(1)).alias("players"),
             F.sum(F.col("value") * F.col("value")).alias("squared_length"),
@@ -711,7 +745,7 @@ def sequence_candidate(spark, sf):
         for r in t.canonical.select("Division").distinct().orderBy("Division").collect()
     ]
     made = sequences.pooled_representation(
-        sequences.match_sequences(t.canonical, t.canonical), leagues
+        sequences.match_sequences(t.canonical, t.canonical, inside=True), leagues
     )
     out = experiments.compare_candidate(
         fitted_features(t),

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pairlab import schema as S
+from pairlab.functions.scalars import preview
 from pairlab.operators.canonical import canonicalise, season_start, supported_division
 
 MATCHES_VIEW = "matches"
@@ -84,12 +85,12 @@ def with_path_season(spark: SparkSession, rows: DataFrame) -> DataFrame:
         .join(F.broadcast(seasons), "_season_code", "left")
         .join(F.broadcast(divisions.withColumn("_known", F.lit(1))), "_division", "left")
         .where(F.col("_season_start").isNull() | F.col("_known").isNull())
-        .limit(5)
-        .collect()
+        .select("_file")
     )
-    if unsupported:
-        names = ", ".join(r["_file"] for r in unsupported)
-        raise S.ContractError(f"unsupported season or division: {names}")
+    first, more = preview(unsupported, ["_file"])
+    if first:
+        names = ", ".join(r["_file"] for r in first)
+        raise S.ContractError(f"unsupported season or division: {names}{more}")
     return rows.join(F.broadcast(seasons), "_season_code", "left")
 
 

@@ -13,33 +13,21 @@ from pairlab.functions.scalars import SAFE_PARTITION
 from pairlab.operators.canonical import require_audit
 from pairlab.operators.guards import validate_feature_table
 
-ROWS_PER_FILE = 5_000_000
+ROWS_PER_FILE = 5_000_000  # most rows of a stored file
 
 
 def _write(df: DataFrame, destination: str, rows_per_file: int) -> None:
-    unsafe = df.where(~F.col("Division").rlike(SAFE_PARTITION)).select("Division").limit(1)
-    bad = unsafe.collect()
-    if bad:
-        raise S.ContractError(f"unsafe division partition name: {bad[0][0]!r}")
-    # One file per division, except that a division over the bound is spread over tasks by date
-    # and cut into files, so nothing writes an unbounded partition. Only large ones are listed.
-    big = {
-        r["Division"]: -(-r["count"] // rows_per_file)
-        for r in df.groupBy("Division").count().where(F.col("count") > rows_per_file).collect()
-    }
-    if big:
-        files = F.coalesce(
-            F.try_element_at(
-                F.create_map(*[F.lit(x) for kv in big.items() for x in kv]), F.col("Division")
-            ),
-            F.lit(1),
-        ).cast("bigint")
-        df = df.withColumn("_slice", F.pmod(F.unix_date("MatchDate").cast("bigint"), files))
-        placed = df.repartition("Division", "_slice").drop("_slice")
-    else:
-        placed = df.repartition("Division")
+    """One layout whatever the size: ranges of division and date, cut into bounded files.
+
+    A range ends where its rows make a fair share of a task, so a large division is spread over
+    tasks by date, and small ones share a task, each in files of its own.
+    """
+    unsafe = df.where(~F.col("Division").rlike(SAFE_PARTITION)).agg(F.min("Division")).first()[0]
+    if unsafe is not None:
+        raise S.ContractError(f"unsafe division partition name: {unsafe!r}")
     (
-        placed.sortWithinPartitions("Division", *S.KEY)
+        df.repartitionByRange("Division", "MatchDate")
+        .sortWithinPartitions("Division", *S.KEY)
         .write.partitionBy("Division")
         .option("compression", "zstd")
         .option("maxRecordsPerFile", rows_per_file)

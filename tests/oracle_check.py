@@ -13,6 +13,8 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 import duckdb
 
+from pairlab.session import scratch
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -43,8 +45,9 @@ def normal(rows, columns):
 
 def compare(spark, con, name, fn, sql, sf_dir):
     t0 = time.time()
-    df = fn(spark, sf_dir)
-    got = [tuple(r) for r in df.collect()]
+    with scratch(spark):
+        df = fn(spark, sf_dir)
+        got = [tuple(r) for r in df.collect()]
     t1 = time.time()
     if sql is None:
         return f"rows {len(got)} (no oracle)", t1 - t0, 0.0, bool(got)

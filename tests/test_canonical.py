@@ -94,9 +94,21 @@ def test_rules(spark, change, word):
 def test_duplicates_and_audit(spark):
     rows = [match_row("2022-01-01", "a", "b")] * 2 + [match_row("2022-01-01", "c", "c")]
     audit = canonical.audit_canonical(make(spark, rows), input_rows=4).first()
-    assert not audit.passed and audit.duplicate_natural_keys == 1
-    assert audit.invalid_home_away_rows == 1 and not audit.rows_preserved
-    assert len(audit.issues) == 3
+    assert not audit.passed
+    assert audit.issues == ["same_team_rows:1", "duplicate_keys:1", "lost_rows:1"]
+    short = canonical.audit_canonical(make(spark, rows[:1]).drop("FTR", "MatchDate")).first()
+    assert short.issues == ["missing_columns:2"] and not short.can_be_ordered
+    bad = make(spark, rows[1:2]).selectExpr(
+        *[
+            "CAST(-5 AS BIGINT) AS HomeShots" if c == "HomeShots"
+            else "CAST(NULL AS BIGINT) AS SeasonStartYear" if c == "SeasonStartYear"
+            else "' ' AS HomeTeam" if c == "HomeTeam" else c
+            for c in S.CANONICAL
+        ]
+    )
+    assert canonical.audit_canonical(bad).first().issues == [
+        "null_seasons:1", "blank_strings:1", "negative_counts:1"
+    ]
     with pytest.raises(S.ContractError, match="not unique; 2 rows"):
         canonical.assert_natural_key(make(spark, rows))
 
@@ -127,3 +139,10 @@ def test_single_csv_with_season_code(spark, tmp_path):
     got = files.load_source_csv(spark, str(tmp_path / "x.csv"), season_code="2324").first()
     assert got.SeasonStartYear == 2023
     assert canonical.season_label("2324") == "2023-2024"
+
+
+def test_numeric_seasons(spark):
+    df = spark.createDataFrame([(2023.0, 2023), (2023.5, None), (None, None)], "x double, want bigint")
+    assert all(r.got == r.want for r in df.select("want", parse_season(F.col("x")).alias("got")).collect())
+    whole = spark.createDataFrame([(2023,)], "x int").select(parse_season(F.col("x"))).first()[0]
+    assert whole == 2023

@@ -27,20 +27,24 @@ def test_a_date_is_one_batch(spark):
     assert all(r.HomeElo_pre == 1500 for r in got)
 
 
-def test_large_divisions_take_the_distributed_path(spark, matches):
-    some = matches.where("Division <> 'N02' AND MatchDate < '1995-05-01'")
-    rows = some.collect()
-    # a second season makes the reversion run as well
-    later = [
-        (r.MatchDate.replace(year=1996) if (r.MatchDate.month, r.MatchDate.day) != (2, 29) else r.MatchDate, 1996, *r[2:])
-        for r in rows[:12]
-    ]
-    both = make(spark, [*map(tuple, rows), *later])
-    small = table(elo.add_elo_features(both), ["HomeElo_pre", "AwayElo_pre"])
-    large = table(elo.add_elo_features(both, max_group_rows=0), ["HomeElo_pre", "AwayElo_pre"])
-    assert small.keys() == large.keys()
-    for k in small:
-        assert small[k] == pytest.approx(large[k], abs=1e-7)
+def test_dates_that_span_batches(spark, matches):
+    some = matches.where("Division <> 'N02' AND MatchDate < '1997-01-01'")
+    whole = table(elo.add_elo_features(some), ["HomeElo_pre", "AwayElo_pre"])
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        cut = table(elo.add_elo_features(some), ["HomeElo_pre", "AwayElo_pre"])
+    finally:
+        spark.conf.set(key, before)
+    assert cut == whole and len(whole) > 10
+
+
+def test_invalid_results_stop_the_job(spark):
+    for ftr in ("X", None):
+        rows = [match_row("2022-01-01", "a", "b"), match_row("2022-01-08", "a", "b", ftr)]
+        with pytest.raises(Exception, match="outside H, D and A"):
+            elo.add_elo_features(make(spark, rows)).collect()
 
 
 def test_two_seasons_on_a_date_are_refused(spark):

@@ -173,3 +173,21 @@ def test_market(spark):
         market.prepare_closing_market(spark.createDataFrame(rows[:1] * 2, ODDS))
     with pytest.raises(S.ContractError, match="ClosingHomeOdds"):
         market.market_rows(raw.drop("AvgCH"))
+
+
+def test_guards_survive_a_narrow_select(spark):
+    rows = [("f", 1, "d", "m", dt.date(2022, 1, 1), "E0", "a", "b", "H", 5.0, -3.0, 0.2)]
+    bad = spark.createDataFrame(
+        rows,
+        "fold string, test_year int, fold_role string, model string, MatchDate date, Division string, HomeTeam string,"
+        " AwayTeam string, label string, probability_home double, probability_draw double, probability_away double",
+    )
+    for made, column in ((metrics.calibration_bins(bad), "n"), (metrics.evaluate(bad), "n_samples")):
+        with pytest.raises(Exception, match="invalid label or probabilities"):
+            made.select(column).collect()
+
+
+def test_market_alignment_is_one_to_one(spark, tables):
+    raw = tables.market.limit(20)
+    with pytest.raises(S.ContractError, match="keys repeat"):
+        market.align_closing_market(tables.canonical, raw.unionByName(raw))

@@ -68,7 +68,7 @@ def test_logistic_equals_newton(spark, monkeypatch):
     rows = [(int(i), float(a), float(b), S.CLASSES[c]) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))]
     df = spark.createDataFrame(rows, "i int, aa_pre double, cc_pre double, target_1x2 string")
     stats = {c: (0.0, 0.0, 1.0) for c in COLUMNS}
-    model = classify.fit_logistic(df, COLUMNS, stats)
+    model = classify.fit_logistic(df, COLUMNS, stats, contract=COLUMNS)
     keyed = df.select(
         "*",
         *[F.lit("x").alias(c) for c in ("fold", "fold_role", "Division", "HomeTeam", "AwayTeam")],
@@ -82,9 +82,14 @@ def test_logistic_equals_newton(spark, monkeypatch):
     assert np.abs(got - softmax_fit(x, y)).max() < 1e-5
     assert classify.fitted_state([model]).count() == 2
     with pytest.raises(S.ContractError, match="H, D and A"):
-        classify.fit_logistic(df.where("target_1x2 <> 'D'"), COLUMNS, stats)
+        classify.fit_logistic(df.where("target_1x2 <> 'D'"), COLUMNS, stats, contract=COLUMNS)
     with pytest.raises(S.LeakageError):
         classify.fit_logistic(df, ("i",), {"i": (0.0, 0.0, 1.0)})
+    with pytest.raises(S.LeakageError, match="outside the contract"):
+        classify.fit_logistic(df, COLUMNS, stats)
+    endless = df.withColumn("aa_pre", F.lit(float("inf")))
+    with pytest.raises(Exception, match="not finite"):
+        classify.fit_logistic(endless, COLUMNS, stats, contract=COLUMNS)
 
 
 def test_goals_model_recovers_its_parameters(spark):
