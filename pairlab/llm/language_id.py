@@ -15,6 +15,7 @@ DIMENSIONS = 1 << 12
 GRAMS = (1, 2, 3)
 CENTROIDS = 4  # per language
 SAMPLE = 400  # training rows per language whose vectors form the centroids
+OVERDRAW = 4
 ROUNDS = 12
 SLACK = 1.5  # a text is rejected beyond this many times the farthest trained distance ...
 LEAST_REACH = 0.85  # ... and beyond this distance, however tight a centroid's own texts lie
@@ -153,7 +154,7 @@ def fit(
     """Learn from the rows of ``train`` that have a language and a text with a letter.
 
     Document frequencies cover all of them. The centroids come from ``sample`` rows per language,
-    those with the smallest text hashes; only their vectors reach the driver, ``sample`` times
+    those with the lowest text hashes; only their vectors reach the driver, ``sample`` times
     ``dimensions`` numbers for each language at most.
     """
     rows = train.where(F.col(lang_col).isNotNull()).select(
@@ -164,10 +165,21 @@ def fit(
     if not n:
         return Model(np.zeros(dimensions), np.zeros((0, dimensions)), [], np.zeros(0))
     idf = np.log((1 + n) / (1 + df)) + 1.0
-    pick = Window.partitionBy("lang").orderBy("h")
-    hashes = rows.select("lang", F.xxhash64("text").alias("h")).distinct()
-    chosen = hashes.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= sample)
-    picked = rows.withColumn("h", F.xxhash64("text")).join(
+    hashed = rows.withColumn("h", F.xxhash64("text"))
+    # A language may hold most rows: only the lowest part of its hashes, about OVERDRAW times the
+    # sample, is ranked. There is one row for each language in the broadcast.
+    sizes = hashed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(float(OVERDRAW * sample)) / F.col("n"))
+    low = (
+        hashed.select("lang", "h")
+        .join(F.broadcast(sizes), "lang")
+        .where(F.pmod("h", F.lit(1 << 30)) <= share * (1 << 30))
+        .select("lang", "h")
+        .distinct()
+    )
+    pick = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    chosen = low.withColumn("r", F.row_number().over(pick)).where(F.col("r") <= sample)
+    picked = hashed.join(
         F.broadcast(chosen.select("lang", "h")), ["lang", "h"], "left_semi"
     )
     picked = picked.dropDuplicates(["lang", "h"]).select("lang", "h", "text")
