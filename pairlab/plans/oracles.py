@@ -331,6 +331,51 @@ SELECT *, row_count AS input_rows, CAST(0 AS BIGINT) AS lost_rows, '' AS missing
   concat_ws('; ', {noted}) AS issues, CAST({' + '.join(faults)} = 0 AS INT) AS passed FROM c"""
 
 
+@oracle
+def csv_round_trip() -> str:
+    return canonical_rows().replace("trim(HomeTeam) AS HomeTeam", "'É' || trim(HomeTeam) AS HomeTeam")
+
+
+@oracle
+def canonical_round_trip() -> str:
+    kept = ", ".join(c for c in S.CANONICAL if c != "MatchDate")
+    return f"{oracle_with('matches')} SELECT CAST(MatchDate AS VARCHAR) AS MatchDate, {kept} FROM matches"
+
+
+@oracle
+def stored_summary() -> str:
+    return f"{oracle_with('matches')} SELECT Division, count(*) AS row_count FROM matches GROUP BY Division"
+
+
+@oracle
+def stored_order() -> str:
+    return f"{oracle_with('matches')} SELECT count(*) AS rows, CAST(0 AS BIGINT) AS out_of_order FROM matches"
+
+
+@oracle
+def stored_sql() -> str:
+    return f"""{oracle_with('matches')} SELECT Division, FTR, count(*) AS n FROM matches
+WHERE SeasonStartYear >= {YEARS[0]} AND Division <> 'N03' GROUP BY Division, FTR"""
+
+
+@oracle
+def ledger_round_trip() -> str:
+    return population_ranking()
+
+
+@oracle
+def logistic_score_equations() -> str:
+    named = ", ".join(f"('{c}')" for c in ("intercept", *S.FEATURES))
+    return f"WITH {FOLDS} SELECT fold, feature, CAST(0 AS DOUBLE) AS gradient FROM folds, (VALUES {named}) v(feature)"
+
+
+@oracle
+def poisson_score_equations() -> str:
+    zero = ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in ("intercept", "sot", "off"))
+    return f"""{oracle_with('matches')} SELECT SeasonStartYear, {zero} FROM (SELECT DISTINCT SeasonStartYear FROM matches) s
+WHERE SeasonStartYear > (SELECT min(SeasonStartYear) FROM matches)"""
+
+
 @oracle
 def canonical_audit() -> str:
     return _audit(CLEAN)

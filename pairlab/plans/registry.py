@@ -5,6 +5,7 @@ Dates leave as ISO text and doubles rounded, so results compare exactly across e
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import types as T
 
 from pairlab import schema as S
 from pairlab.functions import names
-from pairlab.models import goals
+from pairlab.models import classify, goals
 from pairlab.operators import (
     availability,
     baselines,
@@ -35,7 +36,8 @@ from pairlab.operators import (
 from pairlab.plans import derived, experiments, ledger
 from pairlab.plans import graph as graph_plan
 from pairlab.plans.derived import Tables
-from pairlab.session import durable
+from pairlab.session import durable, durable_root
+from pairlab.sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Divisions of the derived tables with a known season length; the others stay unknown.
@@ -126,6 +128,72 @@ def canonical_rows(spark, sf):
     return plain(canonical.normalise(raw).drop("_issues"))
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place of the session."""
+    return f"{durable_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query
+def csv_round_trip(spark, sf):
+    """Text files in two encodings and two column orders, read back as canonical rows."""
+    folder = shared_path(spark, "csv")
+    raw = Tables(spark, sf).raw_csv.withColumnRenamed("AS_", "AS")
+    raw = raw.withColumn("HomeTeam", F.concat(F.lit("É"), F.trim("HomeTeam")))
+    parts = (("utf-8", raw.columns, 0), ("iso-8859-1", sorted(raw.columns), 1))
+    for encoding, columns, part in parts:
+        half = raw.where(F.length("Season") == (4 if part else 9)).select(*columns)
+        half.write.option("header", True).option("encoding", encoding).csv(f"{folder}/{encoding}")
+    rows = files.scan_source_csv(spark, folder).drop("_season_code", "_division", "_file")
+    return plain(canonical.normalise(rows).drop("_issues"))
+
+
+@query
+def canonical_round_trip(spark, sf):
+    """Canonical rows through the partitioned sink and back."""
+    folder = shared_path(spark, "canonical")
+    sinks.write_canonical_partitions(Tables(spark, sf).canonical, folder)
+    return plain(files.read_canonical(spark, folder))
+
+
+@query
+def stored_summary(spark, sf):
+    """The sink's own summary: rows of each division as stored."""
+    return sinks.write_canonical_partitions(
+        Tables(spark, sf).canonical, shared_path(spark, "canonical")
+    )
+
+
+@query
+def stored_order(spark, sf):
+    """Rows of the stored files, and rows that come before their predecessor."""
+    folder = shared_path(spark, "canonical")
+    sinks.write_canonical_partitions(Tables(spark, sf).canonical, folder)
+    found = sinks.order_check(spark, folder)
+    return found.agg(F.sum("rows").alias("rows"), F.sum("out_of_order").alias("out_of_order"))
+
+
+@query
+def stored_sql(spark, sf):
+    """Parameterised SQL over the view of stored partitions."""
+    folder = shared_path(spark, "canonical")
+    sinks.write_canonical_partitions(Tables(spark, sf).canonical, folder)
+    return files.query_canonical(
+        spark,
+        folder,
+        "SELECT Division, FTR, count(*) AS n FROM matches WHERE SeasonStartYear >= :year AND Division <> :without GROUP BY Division, FTR",
+        {"year": YEARS[0], "without": "N03"},
+    )
+
+
+@query
+def ledger_round_trip(spark, sf):
+    """Experiment records through the JSON report sink and back, ranked within their population."""
+    folder = shared_path(spark, "records")
+    sinks.write_report(division_records(Tables(spark, sf)), folder)
+    back = files.read_experiment_records(spark, folder, lines=True)
+    return plain(ledger.rank_raw_within_population(ledger.validate_ledger(back)))
+
+
 @query
 def malformed_rows(spark, sf):
     """Counts and previews of malformed values: dates, seasons and counts made unusable."""
@@ -650,6 +718,39 @@ def lr_backtest(spark, sf):
     return plain(out.fold_metrics)
 
 
+@query
+def logistic_score_equations(spark, sf):
+    """Largest gradient of every fitted coefficient row at the solution, by fold: zero if it converged."""
+    table = fitted_features(Tables(spark, sf))
+    out = experiments.backtest(table, YEARS, derived.FINAL)
+    parts = []
+    for m, year in zip(out.models, YEARS, strict=True):
+        train, _ = experiments.split(table, year, derived.FINAL)
+        gradient = classify.score_equations(m, train)
+        parts.append(gradient.select(F.lit(m.fold).alias("fold"), "feature", "gradient"))
+    return plain(experiments.union(parts), 4)
+
+
+@query
+def poisson_score_equations(spark, sf):
+    """The goals model's likelihood equations in every season, relative to its goals."""
+    matches = Tables(spark, sf).canonical
+    fitted = goals.walk_forward_coefficients(matches)
+    first = matches.groupBy("SeasonStartYear").agg(F.min("MatchDate").alias("first"))
+    rows = goals.side_rows(matches).drop("SeasonStartYear")
+    # one row for each season on the broadcast side
+    seen = rows.join(F.broadcast(fitted.join(first, "SeasonStartYear")), F.col("MatchDate") < F.col("first"))
+    rest = F.col("goals") - F.exp(F.col("b0") + F.col("b1") * F.col("sot") + F.col("b2") * F.col("off"))
+    return plain(
+        seen.groupBy("SeasonStartYear").agg(
+            (F.sum(rest) / F.sum("goals")).alias("intercept"),
+            (F.sum(rest * F.col("sot")) / F.sum(F.col("goals") * F.col("sot"))).alias("sot"),
+            (F.sum(rest * F.col("off")) / F.sum(F.col("goals") * F.col("off"))).alias("off"),
+        ),
+        3,
+    )
+
+
 @query
 def market_comparison(spark, sf):
     t = Tables(spark, sf)

@@ -37,19 +37,26 @@ def _csv(spark: SparkSession, paths, encoding: str) -> DataFrame:
 
 
 def _headers(spark: SparkSession, path: str) -> DataFrame:
-    """Per file its encoding and header line, found on the executors.
+    """Per file its encoding and header line, from its lines.
 
-    Files that are not valid UTF-8 are Latin-1. Content never leaves the tasks.
+    Files that are not valid UTF-8 are Latin-1. A file is read in splits, each line is tested on
+    its own, and a task sends one row for each file it met. Rows of a split keep their order, so
+    the header is the first row of the split at offset 0.
     """
-    files = (
-        spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
+    lines = (
+        spark.read.option("pathGlobFilter", "*.csv")
         .option("recursiveFileLookup", True)
-        .load(path)
+        .text(path)
+        .select(
+            F.col("_metadata.file_path").alias("path"),
+            F.is_valid_utf8("value").alias("utf8"),
+            F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("at"),
+            F.decode(F.rtrim(F.col("value"), F.lit("\r")).cast("binary"), "ISO-8859-1").alias("line"),
+        )
+    )
+    return lines.groupBy("path").agg(
+        F.bool_and("utf8").alias("utf8"), F.min_by("line", "at").alias("header")
     )
-    utf8 = F.is_valid_utf8(F.col("content").cast("string"))
-    line = F.element_at(F.split(F.decode("content", "ISO-8859-1"), r"\r?\n", 2), 1)
-    return files.select("path", utf8.alias("utf8"), line.alias("header"))
 
 
 def scan_source_csv(spark: SparkSession, path: str) -> DataFrame:
