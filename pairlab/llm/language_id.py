@@ -243,43 +243,28 @@ def predict(
     from the nearest centroid than its reach. Null, empty and letterless texts are ``und`` with
     score 0 and rejected. Repeated rows and null identifiers come back as they came in.
     """
-    from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
-
-    new = ("held_out", "lang_pred", "score", "rejected")
-    kept = docs.select(*[c for c in docs.columns if c not in new])
-    source = kept.withColumn("_text", F.col(text_col).cast("string")).withColumn(
-        "held_out", _held_out(id_col)
-    )
-    given = source.columns.index("_text")
     # One constant for all tasks, sent once to each executor; its size is fixed by the parameters.
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
-        m = shared.value
-        for batch in batches:
-            out = [classify(t.as_py(), m) for t in batch.column(given)]
-            columns = [c for i, c in enumerate(batch.columns) if i != given]
-            names = [c for i, c in enumerate(batch.schema.names) if i != given]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *columns,
-                    pa.array([o[0] for o in out], pa.string()),
-                    pa.array([o[1] for o in out], pa.float64()),
-                    pa.array([o[2] for o in out], pa.bool_()),
-                ],
-                names=[*names, *new[1:]],
-            )
+    @F.arrow_udf("struct<lang_pred string, score double, rejected boolean>")
+    def classified(texts: pa.Array) -> pa.Array:
+        out = [classify(t.as_py(), shared.value) for t in texts]
+        return pa.StructArray.from_arrays(
+            [
+                pa.array([o[0] for o in out], pa.string()),
+                pa.array([o[1] for o in out], pa.float64()),
+                pa.array([o[2] for o in out], pa.bool_()),
+            ],
+            names=["lang_pred", "score", "rejected"],
+        )
 
-    schema = StructType(
-        [
-            *kept.schema.fields,
-            StructField("held_out", BooleanType()),
-            StructField("lang_pred", StringType()),
-            StructField("score", DoubleType()),
-            StructField("rejected", BooleanType()),
-        ]
+    # Only texts go to Python and only results come back; other columns stay in the JVM.
+    new = ("held_out", "lang_pred", "score", "rejected")
+    kept = [c for c in docs.columns if c not in new]
+    found = classified(F.col(text_col).cast("string"))
+    return docs.select(*kept, _held_out(id_col).alias("held_out"), found.alias("_found")).select(
+        *kept, "held_out", *[F.col(f"_found.{c}").alias(c) for c in new[1:]]
     )
-    return source.mapInArrow(run, schema)
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"):

@@ -18,7 +18,7 @@ from pairlab.session import durable
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 500_000  # words whose ids a Python worker remembers
+CACHE_WORDS = 250_000  # words whose ids a Python worker remembers
 
 PIECES = (
     "piece int, start bigint, length bigint, ids_crc32 bigint, _part int, _rank bigint"
