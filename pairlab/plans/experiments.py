@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pairlab import schema as S
 from pairlab.functions.scalars import percentage, require
 from pairlab.models import classify
-from pairlab.operators import baselines, folds, market, metrics
+from pairlab.operators import availability, baselines, folds, guards, market, metrics, xg
 from pairlab.plans import ledger
 from pairlab.session import durable
 
@@ -228,6 +228,63 @@ def compare_candidate(
     return scored(*run_models(table, specs, years, final, contract=contract))
 
 
+def external_xg_comparison(
+    features: DataFrame,
+    matches: DataFrame,
+    raw: DataFrame,
+    divisions: Sequence[str],
+    aliases: dict[str, str],
+    years: Sequence[int] = folds.YEARS,
+    final: int = S.FINAL_YEAR,
+) -> Outcome:
+    """External xG against the 52-feature model on the matches it covers, behind all its gates.
+
+    The external rows must pass their audit, no two matches may fall on one normalised key, the
+    aligned history must be sound and the quality gate must hold; each failure is an error.
+    """
+    external = xg.validate_external(raw, divisions, aliases)
+    aligned = durable(xg.align_external_xg(matches, external, aliases))
+    xg.check_alias_collapse(aligned)
+    issues = {k: v for k, v in xg.history_issues(aligned).first().asDict().items() if v}
+    if issues:
+        raise S.ContractError(f"the external xG history is unsound: {issues}")
+    measured = xg.quality(aligned).first()
+    if not measured.passed:
+        raise S.ContractError(f"external xG fails its quality gate: {measured.asDict()}")
+    covered = features.join(aligned.select(*S.KEY), list(S.KEY), "left_semi")
+    made = xg.xg_features(aligned, aligned, inside=True)
+    return compare_candidate(covered, made, S.XG_FEATURES, "external_xg", years, final)
+
+
+def availability_comparison(
+    features: DataFrame,
+    fixtures: DataFrame,
+    appearances: DataFrame,
+    lineups: DataFrame,
+    valuations: DataFrame,
+    years: Sequence[int] = folds.YEARS,
+    final: int = S.FINAL_YEAR,
+) -> tuple[Outcome, DataFrame]:
+    """Player availability against the 52-feature model, and the report of the scope it covers.
+
+    The four relations must pass their validation, none of the candidate's columns may be one that
+    the timing policy refuses, and matches without a fixture are left out of both models.
+    """
+    availability.validate_relations(fixtures, appearances, lineups, valuations)
+    refused = guards.timing_violations(S.AVAILABILITY_FEATURES)
+    if refused:
+        raise S.LeakageError(f"the timing policy refuses {refused}")
+    report = durable(availability.scope_coverage(features, fixtures))
+    made = durable(
+        availability.availability_features(fixtures, appearances, lineups, valuations)
+    )
+    covered = features.join(fixtures.select(*S.KEY), list(S.KEY), "left_semi")
+    outcome = compare_candidate(
+        covered, made, S.AVAILABILITY_FEATURES, "availability", years, final
+    )
+    return outcome, report
+
+
 def select_then_confirm(
     table: DataFrame, specs: Sequence[Spec], years: Sequence[int], final: int
 ) -> tuple[str, Outcome]:

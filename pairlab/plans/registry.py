@@ -774,17 +774,11 @@ def pseudo_xg_candidate(spark, sf):
 
 @query
 def xg_candidate(spark, sf):
-    """External-xG candidate on the covered divisions and the seasons it reaches."""
+    """External-xG candidate on the covered matches, behind its audit and quality gates."""
     t = Tables(spark, sf)
-    aligned = durable(aligned_xg(t, True))
-    covered = fitted_features(t).join(aligned.select(*S.KEY), list(S.KEY), "left_semi")
-    out = experiments.compare_candidate(
-        covered,
-        xg.xg_features(aligned, aligned, inside=True),
-        S.XG_FEATURES,
-        "external_xg",
-        YEARS,
-        derived.FINAL,
+    divisions = [r[0] for r in t.matches.select("Division").distinct().orderBy("Division").collect()]
+    out = experiments.external_xg_comparison(
+        fitted_features(t), t.scored, t.external_xg_good, divisions, XG_ALIASES, YEARS, derived.FINAL
     )
     return outcome_rows(out)
 
@@ -792,13 +786,8 @@ def xg_candidate(spark, sf):
 @query
 def availability_candidate(spark, sf):
     t = Tables(spark, sf)
-    out = experiments.compare_candidate(
-        fitted_features(t),
-        availability_table(t),
-        S.AVAILABILITY_FEATURES,
-        "availability",
-        YEARS,
-        derived.FINAL,
+    out, _ = experiments.availability_comparison(
+        fitted_features(t), t.fixtures, t.appearances, t.lineups, t.valuations, YEARS, derived.FINAL
     )
     return outcome_rows(out)
 

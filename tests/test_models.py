@@ -178,3 +178,17 @@ def test_candidate_and_ledger(outcome, some):
     assert checked.first().verdict == "failed"
     with pytest.raises(Exception, match="no candidate features"):
         experiments.join_candidate(table, noise.limit(3), ["extra_pre"]).collect()
+
+
+def test_networks_stop_by_the_held_back_dates(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(400, 2))
+    y = np.argmax(x @ np.array([[2.0, 0.0, -2.0], [0.0, 1.5, 0.0]]) + rng.gumbel(size=(400, 3)), axis=1)
+    rows = [(int(i % 40), float(a), float(b), S.CLASSES[c]) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "d int, aa_pre double, cc_pre double, target_1x2 string")
+    df = df.withColumn("MatchDate", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")))
+    stats = {c: (0.0, 0.0, 1.0) for c in COLUMNS}
+    model = classify.fit_network(df, COLUMNS, stats, "mlp_64", contract=COLUMNS)
+    assert 0 < model.iterations < classify.MAX_ITERATIONS and model.rows == 400
+    with pytest.raises(RuntimeError, match="held-back loss"):
+        classify.fit_network(df, COLUMNS, stats, "mlp_64", contract=COLUMNS, max_iterations=0)

@@ -235,3 +235,31 @@ def test_dense_index_over_many_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
     rows = dense_index(df, ["v"], "i").collect()
     assert all(r.v == r.i for r in rows) and len(rows) == 1000
+
+
+def test_external_xg_stands_behind_its_gates(spark, tables):
+    from pairlab.plans import experiments, registry
+
+    divisions = [f"N{i:02d}" for i in range(25)]
+
+    def run(raw, matches=tables.matches):
+        experiments.external_xg_comparison(
+            tables.canonical, matches, raw, divisions, registry.XG_ALIASES, registry.YEARS, 2001
+        )
+
+    with pytest.raises(S.ContractError, match="quality gate"):
+        run(tables.external_xg)
+    with pytest.raises(S.ContractError, match="schema failed"):
+        run(tables.external_xg.unionByName(tables.external_xg))
+    with pytest.raises(S.ContractError, match="schema failed"):
+        run(tables.external_xg.withColumn("Division", F.lit("X1")))
+
+
+def test_availability_refuses_broken_relations(spark, squad):
+    from pairlab.plans import experiments
+
+    fixtures, appearances, lineups, values = squad
+    with pytest.raises(S.ContractError, match="player relations"):
+        experiments.availability_comparison(
+            fixtures, fixtures, appearances.unionByName(appearances), lineups, values
+        )
