@@ -32,6 +32,7 @@ SELF_CLOSING = {
     "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"),
     "td": ("td", "th"), "th": ("td", "th"), "option": ("option",),
 }
+HEAD_ONLY = frozenset("base basefont bgsound link meta noscript script style template title".split())
 SECTIONS = frozenset("article main section nav aside header footer form body".split())
 
 # Classifier weights in log-odds: above zero speaks for content.
@@ -154,7 +155,14 @@ class _Page:
         self.parts = []
         self.linked = 0
 
+    def leave_head(self):
+        """An open head ends at the first thing that cannot be in one, unless metadata holds it."""
+        if self.open["head"] and self.unseen == 1:
+            self.close_to(("head",), frozenset())
+
     def start(self, tag, attrs):
+        if tag not in HEAD_ONLY and tag not in ("html", "head"):
+            self.leave_head()
         if tag == "br":
             self.parts.append(" ")
         if tag not in INLINE:
@@ -215,6 +223,8 @@ class _Page:
             self.close_to((tag,), ENDS_P | SECTIONS if tag in INLINE else frozenset())
 
     def data(self, text):
+        if text.strip():
+            self.leave_head()
         if not self.unseen:
             text = unescape(text)
             self.parts.append(text)

@@ -37,6 +37,14 @@ def test_without_an_article_element():
     assert html_text.main_text(page).split("\n")[0::2] == ["Title here", "Short one."]
 
 
+@pytest.mark.parametrize("head", ["<head>", "<html><head><meta charset=utf-8>", "<head><noscript><link></noscript><script>a<b</script>"])
+@pytest.mark.parametrize("body", ["", "<body>", "</head>", "</head><body class=x>"])
+def test_omitted_head_and_body_tags(head, body):
+    page = f"{head}<title>x</title>{body}<article><p>The text of the page, which is long enough.</p></article>"
+    assert html_text.main_text(page) == "The text of the page, which is long enough."
+    assert html_text.main_text(f"{head}<title>x</title>{body}Bare text of a page, long enough to stay.").startswith("Bare")
+
+
 def cost(scores, edges, chosen):
     out = sum(s for s, c in zip(scores, chosen) if s > 0 and not c)
     out -= sum(s for s, c in zip(scores, chosen) if s < 0 and c)
