@@ -53,6 +53,11 @@ BAD_NAME = re.compile(
     r"search|share|sharing|social|related|recommended|toolbar|pagination|pager|copyright|legal|"
     r"disclaimer|skip|hidden)$"
 )
+# Parts of a class or identifier that only place or frame what the others name.
+PLACE = frozenset(
+    "site page main top bottom left right primary secondary area box list links container section "
+    "block bar".split()
+)
 BAD_NAME_COST = -8.0
 HIDDEN_COST = -12.0
 LINK_COST = -4.0
@@ -63,6 +68,15 @@ _HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _END = re.compile(r"[.!?…:;。]")
 
 
+def bad_name(value: str) -> bool:
+    """Whether a whole class or identifier of ``value`` names boilerplate, not only mentions it."""
+    for token in value.split():
+        parts = [x for x in _NAME.findall(token) if x not in PLACE]
+        if parts and all(map(BAD_NAME.match, parts)):
+            return True
+    return False
+
+
 class Block(NamedTuple):
     text: str
     score: float
@@ -105,6 +119,7 @@ class _Open(NamedTuple):
     tag: str
     number: int
     score: float  # log-odds of this element and all around it
+    named: float  # the share of names in it
     block: int  # block elements around it, itself included
     parent: int  # number of the block element around the innermost one
     inner: int  # number of the innermost block element, itself included
@@ -118,13 +133,14 @@ class _Page:
 
     def __init__(self):
         self.blocks: list[Block] = []
-        self.root = _Open("", 0, 0.0, 0, 0, 0)
+        self.root = _Open("", 0, 0.0, 0.0, 0, 0, 0)
         self.stack: list[_Open] = []
         self.open: Counter[str] = Counter()
         self.parts: list[str] = []
         self.linked = 0
         self.count = 0
         self.unseen = 0
+        self.held = False  # whether an article or main element has begun
         self.lowest = 0  # fewest open block elements since the last block
         self.depth = 0  # open block elements at the last block
 
@@ -176,12 +192,16 @@ class _Page:
         score = ELEMENT.get(tag, 0.0)
         if tag == "header" and (self.open["article"] or self.open["main"]):
             score = 0.0  # the head of an article is its own
+        # An article is not named after boilerplate by its layout, nor is its own header.
+        exempt = tag in ("body", "html", "article", "main")
+        exempt |= tag == "header" and bool(self.open["article"] or self.open["main"])
+        named = 0.0
         hidden = False
         for name, value in attrs:
             value = value.lower()
             if name in ("class", "id"):
-                if tag not in ("body", "html") and any(map(BAD_NAME.match, _NAME.findall(value))):
-                    score += BAD_NAME_COST
+                if not exempt and bad_name(value):
+                    named += BAD_NAME_COST
             elif name == "role":
                 score += ROLE.get(value.strip(), 0.0)
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
@@ -192,11 +212,16 @@ class _Page:
             score += HIDDEN_COST
         self.count += 1
         top = self.top()
+        around = top.named
+        if tag == "main" or (tag == "article" and not self.held):
+            around = 0.0  # what wraps it; articles that follow may be comments or teasers
+        self.held |= tag in ("article", "main")
+        score += top.score - top.named + around + named
         if tag in INLINE:
             at = top.block, top.parent, top.inner
         else:
             at = top.block + 1, top.inner, self.count
-        self.stack.append(_Open(tag, self.count, top.score + score, *at))
+        self.stack.append(_Open(tag, self.count, score, around + named, *at))
         self.open[tag] += 1
         self.unseen += tag in UNSEEN
 

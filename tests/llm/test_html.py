@@ -45,6 +45,31 @@ def test_omitted_head_and_body_tags(head, body):
     assert html_text.main_text(f"{head}<title>x</title>{body}Bare text of a page, long enough to stay.").startswith("Bare")
 
 
+LAYOUT = "<header{}><h1>A title</h1></header><p>The text of the page, which is long enough to be one.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content-sidebar-wrap"><article>{LAYOUT.format("")}</article></div>',
+        f'<div id=page class="has-sidebar"><article>{LAYOUT.format("")}</article></div>',
+        f'<div class="sidebar right"><main>{LAYOUT.format("")}</main></div>',
+        f'<div class="sidebar"><article class="comments">{LAYOUT.format("")}</article></div>',
+        f'<article class="post comments-open">{LAYOUT.format(" class=entry-header")}</article>',
+        f'<article>{LAYOUT.format(" class=header id=masthead")}</article>',
+    ],
+)
+def test_names_of_layouts_around_an_article(page):
+    assert html_text.main_text(page).split("\n") == ["A title", "The text of the page, which is long enough to be one."]
+
+
+@pytest.mark.parametrize("name", ["cookie-notice", "site-footer", "main_nav", "widget-area", "x sidebar2", "comments"])
+def test_names_of_boilerplate(name):
+    noise = "Noise that is written out as one long sentence, with a full stop."
+    page = f'<article>{LAYOUT.format("")}</article><div class="{name}"><article><p>{noise}</p></article></div>'
+    assert noise not in html_text.main_text(page)
+
+
 def cost(scores, edges, chosen):
     out = sum(s for s, c in zip(scores, chosen) if s > 0 and not c)
     out -= sum(s for s, c in zip(scores, chosen) if s < 0 and c)
