@@ -29,6 +29,19 @@ SUPPORT = {
 }
 AGAINST = ("version", "isbn", "issn", "doi", "order", "invoice", "serial", "sku", "example", "test")
 
+# Letters and digits of an account number, by country.
+IBAN_LENGTH = {
+    country: length
+    for length, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+        21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+        27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+        30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
+
 # Every pattern is tried once at each place where it can start, so the work is linear in the text.
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]+\Z")
@@ -36,9 +49,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}))")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _TEL = re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[-.])[0-9]{3}[-.][0-9]{4}(?![0-9.-])")
+_ALNUM = re.compile(r"[A-Za-z0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _WORDS = re.compile(r"[^\W\d_]+(?:-[^\W\d_]+)*")
 
@@ -67,6 +81,34 @@ def mod97(iban: str) -> bool:
     return rest == 1
 
 
+def _iban_end(text: str, start: int, end: int) -> int:
+    """End of the account number that begins a proposal, or 0; a country's numbers have one length."""
+    length = IBAN_LENGTH.get(text[start : start + 2])
+    if length:
+        at = start
+        while length and at < end:
+            length -= text[at] != " "
+            at += 1
+        ends = [] if length else [at]
+    else:  # no known country: each end at a blank, the longest first
+        ends = [end, *[i for i in range(end - 1, start, -1) if text[i] == " "]]
+    for e in ends:
+        compact = text[start:e].replace(" ", "")
+        if len(compact) >= 15 and not _ALNUM.match(text, e) and mod97(compact):
+            return e
+    return 0
+
+
+def _ibans(text: str):
+    """Spans of account numbers, leftmost and apart. Words that follow, as a BIC or a currency, are left out."""
+    done = 0
+    for m in _IBAN.finditer(text):
+        s, e = m.span(1)
+        if s >= done and (e := _iban_end(text, s, e)):
+            yield s, e
+            done = e
+
+
 def _emails(text: str):
     done, at = 0, text.find("@")
     while at >= 0:
@@ -144,22 +186,19 @@ def find_spans(text: str | None) -> list[Span]:
     found = [Span(BASE[k], s, e, _score(BASE[k], text, s, e)) for s, k, e in base]
     if not _DIGITS.search(text):
         return found
-    for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("tel", _TEL)):
-        for m in pattern.finditer(text):
-            s, e = m.span()
-            group = m.group()
-            if kind == "iban":
-                compact = group.replace(" ", "")
-                if not mod97(compact):
-                    continue
-            elif any(s < b and a < e for a, b in taken):
-                continue
-            if kind == "ssn" and (group[:3] in ("000", "666") or group[0] == "9" or group[4:6] == "00" or group[7:] == "0000"):
-                continue
-            score = _score(kind, text, s, e)
-            if score >= THRESHOLD:
-                found.append(Span(kind, s, e, score))
-                taken.append((s, e))
+    proposed = [("iban", s, e) for s, e in _ibans(text)]
+    for kind, pattern in (("ssn", _SSN), ("tel", _TEL)):
+        proposed += [(kind, *m.span()) for m in pattern.finditer(text)]
+    for kind, s, e in proposed:
+        group = text[s:e]
+        if kind != "iban" and any(s < b and a < e for a, b in taken):
+            continue
+        if kind == "ssn" and (group[:3] in ("000", "666") or group[0] == "9" or group[4:6] == "00" or group[7:] == "0000"):
+            continue
+        score = _score(kind, text, s, e)
+        if score >= THRESHOLD:
+            found.append(Span(kind, s, e, score))
+            taken.append((s, e))
     return sorted(found, key=lambda x: (x.start, KINDS.index(x.kind)))
 
 

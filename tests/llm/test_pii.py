@@ -61,6 +61,26 @@ def test_added_spans_need_checks_or_context():
     assert kinds("item 415-555-2671") == []
 
 
+@pytest.mark.parametrize("number", ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "NO93 8601 1117 947"])
+@pytest.mark.parametrize("after", ["", ".", " BIC COBADEFFXXX", " USD", " 2024", " A", " Amount", "\n12", " GB82 WEST 1234 5698 7654 31"])
+def test_account_numbers_before_other_words(number, after):
+    text = f"IBAN {number}{after}"
+    assert [(x.kind, x.start, x.end) for x in pii.find_spans(text) if x.kind == "iban"] == [("iban", 5, 5 + len(number))]
+
+
+def test_account_numbers_in_a_row():
+    text = "IBAN DE89370400440532013000 GB82WEST12345698765432"
+    assert [x.start for x in pii.find_spans(text) if x.kind == "iban"] == [5, 28]
+    assert [x for x in pii.find_spans(text + "X") if x.start == 28] == []
+
+
+def test_long_runs_of_account_numbers_take_linear_time():
+    for text in ("DE89 " * 40000, "ZZ89 " * 20000, "A1" * 200000, "DE89 370400440532013 " * 20000):
+        start = time.time()
+        pii.find_spans(text)
+        assert time.time() - start < 5
+
+
 def test_context_changes_the_score_but_keeps_base_spans():
     (low,) = pii.find_spans("version 10.0.0.1")
     (high,) = pii.find_spans("server 10.0.0.1")
