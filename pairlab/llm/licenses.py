@@ -91,6 +91,45 @@ TEMPLATES = {
     ),
 }
 
+
+
+def _gnu(kind: str, version: str, subject: str = "program", or_later: bool = True) -> str:
+    """Notice of a GNU license; its relatives differ by a few words."""
+    terms = f"either version {version} of the License, or (at your option) any later version."
+    published = "as published by the Free Software Foundation"
+    return (
+        f"This {subject} is free software: you can redistribute it and/or modify it under the terms of "
+        + (f"the GNU {kind} {published}, {terms}" if or_later else f"the GNU {kind} version {version} {published}.")
+        + f" This {subject} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; "
+        "without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. "
+        f"See the GNU {kind} for more details."
+    )
+
+
+_GPL, _LGPL, _AGPL = (f"{x}General Public License" for x in ("", "Lesser ", "Affero "))
+_CC = "This work is licensed under a Creative Commons Attribution-{} 4.0 International License."
+
+# Close relatives, so that the one of more matched words takes a text, not the only one.
+TEMPLATES |= {
+    "AGPL-3.0-line": "This work is licensed under the GNU Affero General Public License, version 3.",
+    "LGPL-2.1-line": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "BSD-2-Clause-line": "Licensed under the BSD 2-Clause License.",
+    "CC-BY-NC-ND-4.0-line": "Licensed under CC BY-NC-ND 4.0.",
+    "CC-BY-ND-long": _CC.format("NoDerivatives"),
+    "CC-BY-NC-SA-long": _CC.format("NonCommercial-ShareAlike"),
+    "CC-BY-NC-ND-long": _CC.format("NonCommercial-NoDerivatives"),
+    "GPL-2.0-or-later-notice": _gnu(_GPL, "2"),
+    "GPL-2.0-only-notice": _gnu(_GPL, "2", or_later=False),
+    "GPL-3.0-only-notice": _gnu(_GPL, "3", or_later=False),
+    "AGPL-3.0-notice": _gnu(_AGPL, "3"),
+    "LGPL-2.1-notice": _gnu(_LGPL, "2.1", "library"),
+    "LGPL-3.0-notice": _gnu(_LGPL, "3"),
+    "LGPL-3.0-library-notice": _gnu(_LGPL, "3", "library"),
+    "BSD-3-Clause": TEMPLATES["BSD-2-Clause"]
+    + " Neither the name of the copyright holder nor the names of its contributors may be used to "
+    "endorse or promote products derived from this software without specific prior written permission.",
+}
+
 _WORD = re.compile(r"\w+")
 
 

@@ -36,6 +36,27 @@ def test_many_matches_and_places():
     assert [m.template for m in licenses.find_licenses(both, INDEX)] == ["MIT", "GPL-3.0-notice"]
 
 
+GNU = "GPL-2.0-or-later GPL-2.0-only GPL-3.0 GPL-3.0-only AGPL-3.0 LGPL-2.1 LGPL-3.0 LGPL-3.0-library".split()
+
+
+@pytest.mark.parametrize("a", GNU)
+@pytest.mark.parametrize("b", GNU)
+def test_relatives_side_by_side(a, b):
+    text = "\n\n".join(licenses.TEMPLATES[f"{x}-notice"].replace("software:", "software;") for x in (a, b))
+    assert [m.template for m in licenses.find_licenses(text, INDEX)] == [f"{a}-notice", f"{b}-notice"]
+
+
+def test_bsd_clauses():
+    two = licenses.TEMPLATES["BSD-2-Clause"].replace("met: ", "met: 1. ").replace("disclaimer. R", "disclaimer. 2. R")
+    end = ' THIS SOFTWARE IS PROVIDED "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES ARE DISCLAIMED.'
+    third = (
+        " 3. Neither the name of the <organization> nor the names of its contributors may be used to endorse or"
+        " promote products derived from this software without specific prior written permission."
+    )
+    assert [m.template for m in licenses.find_licenses(two + end, INDEX)] == ["BSD-2-Clause"]
+    assert [m.template for m in licenses.find_licenses(two + third + end, INDEX)] == ["BSD-3-Clause"]
+
+
 def brute_align(words, text):
     """Longest run of matches by the full local alignment, as score."""
     best, above = 0, [0] * (len(text) + 1)
