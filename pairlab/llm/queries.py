@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from pairlab.llm import (
+    byte_bpe,
     decontaminate,
     ego_join,
     html_text,
@@ -103,3 +104,10 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License notices in every document."""
     return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+@_register
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and the bytes that they decode to."""
+    docs = table(spark, sf_dir, "documents")
+    return byte_bpe.digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
