@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pairlab.llm import (
     byte_bpe,
     decontaminate,
     ego_join,
+    hard_negatives,
     html_text,
     language_id,
     licenses,
@@ -106,6 +108,21 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every fiftieth vector, after a seventh of the labels moved on by one."""
+    whole = "transform(embedding, x -> if(isnan(x) OR abs(x) = double('infinity'), NULL, floor(256 * double(x))))"
+    vectors = table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.expr(whole).alias("vector"),
+    )
+    return hard_negatives.mine(vectors, F.col("vec_id") % 50 == 0)
+
+
+SQL["op12_hard_negatives"] = hard_negatives.SQL
+
+
 @_register
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and the bytes that they decode to."""
