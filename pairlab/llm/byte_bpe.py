@@ -23,7 +23,7 @@ from pyspark.sql.types import StringType
 
 from pairlab.llm.memory import Remembered, slices
 
-REMEMBERED = 200_000  # words of each generation whose ids a Python worker remembers
+REMEMBERED = 50_000  # words of each generation whose ids a Python worker remembers
 # The characters of the White_Space property: Python's blanks without the four information separators.
 WHITE = "".join(c for c in map(chr, range(0x3001)) if c.isspace() and not 0x1C <= ord(c) <= 0x1F)
 
@@ -111,17 +111,21 @@ class Codec:
             out.update((w, raw[lo:hi]) for w, lo, hi in zip(safe, at, at[1:]))
         return out
 
-    def encode(self, texts: Sequence[str]) -> list[bytes]:
-        """The ids of each text as little-endian 32-bit numbers."""
-        out = []
-        for part in slices(texts):
-            words = [self.WORD.findall(text) for text in part]
-            known = self.memory.resolve({w for ws in words for w in ws})
-            out += [b"".join(map(known.__getitem__, ws)) for ws in words]
-        return out
+    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
+        """The ids of each text, of texts that lie in memory together."""
+        words = [self.WORD.findall(text) for text in texts]
+        known = self.memory.resolve({w for ws in words for w in ws})
+        return [np.frombuffer(b"".join(map(known.__getitem__, ws)), dtype="<i4") for ws in words]
+
+
+def decode_ids(tokens: list[bytes], ids: Sequence[int]) -> bytes:
+    return b"".join(map(tokens.__getitem__, ids))
 
-    def decode(self, ids: Sequence[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    """Arrays of 32-bit numbers as one column of lists."""
+    ends = np.cumsum([0, *map(len, arrays)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays), pa.int32()))
 
 
 def split_characters(raw: bytes) -> tuple[bytes, bytes]:
@@ -143,6 +147,11 @@ def _codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@cache
+def _tokens(path: str) -> list[bytes]:
+    return read_ranks(path)
+
+
 def encode(
     docs: DataFrame,
     ranks_path: str,
@@ -150,8 +159,10 @@ def encode(
     id_col: str = "doc_id",
     text_col: str = "text",
     with_offsets: bool = False,
+    with_decoded: bool = False,
 ) -> DataFrame:
-    """``id_col`` and ``ids`` of every whole text, and on request ``char_start`` and ``char_end`` of each token.
+    """``id_col`` and ``ids`` of every whole text, and on request ``char_start`` and ``char_end`` of each
+    token, or ``decoded``, the bytes that the ids decode to in the same pass.
 
     Each match of ``pattern`` is encoded separately by the ranks of ``ranks_path``; no string is a
     special token. Offsets count code points; tokens that share a split character all cover it.
@@ -161,35 +172,41 @@ def encode(
     Other columns are ignored, whatever their names.
     """
 
+    numbers = T.ArrayType(T.IntegerType())
+    fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", numbers)]
+    if with_offsets:
+        fields += [T.StructField(n, numbers) for n in ("char_start", "char_end")]
+    if with_decoded:
+        fields.append(T.StructField("decoded", T.BinaryType()))
+    names = [f.name for f in fields]
+
     def run(batches):
         codec = _codec(ranks_path, pattern)
-        numbers = pa.list_(pa.int32())
+        kind = pa.list_(pa.int32())
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            found = [np.frombuffer(x, dtype="<i4") for x in codec.encode(texts)]
-            columns = [batch.column(0), pa.array(found, numbers)]
-            names = [id_col, "ids"]
-            if with_offsets:
-                spans = [
-                    character_offsets(text.encode(), np.cumsum(codec.sizes[ids])) if len(ids) else (ids, ids)
-                    for text, ids in zip(texts, found)
-                ]
-                columns += [pa.array([s[i].astype(np.int32) for s in spans], numbers) for i in (0, 1)]
-                names += ["char_start", "char_end"]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    kind = docs.schema[id_col].dataType
-    fields = ["ids", "char_start", "char_end"] if with_offsets else ["ids"]
-    schema = T.StructType(
-        [T.StructField(id_col, kind), *[T.StructField(f, T.ArrayType(T.IntegerType())) for f in fields]]
-    )
+            at = 0
+            for texts in slices([t or "" for t in batch.column(1).to_pylist()]):
+                found = codec.encode(texts)
+                columns = [batch.column(0).slice(at, len(texts)), _lists(found)]
+                if with_offsets:
+                    spans = [
+                        character_offsets(text.encode(), np.cumsum(codec.sizes[ids])) if len(ids) else (ids, ids)
+                        for text, ids in zip(texts, found)
+                    ]
+                    columns += [pa.array([s[i].astype(np.int32) for s in spans], kind) for i in (0, 1)]
+                if with_decoded:
+                    raw = [decode_ids(codec.tokens, ids.tolist()) for ids in found]
+                    columns.append(pa.array(raw, pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                at += len(texts)
+
+    schema = T.StructType(fields)
     return docs.select(id_col, F.col(text_col).cast(StringType())).mapInArrow(run, schema)
 
 
 def decode(
     rows: DataFrame,
     ranks_path: str,
-    pattern: str = public_tokenizers.PATTERN,
     id_col: str = "doc_id",
     ids_col: str = "ids",
 ) -> DataFrame:
@@ -205,9 +222,9 @@ def decode(
     """
 
     def run(batches):
-        codec = _codec(ranks_path, pattern)
+        tokens = _tokens(ranks_path)
         for batch in batches:
-            raw = [codec.decode(ids or ()) for ids in batch.column(1).to_pylist()]
+            raw = [decode_ids(tokens, ids or ()) for ids in batch.column(1).to_pylist()]
             cut = [split_characters(r) for r in raw]
             text = [
                 r[len(lead) : len(r) - len(trail)].decode("utf-8", "replace")
@@ -235,7 +252,7 @@ def decode(
 
 def digests(docs: DataFrame, ranks_path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256``: texts encoded, and the ids decoded again."""
-    back = decode(encode(docs, ranks_path), ranks_path)
+    back = encode(docs, ranks_path, with_decoded=True)
     return back.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_tokens"),
