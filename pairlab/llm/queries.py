@@ -18,6 +18,7 @@ from pairlab.llm import (
     packing,
     pii,
     simhash,
+    spelling,
     warc,
 )
 
@@ -108,6 +109,15 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+@_register
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near words, form and root of every word, after a letter of one run in 31 is lost."""
+    return spelling.group_variants(spelling.vocabulary(table(spark, sf_dir, "documents"), slip=31))
+
+
+SQL["op11_spelling"] = spelling.SQL
+
+
 @_register
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hard negatives of every fiftieth vector, after a seventh of the labels moved on by one."""
