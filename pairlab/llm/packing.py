@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import bisect
 import os
+import re
 import zlib
 from collections import deque
+from collections.abc import Sequence
 from functools import cache
 from typing import NamedTuple
 
@@ -14,11 +16,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.llm.memory import Remembered, slices
 from pairlab.session import durable
 
 CAPACITY = 4096
 END_ID = 1
-CACHE_WORDS = 250_000  # words whose ids a Python worker remembers
+REMEMBERED = 200_000  # words of each generation whose ids a Python worker remembers
 
 PIECES = (
     "piece int, start bigint, length bigint, ids_crc32 bigint, _part int, _rank bigint"
@@ -134,20 +137,21 @@ class Encoder:
 
     The vocabulary's splitter never joins characters across white space, and parts letters from
     punctuation. So a text's ids are those of its blank-separated parts in order, and a part made of
-    Latin letters and then ASCII punctuation is two words. Words are encoded once and remembered;
-    those met after the memory is full are encoded again when they return.
+    Latin letters and then ASCII punctuation is two words. Words and other parts are encoded once and
+    remembered while they return.
     """
 
-    PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+    LETTERS = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff"
+    MARKS = re.escape("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+    CLOSED = r"(?![^ \t\r\n])"
+    WORD = re.compile(f"[{LETTERS}]++(?=[{MARKS}]*+{CLOSED})|[{MARKS}]++{CLOSED}|[^ \t\r\n]+")
 
-    def __init__(self, tokenizer_path: str, memory: int = CACHE_WORDS):
+    def __init__(self, tokenizer_path: str, remembered: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.memory = memory
-        self.parts: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.memory = Remembered(self._learn, remembered)
         suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size, dtype=bool)
@@ -170,42 +174,19 @@ class Encoder:
         return [raw[lo:hi] for lo, hi in zip(at, at[1:])]
 
     def _learn(self, new: list[str]) -> dict[str, bytes]:
-        plain, other = {}, []
-        for p in new:
-            word = p.rstrip(self.PUNCTUATION)
-            if word.isalpha() and max(word) < "\u0100" or not word and p:
-                plain[p] = word.lower(), p[len(word) :]
-            else:
-                other.append(p)
-        out = dict(zip(other, self._whole(other))) if other else {}
-        words, known = {}, self.words
-        for pair in plain.values():
-            for w in pair:
-                if w and w not in known:
-                    words[w] = b""
-        if words:
-            letters = [w for w in words if w.isalpha()]
-            marks = [w for w in words if not w.isalpha()]
-            for group, method in ((letters, self._letters), (marks, self._whole)):
-                if group:
-                    words.update(zip(group, method(group)))
-            if len(known) + len(words) <= self.memory:
-                known.update(words)
-        for p, pair in plain.items():
-            out[p] = b"".join(known.get(w) or words[w] for w in pair if w)
+        letters, other = [], []
+        for word in new:
+            (letters if word.isalpha() and max(word) < "\u0100" else other).append(word)
+        out = dict(zip(other, self._whole(other)))
+        if letters:
+            out.update(zip(letters, self._letters(letters)))
         return out
 
-    def __call__(self, text: str) -> bytes:
-        parts = text.replace("\n", " ").split(" ")
-        known = self.parts
-        new = [p for p in set(parts) if p not in known]
-        if new:
-            learned = self._learn(new)
-            if len(known) + len(new) <= self.memory:
-                known.update(learned)
-            else:
-                known = learned | {p: known[p] for p in set(parts) if p not in learned}
-        return b"".join(map(known.__getitem__, parts))
+    def encode(self, texts: Sequence[str]) -> list[bytes]:
+        """The ids of each text, of texts that lie in memory together."""
+        words = [self.WORD.findall(text) for text in texts]
+        known = self.memory.resolve({w for ws in words for w in ws})
+        return [b"".join(map(known.__getitem__, ws)) for ws in words]
 
 
 @cache
@@ -229,13 +210,14 @@ def pieces(
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        encode = _encoder(tokenizer_path)
+        encode = _encoder(tokenizer_path).encode
         ranks: dict[int, int] = {}
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             rows, cols = [], [[] for _ in range(7)]
-            for at, text in enumerate(batch.column(1)):
-                ids = encode(text.as_py() or "") + end
+            parts = slices([t or "" for t in batch.column(1).to_pylist()])
+            for at, ids in enumerate(ids for part in parts for ids in encode(part)):
+                ids += end
                 for k, lo in enumerate(range(0, len(ids) // 4, capacity)):
                     own = ids[4 * lo : 4 * (lo + capacity)]
                     n = len(own) // 4

@@ -63,12 +63,12 @@ def test_encoder_equals_the_tokenizer():
     letters = "abzÉéßñ'ªµ·x01 9\n\t .,!*&<|>_-İΣσςا́‍\x1c\x85ﬁ中😀"
     whole = Tokenizer.from_file(PATH)
     for memory in (100_000, 50):
-        encode = packing.Encoder(PATH, memory)
+        encode = packing.Encoder(PATH, memory).encode
         for i in range(3000):
             text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 25)))
             text += " <|endoftext|> it's we'll" * (i % 50 == 0)
             want = np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-            assert encode(text) == want, repr(text)
+            assert encode([text]) == [want], repr(text)
 
 
 def test_rows(spark, frame, odd):
