@@ -66,17 +66,17 @@ def join_candidate(table: DataFrame, features: DataFrame, columns: Sequence[str]
     return require(joined, found, "a base row has no candidate features").drop("_hit")
 
 
-def split(table: DataFrame, year: int, final: int) -> tuple[DataFrame, DataFrame]:
-    """Training and test rows of one fold; plain season filters, so partitions are pruned."""
+def fold_rows(table: DataFrame, year: int, final: int) -> DataFrame:
+    """Train and test rows of one fold; plain season filters, so partitions are pruned."""
     season = F.col("SeasonStartYear")
     role = "historical_final" if year == final else "development"
-    test = table.where(season == year).select(
+    return table.where(season <= year).select(
         "*",
         F.lit(folds.fold_name(year)).alias("fold"),
         F.lit(year).cast("bigint").alias("test_year"),
         F.lit(role).alias("fold_role"),
+        F.when(season == year, "test").otherwise("train").alias("part"),
     )
-    return table.where(season <= year - 1), test
 
 
 def side_by_side(work, tasks: Sequence) -> list:
@@ -101,28 +101,28 @@ def run_models(
     """
     columns = list(dict.fromkeys(c for s in specs for c in s.columns))
     tables = table if isinstance(table, Mapping) else dict.fromkeys(years, table)
-    if stats is None and tables is table:
-        made = side_by_side(
-            lambda y: classify.fold_stats(folds.expanding_folds(tables[y], [y], final), columns), years
-        )
-        stats = {fold: s for one in made for fold, s in one.items()}
-    elif stats is None:
-        stats = classify.fold_stats(folds.expanding_folds(table, years, final), columns)
-    tasks = [(year, spec) for year in years for spec in specs]
+    if stats is None and tables is not table:
+        stats = classify.fold_stats(table, columns, years)
 
-    def run(task):
-        year, spec = task
-        train, _ = split(tables[year], year, final)
+    def design(year):
         fold = folds.fold_name(year)
+        own = stats or classify.fold_stats(tables[year], columns, [year])
+        rows = fold_rows(tables[year].select(*S.METADATA, "target_1x2", *columns), year, final)
+        return classify.build_design(rows, columns, own[fold], fold)
+
+    designs = side_by_side(design, years)
+    tasks = [(made, spec) for made in designs for spec in specs]
+
+    def run(task):
+        made, spec = task
         fit = classify.fit_logistic if spec.kind == "logistic" else classify.fit_network
-        return fit(train, spec.columns, stats[fold], spec.name, fold, contract=contract)
-
-    models = side_by_side(run, tasks)
-    parts = [
-        m.predict(split(tables[year], year, final)[1])
-        for m, (year, _) in zip(models, tasks, strict=True)
-    ]
-    return union(parts), models
+        return fit(made, spec.columns, spec.name, contract=contract)
+
+    # the longest fits first
+    order = sorted(range(len(tasks)), key=lambda i: -len(tasks[i][1].columns) * tasks[i][0].train_rows)
+    done = dict(zip(order, side_by_side(run, [tasks[i] for i in order]), strict=True))
+    models = [done[i] for i in range(len(tasks))]
+    return union([m.predict_test() for m in models]), models
 
 
 def scored(predictions: DataFrame, models: list) -> Outcome:

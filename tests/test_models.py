@@ -13,29 +13,42 @@ from pairlab.session import durable
 COLUMNS = ("aa_pre", "cc_pre")
 
 
-def test_exact_stats(spark):
+@pytest.mark.parametrize("digits", [3, 15])
+def test_exact_stats(spark, digits):
     rng = np.random.default_rng(3)
     data = []
-    for fold in ("f", "g"):
-        values = rng.normal(size=(501, 2)).round(3)
+    for season in (1, 2, 5):
+        values = rng.normal(size=(501 + season, 2)).round(digits)
         for i, (x, y) in enumerate(values):
-            data.append((fold, None if i % 5 == 0 else float(x), float(y), 4.0, None))
-    df = spark.createDataFrame(data, "fold string, a double, b double, c double, d double")
-    got = {(r.fold, r.feature): r for r in scaling.column_stats(df, list("abcd"), accuracy=50).collect()}
-    for fold in ("f", "g"):
+            data.append((season, None if i % 5 == 0 else float(x), 1e6 + float(y), 4.0, None, -0.0 if i % 2 else 0.0))
+    df = spark.createDataFrame(data, "SeasonStartYear bigint, a double, b double, c double, d double, e double")
+    folds = {"f": 2, "g": 5, "h": 6}
+    df = df.unionByName(spark.createDataFrame([(None, 1.0, 1.0, 1.0, 1.0, 1.0)], df.schema)).repartition(7)
+    got = {(r.fold, r.feature): r for r in scaling.column_stats(df, list("abcde"), folds).collect()}
+    each = {r.fold: r for r in scaling.column_stats(df, ["a"]).collect()}
+    assert each.keys() == {"1", "2", "5"} and each["1"].median == got["f", "a"].median
+    for fold, year in folds.items():
         for i, c in enumerate("ab", start=1):
-            x = np.array([np.nan if r[i] is None else r[i] for r in data if r[0] == fold])
+            x = np.array([np.nan if r[i] is None else r[i] for r in data if r[0] < year])
             median = np.nanmedian(x)
             filled = np.where(np.isnan(x), median, x)
             row = got[fold, c]
-            assert row.median == pytest.approx(median, abs=1e-12)
-            assert row["mean"] == pytest.approx(filled.mean(), abs=1e-12)
-            assert row.scale == pytest.approx(filled.std(), abs=1e-12)
+            assert row.median == median
+            assert row["mean"] == pytest.approx(filled.mean(), rel=1e-14, abs=1e-12)
+            assert row.scale == pytest.approx(filled.std(), rel=1e-8)
+            assert (row["rows"], row.present) == (len(x), np.isfinite(x).sum())
         assert got[fold, "c"].scale == 1.0 and got[fold, "c"].median == 4.0
+        assert got[fold, "e"].scale == 1.0 and got[fold, "e"].median == 0.0
         empty = got[fold, "d"]
         assert (empty.present, empty.median, empty["mean"], empty.scale) == (0, 0.0, 0.0, 1.0)
 
 
+def test_bits_keep_the_order():
+    values = np.array([-np.inf, -1e300, -2.5, -1e-320, -0.0, 0.0, 1e-320, 1.0, 2.5, 1e300, np.inf])
+    bits = scaling.ordered_bits(values)
+    assert (bits[:-1] < bits[1:]).all()
+
+
 def softmax_fit(x, y, n_classes=3):
     """Newton's method on mean log loss + |w|^2 / (2n) with free intercepts."""
     n, d = x.shape
@@ -68,7 +81,9 @@ def test_logistic_equals_newton(spark, monkeypatch):
     rows = [(int(i), float(a), float(b), S.CLASSES[c]) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))]
     df = spark.createDataFrame(rows, "i int, aa_pre double, cc_pre double, target_1x2 string")
     stats = {c: (0.0, 0.0, 1.0) for c in COLUMNS}
-    model = classify.fit_logistic(df, COLUMNS, stats, contract=COLUMNS)
+    df = df.withColumn("part", F.lit("train"))
+    made = classify.build_design(df, COLUMNS, stats)
+    model = classify.fit_logistic(made, COLUMNS, contract=COLUMNS)
     keyed = df.select(
         "*",
         *[F.lit("x").alias(c) for c in ("fold", "fold_role", "Division", "HomeTeam", "AwayTeam")],
@@ -82,14 +97,17 @@ def test_logistic_equals_newton(spark, monkeypatch):
     assert np.abs(got - softmax_fit(x, y)).max() < 1e-5
     assert classify.fitted_state([model]).count() == 2
     with pytest.raises(S.ContractError, match="H, D and A"):
-        classify.fit_logistic(df.where("target_1x2 <> 'D'"), COLUMNS, stats, contract=COLUMNS)
+        classify.build_design(df.where("target_1x2 <> 'D'"), COLUMNS, stats)
     with pytest.raises(S.LeakageError):
-        classify.fit_logistic(df, ("i",), {"i": (0.0, 0.0, 1.0)})
+        classify.fit_logistic(classify.build_design(df, ("i",), {"i": (0.0, 0.0, 1.0)}), ("i",))
     with pytest.raises(S.LeakageError, match="outside the contract"):
-        classify.fit_logistic(df, COLUMNS, stats)
+        classify.fit_logistic(made, COLUMNS)
+    half = classify.fit_logistic(made, COLUMNS[1:], contract=COLUMNS)
+    alone = classify.fit_logistic(classify.build_design(df, COLUMNS[1:], stats), COLUMNS[1:], contract=COLUMNS)
+    assert np.allclose(half.model.coefficientMatrix.toArray(), alone.model.coefficientMatrix.toArray(), atol=1e-9)
     endless = df.withColumn("aa_pre", F.lit(float("inf")))
     with pytest.raises(Exception, match="not finite"):
-        classify.fit_logistic(endless, COLUMNS, stats, contract=COLUMNS)
+        classify.build_design(endless, COLUMNS, stats)
 
 
 def test_goals_model_recovers_its_parameters(spark):
@@ -188,7 +206,8 @@ def test_networks_stop_by_the_held_back_dates(spark):
     df = spark.createDataFrame(rows, "d int, aa_pre double, cc_pre double, target_1x2 string")
     df = df.withColumn("MatchDate", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")))
     stats = {c: (0.0, 0.0, 1.0) for c in COLUMNS}
-    model = classify.fit_network(df, COLUMNS, stats, "mlp_64", contract=COLUMNS)
+    made = classify.build_design(df.withColumn("part", F.lit("train")), COLUMNS, stats)
+    model = classify.fit_network(made, COLUMNS, "mlp_64", contract=COLUMNS)
     assert 0 < model.iterations < classify.MAX_ITERATIONS and model.rows == 400
     with pytest.raises(RuntimeError, match="held-back loss"):
-        classify.fit_network(df, COLUMNS, stats, "mlp_64", contract=COLUMNS, max_iterations=0)
+        classify.fit_network(made, COLUMNS, "mlp_64", contract=COLUMNS, max_iterations=0)
