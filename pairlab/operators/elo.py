@@ -3,7 +3,7 @@
 A rating feeds the next date's expectation through a logistic, so there is no window form: the
 dates of one division are inherently sequential, and divisions run in parallel. Rows are sorted by
 division and date within tasks and replayed as a stream. A task holds the ratings of one division
-and the matches of one date, however many matches the division has.
+and one batch of matches, however many matches the division has.
 
 The output is a state row per (division, season, team, day) that played, holding the rating every
 match of that day reads.
@@ -11,9 +11,8 @@ match of that day reads.
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab import schema as S
@@ -31,80 +30,54 @@ STATE = "Division string, SeasonStartYear bigint, MatchDate date, team string, E
 def expected_home_score(home, away, advantage: float = HOME_ADVANTAGE):
     """Expected home score; works on columns, arrays and numbers alike."""
     gap = (away - (home + advantage)) / 400.0
-    if isinstance(gap, (float, np.floating, np.ndarray)):
-        return 1.0 / (1.0 + np.power(10.0, gap))
-    return F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), gap))
-
-
-class _Division:
-    """Ratings of one division while its dates go by."""
-
-    def __init__(self, name: str, start: float):
-        self.name, self.start = name, start
-        self.codes: dict[str, int] = {}
-        self.rating = np.full(64, start)
-        self.season = None
-
-    def code(self, teams) -> np.ndarray:
-        codes = self.codes
-        out = np.fromiter((codes.setdefault(t, len(codes)) for t in teams), int, len(teams))
-        while len(codes) > len(self.rating):
-            self.rating = np.concatenate([self.rating, np.full(len(self.rating), self.start)])
-        return out
-
-    def play(self, day: pd.DataFrame, k: float, advantage: float, reversion: float) -> pd.DataFrame:
-        """Pre-match ratings of the teams of one date; the ratings move on afterwards."""
-        season = day["SeasonStartYear"].iat[0]
-        if (day["SeasonStartYear"] != season).any():
-            raise ValueError("one division and date spans two seasons")
-        if self.season is not None and season != self.season:
-            self.rating = self.rating * (1.0 - reversion) + self.start * reversion
-        self.season = season
-        home, away = self.code(day["HomeTeam"]), self.code(day["AwayTeam"])
-        h, a = self.rating[home], self.rating[away]
-        played = np.unique(np.concatenate([home, away]))
-        names = np.array(list(self.codes), dtype=object)
-        state = pd.DataFrame(
-            {
-                "Division": self.name,
-                "SeasonStartYear": season,
-                "MatchDate": day["MatchDate"].iat[0],
-                "team": names[played],
-                "Elo": self.rating[played],
-            }
-        )
-        change = k * (day["score"].to_numpy(float) - expected_home_score(h, a, advantage))
-        np.add.at(self.rating, home, change)
-        np.subtract.at(self.rating, away, change)
-        return state
+    if isinstance(gap, Column):
+        return F.lit(1.0) / (F.lit(1.0) + F.pow(F.lit(10.0), gap))
+    return 1.0 / (1.0 + 10.0**gap)
 
 
 def _replay(start: float, k: float, advantage: float, reversion: float):
-    """Replay rows that come sorted by division and date; the last date of a batch stays open."""
+    """Replay rows that come sorted by division and date, wherever a batch ends.
+
+    Ratings move only when a date is over: ``moves`` holds what its teams have won and lost so far,
+    and a team's first match of a date puts out the rating that all its matches of the date read.
+    """
 
     def run(batches):
-        division, open_rows = None, None
-
-        def play(day):
-            nonlocal division
-            name = day["Division"].iat[0]
-            if division is None or division.name != name:
-                division = _Division(name, start)
-            return division.play(day, k, advantage, reversion)
-
-        for rows in batches:
-            if open_rows is not None:
-                rows = pd.concat([open_rows, rows], ignore_index=True)
-            if not len(rows):
-                continue
-            group = (rows[["Division", "MatchDate"]] != rows[["Division", "MatchDate"]].shift()).any(axis=1)
-            starts = np.flatnonzero(group.to_numpy())
-            open_rows = rows.iloc[starts[-1] :]
-            days = [play(rows.iloc[lo:hi]) for lo, hi in zip(starts, starts[1:])]
-            if days:
-                yield pd.concat(days, ignore_index=True)
-        if open_rows is not None and len(open_rows):
-            yield play(open_rows)
+        at_division = at_day = at_season = None
+        rating: dict[str, float] = {}
+        moves: dict[str, float] = {}
+        for batch in batches:
+            division, season, _, home, away, score = (c.to_pylist() for c in batch.columns)
+            days = batch.column(2).cast(pa.int32()).to_pylist()
+            rows, teams, ratings = [], [], []
+            for i, day in enumerate(days):
+                if division[i] != at_division:
+                    rating, moves = {}, {}
+                    at_division, at_day, at_season = division[i], day, season[i]
+                elif day != at_day:
+                    for team, move in moves.items():
+                        rating[team] += move
+                    moves, at_day = {}, day
+                    if season[i] != at_season:
+                        at_season = season[i]
+                        rating = {t: r * (1.0 - reversion) + start * reversion for t, r in rating.items()}
+                elif season[i] != at_season:
+                    raise ValueError("one division and date spans two seasons")
+                for team in (home[i], away[i]):
+                    if team not in moves:
+                        moves[team] = 0.0
+                        rows.append(i)
+                        teams.append(team)
+                        ratings.append(rating.setdefault(team, start))
+                change = k * (score[i] - expected_home_score(rating[home[i]], rating[away[i]], advantage))
+                moves[home[i]] += change
+                moves[away[i]] -= change
+            at = pa.array(rows, pa.int32())
+            held = [batch.column(j).take(at) for j in range(3)]
+            yield pa.RecordBatch.from_arrays(
+                [*held, pa.array(teams, pa.string()), pa.array(ratings, pa.float64())],
+                names=["Division", "SeasonStartYear", "MatchDate", "team", "Elo"],
+            )
 
     return run
 
@@ -129,11 +102,13 @@ def elo_state(
         .otherwise(F.raise_error(F.lit("a rated match has a result outside H, D and A")).cast("double"))
     )
     order = ["MatchDate", "HomeTeam", "AwayTeam"]
-    games = matches.select("Division", "SeasonStartYear", *order, score.alias("score"))
+    games = matches.select(
+        "Division", F.col("SeasonStartYear").cast("bigint"), *order, score.alias("score")
+    )
     return (
         games.repartition("Division")
         .sortWithinPartitions("Division", *order)
-        .mapInPandas(_replay(start, k, advantage, reversion), STATE)
+        .mapInArrow(_replay(start, k, advantage, reversion), STATE)
         .select(*H.TEAM, "MatchDate", "Elo")
     )
 
