@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -150,13 +151,14 @@ def team_ids(rows: DataFrame, vocabulary: tuple[DataFrame, DataFrame]) -> DataFr
 
     A division the training rows never held stops the job.
     """
-    teams, leagues = vocabulary
-    out = rows.join(leagues, "Division", "left")
+    return _identified(rows, *vocabulary, ["Division"])
+
+
+def _identified(rows: DataFrame, teams: DataFrame, leagues: DataFrame, by: list[str]) -> DataFrame:
+    out = rows.join(leagues, by, "left")
     for side, column in (("home", "HomeTeam"), ("away", "AwayTeam")):
-        lookup = teams.select(
-            "Division", F.col("team").alias(column), F.col("team_id").alias(f"_{side}")
-        )
-        out = out.join(lookup, ["Division", column], "left")
+        lookup = teams.select(*by, F.col("team").alias(column), F.col("team_id").alias(f"_{side}"))
+        out = out.join(lookup, [*by, column], "left")
     league = F.when(F.col("league_id").isNotNull(), F.col("league_id")).otherwise(
         F.raise_error(F.lit("division absent from the training vocabulary")).cast("bigint")
     )
@@ -170,6 +172,41 @@ def team_ids(rows: DataFrame, vocabulary: tuple[DataFrame, DataFrame]) -> DataFr
     )
 
 
+def fold_team_ids(folds: DataFrame) -> DataFrame:
+    """``team_ids`` of the test rows of every fold, each by the vocabulary of its own training rows."""
+    train, test = (folds.where(F.col("part") == part) for part in ("train", "test"))
+    known = H.sides(train, ["fold", "Division"], {"team": (F.col("HomeTeam"), F.col("AwayTeam"))})
+
+    def numbered(distinct: DataFrame, order: Sequence[str], name: str) -> DataFrame:
+        """Numbers from 0 within each fold: the number over all folds less the fold's first."""
+        made = dense_index(distinct, order, name)
+        first = made.groupBy("fold").agg(F.min(name).alias("_first"), F.count(F.lit(1)).alias(f"{name}s"))
+        # a row a fold
+        return made.join(F.broadcast(first), "fold").withColumn(name, F.col(name) - F.col("_first")).drop("_first")
+
+    teams = numbered(known.select("fold", "Division", "team").distinct(), ["fold", "Division", "team"], "team_id")
+    leagues = numbered(known.select("fold", "Division").distinct(), ["fold", "Division"], "league_id")
+    sizes = teams.select("fold", "team_ids").distinct()
+    leagues = leagues.join(F.broadcast(sizes), "fold").select(
+        "fold", "Division", "league_id", (F.col("team_ids") + F.col("league_id")).alias("unknown_id")
+    )
+    return _identified(test, teams.drop("team_ids"), leagues, ["fold", "Division"])
+
+
+def encoded_rows(rows: DataFrame, column: str = "encoded") -> DataFrame:
+    """Rows of one fold with a sparse vector: a place for each training league, and two for unseen teams.
+
+    The vocabulary is that of the rows whose ``part`` is train; a league that it lacks stops the job.
+    """
+    train = F.col("part") == "train"
+    ids = team_ids(rows, train_vocabulary(rows.where(train)))
+    league = OneHotEncoder(inputCol="league_id", outputCol="_league", dropLast=False).fit(ids.where(train))
+    made = VectorAssembler(inputCols=["_league", "home_unseen", "away_unseen"], outputCol=column).transform(
+        league.transform(ids)
+    )
+    return made.select(*rows.columns, column)
+
+
 def oov_counts(folds: DataFrame) -> DataFrame:
     """Per fold: vocabulary size, and home and away test occurrences of teams not trained on."""
     by = ["fold", "Division"]
@@ -207,21 +244,20 @@ def oov_counts(folds: DataFrame) -> DataFrame:
     )
 
 
-def pooled_names(leagues: Sequence[str] = ()) -> list[str]:
-    names = [
+def pooled_names() -> list[str]:
+    return [
         f"seq_{s}_{pool}_{d}_pre"
         for s in ("H", "A", "diff")
         for pool in ("mean", "recent")
         for d in DESCRIPTORS
     ]
-    return names + [f"seq_league_{i:03d}_pre" for i in range(len(leagues))]
 
 
-def pooled_representation(
-    sequences: DataFrame, leagues: Sequence[str] = (), decay: float = 0.8
-) -> DataFrame:
-    """Masked mean and recency-weighted mean of each side's descriptors, their difference, and
-    league indicators. An empty history pools to zero."""
+def pooled_representation(sequences: DataFrame, decay: float = 0.8) -> DataFrame:
+    """Masked mean and recency-weighted mean of each side's descriptors, and their difference.
+
+    An empty history pools to zero.
+    """
 
     def pooled(sequence: str, d: str, weighted: bool) -> Column:
         n = F.size(sequence)
@@ -254,8 +290,4 @@ def pooled_representation(
         for p in ("mean", "recent")
         for d in DESCRIPTORS
     ]
-    hot = [
-        (F.col("Division") == name).cast("double").alias(f"seq_league_{i:03d}_pre")
-        for i, name in enumerate(leagues)
-    ]
-    return made.select("*", *gaps, *hot).select(*S.KEY, *pooled_names(leagues))
+    return made.select("*", *gaps).select(*S.KEY, *pooled_names())

@@ -69,7 +69,9 @@ FROM {matches} WHERE game_id % 7 <> 0
 """
 
 XG_FORM = """
-SELECT Division, MatchDate, concat('Ť-', substr(HomeTeam, 2)) AS HomeTeam, concat('Ť-', substr(AwayTeam, 2)) AS AwayTeam,
+SELECT Division, MatchDate,
+       CASE HomeTeam WHEN 'T00' THEN 'Ťeam-Zero' WHEN 'T01' THEN 'Ťeam  One' ELSE concat('Ť', substr(HomeTeam, 2), '.') END AS HomeTeam,
+       CASE AwayTeam WHEN 'T00' THEN 'Ťeam-Zero' WHEN 'T01' THEN 'Ťeam  One' ELSE concat('Ť', substr(AwayTeam, 2), '.') END AS AwayTeam,
        CAST(FTHome * 6 + game_id % {h} AS DOUBLE) / 10 AS home_xg, CAST(FTAway * 6 + game_id % {a} AS DOUBLE) / 10 AS away_xg
 FROM {{matches}} WHERE FTHome IS NOT NULL{more}
 """

@@ -7,7 +7,7 @@ one long table that is scored in a single aggregation.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 from multiprocessing.pool import ThreadPool
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pairlab import schema as S
 from pairlab.functions.scalars import percentage, require
 from pairlab.models import classify
-from pairlab.operators import availability, baselines, folds, guards, market, metrics, xg
+from pairlab.operators import availability, baselines, folds, guards, market, metrics, sequences, xg
 from pairlab.plans import ledger
 from pairlab.session import durable
 
@@ -29,11 +29,18 @@ PARALLEL_FITS = 6
 
 @dataclass
 class Spec:
-    """A model to fit in every fold: its name, its columns and its kind."""
+    """A model to fit in every fold: its name, its columns, its kind and whether it reads the encoding."""
 
     name: str
     columns: tuple[str, ...]
     kind: str = "logistic"
+    encoded: bool = False
+
+    def fit(self, design: classify.Design, contract: Sequence[str]) -> classify.FittedModel:
+        if self.kind == "network":
+            return classify.fit_network(design, self.columns, self.name, contract=contract)
+        fit = classify.fit_selected if self.kind == "selected" else classify.fit_logistic
+        return fit(design, self.columns, self.name, contract=contract, encoded=self.encoded)
 
 
 @dataclass
@@ -93,11 +100,13 @@ def run_models(
     final: int,
     stats: dict | None = None,
     contract: Sequence[str] = S.FEATURES,
+    encode: Callable[[DataFrame], DataFrame] | None = None,
 ) -> tuple[DataFrame, list]:
     """Fit every model in every fold and return the long predictions and the fitted models.
 
     ``table`` is one table for all folds, or one for each test year where features depend on the
     fold. ``contract`` lists the features that the experiment declares; models may take no others.
+    ``encode`` adds a vector ``encoded``, made of the training rows alone, to the rows of a fold.
     """
     columns = list(dict.fromkeys(c for s in specs for c in s.columns))
     tables = table if isinstance(table, Mapping) else dict.fromkeys(years, table)
@@ -108,15 +117,16 @@ def run_models(
         fold = folds.fold_name(year)
         own = stats or classify.fold_stats(tables[year], columns, [year])
         rows = fold_rows(tables[year].select(*S.METADATA, "target_1x2", *columns), year, final)
-        return classify.build_design(rows, columns, own[fold], fold)
+        if encode is None:
+            return classify.build_design(rows, columns, own[fold], fold)
+        return classify.build_design(encode(rows), columns, own[fold], fold, "encoded")
 
     designs = side_by_side(design, years)
     tasks = [(made, spec) for made in designs for spec in specs]
 
     def run(task):
         made, spec = task
-        fit = classify.fit_logistic if spec.kind == "logistic" else classify.fit_network
-        return fit(made, spec.columns, spec.name, contract=contract)
+        return spec.fit(made, contract)
 
     # the longest fits first
     order = sorted(range(len(tasks)), key=lambda i: -len(tasks[i][1].columns) * tasks[i][0].train_rows)
@@ -285,6 +295,28 @@ def availability_comparison(
     return outcome, report
 
 
+def sequence_comparison(
+    features: DataFrame,
+    matches: DataFrame,
+    years: Sequence[int] = folds.YEARS,
+    final: int = S.FINAL_YEAR,
+) -> Outcome:
+    """Pooled last-ten sequences against the 52-feature model.
+
+    The candidate also reads leagues and unseen teams as its own training rows know them, and its
+    penalty is chosen on the last training dates.
+    """
+    names = sequences.pooled_names()
+    made = sequences.pooled_representation(sequences.match_sequences(matches, matches, inside=True))
+    table = prepare(join_candidate(features, made, names), [*S.FEATURES, *names], years, final)
+    specs = [
+        Spec(BASELINE, S.FEATURES),
+        Spec("sequences", (*S.FEATURES, *names), "selected", encoded=True),
+    ]
+    contract = (*S.FEATURES, *names)
+    return scored(*run_models(table, specs, years, final, contract=contract, encode=sequences.encoded_rows))
+
+
 def select_then_confirm(
     table: DataFrame, specs: Sequence[Spec], years: Sequence[int], final: int
 ) -> tuple[str, Outcome]:

@@ -628,8 +628,9 @@ FROM tagged t ANTI JOIN devig d USING (MatchDate, Division, HomeTeam, AwayTeam)
 
 
 def clean_name(x: str) -> str:
-    """The derived names: accent, hyphen and alias steps end at t00 .. t11."""
-    return f"regexp_replace(lower(strip_accents({x})), '[- ]+', '')"
+    """The derived names: accent, mark, blank and alias steps end at t00, t01 and so on."""
+    plain = f"trim(regexp_replace(replace(lower(strip_accents({x})), '.', ''), '[- ]+', ' ', 'g'))"
+    return f"CASE {plain} WHEN 'team zero' THEN 't00' WHEN 'team one' THEN 't01' ELSE {plain} END"
 
 
 XG_JOIN = """x AS (SELECT Division, MatchDate, {h} AS hn, {a} AS an, home_xg, away_xg FROM {src}),
@@ -1006,6 +1007,23 @@ FROM matches m JOIN li ON li.Division = m.Division LEFT JOIN ti h ON h.Division
 LEFT JOIN ti a ON a.Division = m.Division AND a.team = m.AwayTeam WHERE m.SeasonStartYear >= {y}"""
 
 
+@oracle
+def sequence_encoding() -> str:
+    yearly = "CASE WHEN substr(Division, 3, 1) IN ('0', '5') THEN CAST(year(MatchDate) AS VARCHAR) ELSE '' END"
+    return f"""{oracle_with('matches')}, {FOLDS}, r AS (SELECT MatchDate, Division, HomeTeam || {yearly} AS HomeTeam, AwayTeam, SeasonStartYear FROM matches),
+g AS (SELECT f.fold, f.test_year, r.* FROM r JOIN folds f ON r.SeasonStartYear <= f.test_year),
+tt AS (SELECT DISTINCT fold, Division, team FROM (SELECT fold, Division, HomeTeam AS team FROM g WHERE SeasonStartYear < test_year
+  UNION ALL SELECT fold, Division, AwayTeam FROM g WHERE SeasonStartYear < test_year) u),
+ti AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY Division, team) - 1 AS id FROM tt),
+li AS (SELECT d.fold, Division, row_number() OVER (PARTITION BY d.fold ORDER BY Division) - 1 AS league_id, n FROM (SELECT DISTINCT fold, Division FROM tt) d
+  JOIN (SELECT fold, count(*) AS n FROM tt GROUP BY fold) c ON c.fold = d.fold)
+SELECT m.fold, m.test_year, {MKEY}, league_id, coalesce(h.id, n + league_id) AS home_id, coalesce(a.id, n + league_id) AS away_id,
+  (h.id IS NULL)::INT AS home_unseen, (a.id IS NULL)::INT AS away_unseen
+FROM g m JOIN li ON li.fold = m.fold AND li.Division = m.Division
+LEFT JOIN ti h ON h.fold = m.fold AND h.Division = m.Division AND h.team = m.HomeTeam
+LEFT JOIN ti a ON a.fold = m.fold AND a.Division = m.Division AND a.team = m.AwayTeam WHERE m.SeasonStartYear = m.test_year"""
+
+
 @oracle
 def vocabulary_oov() -> str:
     return f"""{oracle_with('matches')}, {FOLDS}, r AS (SELECT *, HomeTeam || '-' || CAST(year(MatchDate) AS VARCHAR) AS ht FROM matches),

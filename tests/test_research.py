@@ -214,10 +214,9 @@ def test_sequences(spark):
     assert sequences.gather(made, df.limit(2)).count() == 2
     with pytest.raises(Exception, match="no sequence"):
         sequences.gather(made.where("HomeTeam = 'c'"), df).collect()
-    pooled = sequences.pooled_representation(made, ["E0"]).where("MatchDate = '2022-01-08'").first()
+    pooled = sequences.pooled_representation(made).where("MatchDate = '2022-01-08'").first()
     assert pooled.seq_H_mean_was_home_pre == 0.5
     assert pooled.seq_H_recent_was_home_pre == pytest.approx(0.8 / 1.8)
-    assert pooled.seq_league_000_pre == 1.0
 
 
 def test_vocabulary(spark):
@@ -231,6 +230,21 @@ def test_vocabulary(spark):
         sequences.team_ids(foreign, vocabulary).collect()
 
 
+def test_encoded_rows(spark):
+    rows = [
+        ("2020-01-01", "E0", "a", "b", "train"), ("2020-01-02", "E1", "c", "d", "train"),
+        ("2021-01-01", "E1", "c", "x", "test"), ("2021-01-02", "E0", "c", "a", "test"),
+    ]
+    df = spark.createDataFrame(rows, "MatchDate string, Division string, HomeTeam string, AwayTeam string, part string")
+    got = {r.MatchDate: r.encoded.toArray().tolist() for r in sequences.encoded_rows(df).collect()}
+    assert got == {
+        "2020-01-01": [1, 0, 0, 0], "2020-01-02": [0, 1, 0, 0], "2021-01-01": [0, 1, 0, 1], "2021-01-02": [1, 0, 1, 0],
+    }
+    foreign = df.union(spark.createDataFrame([("2021-01-03", "E9", "a", "b", "test")], df.schema))
+    with pytest.raises(Exception, match="absent from the training vocabulary"):
+        sequences.encoded_rows(foreign).collect()
+
+
 def test_dense_index_over_many_partitions(spark):
     df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("v"))
     rows = dense_index(df, ["v"], "i").collect()
