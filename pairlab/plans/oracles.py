@@ -344,7 +344,19 @@ def canonical_round_trip() -> str:
 
 @oracle
 def stored_summary() -> str:
-    return f"{oracle_with('matches')} SELECT Division, count(*) AS row_count FROM matches GROUP BY Division"
+    return (
+        f"{oracle_with('matches')} SELECT Division, 'Division=' || Division AS path, 1 AS files, count(*) AS row_count,"
+        " CAST((SELECT count(*) FROM matches) AS BIGINT) AS input_rows, CAST(sum(count(*)) OVER () AS BIGINT) AS output_rows"
+        " FROM matches GROUP BY Division"
+    )
+
+
+@oracle
+def key_set_difference() -> str:
+    key = "MatchDate, Division, HomeTeam, AwayTeam"
+    return f"""{oracle_with('market')}, l AS (SELECT DISTINCT {key} FROM matches WHERE day(MatchDate) % 10 <> 0), r AS (SELECT DISTINCT {key} FROM market)
+SELECT {MKEY}, 1 AS missing_left, 0 AS missing_right FROM r m ANTI JOIN l USING ({key})
+UNION ALL SELECT {MKEY}, 0, 1 FROM l m ANTI JOIN r USING ({key})"""
 
 
 @oracle
@@ -966,8 +978,9 @@ SELECT {MKEY}, m.SeasonStartYear, m.game_id, {', '.join(out)}
 FROM matches m LEFT JOIN pe h ON h.tgame = m.game_id AND h.tside = 'H' LEFT JOIN pe a ON a.tgame = m.game_id AND a.tside = 'A'"""
 
 
-@oracle
-def match_sequences() -> str:
+def sequence_rows() -> str:
+    """Every team's matches in order, with the number of those before the day."""
+
     def one(side: str) -> str:
         team, f, g, w, lo = (
             ("HomeTeam", "Home", "Away", "H", "A") if side == "H" else ("AwayTeam", "Away", "Home", "A", "H")
@@ -983,10 +996,31 @@ def match_sequences() -> str:
         )
 
     part = "PARTITION BY Division, team"
-    shown = ", ".join(rnd(f"h.{d}", d) for d in DESCRIPTORS[:-2])
-    return f"""{oracle_with('matches')}, cs AS (SELECT *, row_number() OVER ({part} ORDER BY MatchDate, HomeTeam, AwayTeam) AS seq,
+    return f"""cs AS (SELECT *, row_number() OVER ({part} ORDER BY MatchDate, HomeTeam, AwayTeam) AS seq,
   count(*) OVER ({part} ORDER BY MatchDate RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS prior_n
-  FROM ({one('H')} UNION ALL {one('A')}) u)
+  FROM ({one('H')} UNION ALL {one('A')}) u)"""
+
+
+@oracle
+def gathered_sequences() -> str:
+    key = "MatchDate, Division, HomeTeam, AwayTeam"
+
+    def shown(side: str, name: str) -> str:
+        return (
+            f"CAST(coalesce(max(CASE WHEN side = '{side}' THEN n END), 0) AS INT) AS {name}_sequence_size, "
+            + rnd(f"coalesce(max(CASE WHEN side = '{side}' THEN goals END), 0)", f"{name}_sequence_goals")
+        )
+
+    return f"""{oracle_with('market')}, {sequence_rows()},
+s AS (SELECT t.MatchDate, t.Division, t.HomeTeam, t.AwayTeam, t.side, count(h.team) AS n, sum(h.goals_for) AS goals
+  FROM cs t LEFT JOIN cs h ON h.Division = t.Division AND h.team = t.team AND h.seq <= t.prior_n AND h.seq > t.prior_n - 10 GROUP BY ALL)
+SELECT {MKEY}, {shown('H', 'home')}, {shown('A', 'away')} FROM s m SEMI JOIN market USING ({key}) GROUP BY m.MatchDate, m.Division, m.HomeTeam, m.AwayTeam"""
+
+
+@oracle
+def match_sequences() -> str:
+    shown = ", ".join(rnd(f"h.{d}", d) for d in DESCRIPTORS[:-2])
+    return f"""{oracle_with('matches')}, {sequence_rows()}
 SELECT strftime(t.MatchDate, '%Y-%m-%d') AS MatchDate, t.Division, t.HomeTeam, t.AwayTeam, t.side,
   CAST(h.seq - greatest(t.prior_n - 9, 1) AS INT) AS position, {shown},
   {rnd("ln(1 + CAST(date_diff('day', h.MatchDate, t.MatchDate) AS DOUBLE)) / " + dbl('7'), 'log_days_ago')},

@@ -157,10 +157,18 @@ def canonical_round_trip(spark, sf):
 
 @query
 def stored_summary(spark, sf):
-    """The sink's own summary: rows of each division as stored."""
-    return sinks.write_canonical_partitions(
-        Tables(spark, sf).canonical, shared_path(spark, "canonical")
-    )
+    """The sink's own summary: folder, files and rows of each division as stored, and all rows."""
+    made = sinks.write_canonical_partitions(Tables(spark, sf).canonical, shared_path(spark, "canonical"))
+    folder = F.element_at(F.split("path", "/"), -1)
+    return made.withColumn("path", folder).withColumn("files", (F.col("files") > 0).cast("int"))
+
+
+@query
+def key_set_difference(spark, sf):
+    """Matches without odds, and odds without a match when a day in ten has no match."""
+    t = Tables(spark, sf)
+    fewer = t.canonical.where(F.dayofmonth("MatchDate") % 10 != 0)
+    return plain(sinks.key_set_difference(fewer, t.market))
 
 
 @query
@@ -645,6 +653,18 @@ def match_sequences(spark, sf):
     return plain(flat.select(*S.KEY, "side", "position", "d.*"))
 
 
+@query
+def gathered_sequences(spark, sf):
+    """Sequences gathered for the matches that have odds: their number of matches, and goals scored."""
+    t = Tables(spark, sf)
+    made = sequences.match_sequences(t.canonical, t.canonical, inside=True)
+    wanted = t.canonical.join(t.market.select(*S.KEY), list(S.KEY), "left_semi")
+    goals_of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["goals_for"])
+    sides = ("home_sequence", "away_sequence")
+    out = [F.size(c).alias(f"{c}_size") for c in sides] + [goals_of(c).alias(f"{c}_goals") for c in sides]
+    return plain(sequences.gather(made, wanted).select(*S.KEY, *out))
+
+
 @query
 def vocabulary_ids(spark, sf):
     """Team tokens of the first fold's training seasons applied to all later matches."""

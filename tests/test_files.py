@@ -72,6 +72,33 @@ def test_differences_are_seen(spark, matches):
         sinks.verify(matches, changed)
 
 
+def test_a_spoiled_file_is_found(spark, matches, tmp_path, monkeypatch):
+    real = sinks.read_back
+
+    def spoiled(*args):
+        back = real(*args)
+        return back.withColumn("FTHome", F.when(F.col("Division") == "N01", 9).otherwise(F.col("FTHome")))
+
+    monkeypatch.setattr(sinks, "read_back", spoiled)
+    with pytest.raises(S.ContractError, match=r"read-back rows differ.*N01'\]"):
+        sinks.write_canonical_partitions(matches, str(tmp_path / "m"))
+    monkeypatch.undo()
+    row = sinks.write_canonical_partitions(matches, str(tmp_path / "m")).where("Division = 'N01'").first()
+    assert row.path == f"{tmp_path}/m/Division=N01" and row.files >= 1
+    assert row.input_rows == row.output_rows == matches.count()
+
+
+def test_key_set_difference(spark):
+    left = spark.createDataFrame([(1, "a"), (1, "a"), (2, None), (3, "c")], "k int, v string")
+    right = spark.createDataFrame([(1, "a"), (2, None), (4, "d")], "k int, v string")
+    for buckets in (1, 4096):
+        got = {tuple(r) for r in sinks.key_set_difference(left, right, ["k", "v"], buckets).collect()}
+        assert got == {(3, "c", False, True), (4, "d", True, False)}
+    assert sinks.key_set_difference(left, left, ["k", "v"]).collect() == []
+    twice = sinks.round_trip_differences(left, left.distinct())
+    assert [tuple(r) for r in twice.collect()] == [(1, "a", 1)]
+
+
 def test_order_check_counts_disorder(spark, matches, tmp_path):
     out = str(tmp_path / "m")
     matches.coalesce(1).sortWithinPartitions(F.col("MatchDate").desc()).write.parquet(out)
