@@ -381,6 +381,22 @@ def logistic_score_equations() -> str:
     return f"WITH {FOLDS} SELECT fold, feature, CAST(0 AS DOUBLE) AS gradient FROM folds, (VALUES {named}) v(feature)"
 
 
+@oracle
+def prediction_equations() -> str:
+    return (
+        f"{oracle_with('matches')}, {FOLDS} SELECT f.fold, 'base52' AS model, count(*) AS rows, {dbl('0')} AS gap"
+        " FROM matches m JOIN folds f ON m.SeasonStartYear = f.test_year GROUP BY f.fold"
+    )
+
+
+@oracle
+def network_equations() -> str:
+    return (
+        f"{oracle_with('matches')}, {FOLDS} SELECT f.fold, count(*) AS rows, count(*) AS most_rows, {dbl('0')} AS gap"
+        " FROM matches m JOIN folds f ON m.SeasonStartYear = f.test_year GROUP BY f.fold"
+    )
+
+
 @oracle
 def poisson_score_equations() -> str:
     zero = ", ".join(f"CAST(0 AS DOUBLE) AS {c}" for c in ("intercept", "sot", "off"))

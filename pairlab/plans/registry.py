@@ -762,6 +762,28 @@ def logistic_score_equations(spark, sf):
     return plain(experiments.union(parts), 4)
 
 
+@query
+def prediction_equations(spark, sf):
+    """Test probabilities of every fold made again of the stored coefficients; rows, and the largest gap."""
+    out = experiments.backtest(fitted_features(Tables(spark, sf)), YEARS, derived.FINAL)
+    table = durable(classify.coefficient_table(out.models))
+    again = classify.recomputed_logistic(out.models, table)
+    return plain(classify.recomputed_gap(out.predictions, again), 9)
+
+
+@query
+def network_equations(spark, sf):
+    """The same of the layered networks, from their stored layers; every model of every fold it was fitted in."""
+    _, out = experiments.capacity_audit(fitted_features(Tables(spark, sf)), YEARS, derived.FINAL)
+    networks = [m for m in out.models if m.name in classify.LAYERS]
+    again = classify.recomputed_networks(networks, durable(classify.layer_table(networks)))
+    made = plain(classify.recomputed_gap(out.predictions, again), 9)
+    # which network reaches the final fold is the audit's choice, so the models of a fold are counted
+    return made.groupBy("fold").agg(
+        F.min("rows").alias("rows"), F.max("rows").alias("most_rows"), F.max("gap").alias("gap")
+    )
+
+
 @query
 def poisson_score_equations(spark, sf):
     """The goals model's likelihood equations in every season, relative to its goals."""
