@@ -641,6 +641,37 @@ SELECT candidate, development_fold_count, {rnd('gain', 'candidate_improvement_lo
   CASE WHEN gain >= 0.005 AND improving_fold_count >= 2 THEN 'passed' ELSE 'failed' END AS verdict FROM o"""
 
 
+@oracle
+def report_round_trip() -> str:
+    head, tail = gate().split("\nSELECT candidate", 1)
+    return f"""{head},
+gt AS (SELECT candidate{tail}),
+j2 AS (SELECT m.game_id IS NOT NULL AND d.market_overround IS NOT NULL AS hit, m.game_id IS NOT NULL AS own FROM matches m FULL JOIN devig d
+  ON m.MatchDate = d.MatchDate AND m.Division = d.Division AND m.HomeTeam = d.HomeTeam AND m.AwayTeam = d.AwayTeam),
+c2 AS (SELECT count(*) FILTER (hit) AS aligned_rows, round({dbl('100')} * count(*) FILTER (hit) / count(*) FILTER (own), 6) AS coverage_percentage FROM j2)
+SELECT 'closing_market' AS experiment, fm.fold, fm.fold_role, fm.model, fm.n_samples, {rnd('fm.log_loss', 'log_loss')},
+  {rnd('fm.brier_score', 'brier_score')}, {rnd('fm.ece', 'ece')}, gt.verdict, aligned_rows, coverage_percentage
+FROM fm LEFT JOIN gt ON gt.candidate = fm.model CROSS JOIN c2"""
+
+
+@oracle
+def path_context() -> str:
+    codes, names = sorted(S.SEASON_CODES), sorted(S.DIVISION_NAMES)
+    season = f"[{', '.join(repr(c) for c in codes)}][SeasonStartYear % {len(codes)} + 1]"
+    division = f"[{', '.join(repr(c) for c in names)}][CAST(substr(Division, 2, 2) AS INT) % {len(names)} + 1]"
+    start = "CASE season_code " + " ".join(f"WHEN '{c}' THEN {y}" for c, y in S.SEASON_CODES.items()) + " END"
+    return f"""{oracle_with('matches')}, p AS (SELECT {season} AS season_code, {division} AS division, FTHome FROM matches)
+SELECT season_code, division, CAST({start} AS BIGINT) AS season_start, count(*) AS rows, CAST(sum(FTHome) AS BIGINT) AS goals FROM p GROUP BY ALL"""
+
+
+@oracle
+def stored_features() -> str:
+    return (
+        f"{oracle_with('matches')} SELECT Division, count(*) AS rows, CASE WHEN Division = 'N03' THEN 0 ELSE 1 END AS kept"
+        " FROM matches GROUP BY Division"
+    )
+
+
 @oracle
 def best_candidate() -> str:
     return f"""{oracle_with('market')}, {PREDICTIONS},

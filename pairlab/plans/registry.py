@@ -33,7 +33,7 @@ from pairlab.operators import (
     sequences,
     xg,
 )
-from pairlab.plans import derived, experiments, ledger
+from pairlab.plans import derived, experiments, ledger, report
 from pairlab.plans import graph as graph_plan
 from pairlab.plans.derived import Tables
 from pairlab.session import durable, durable_root
@@ -147,6 +147,43 @@ def csv_round_trip(spark, sf):
     return plain(canonical.normalise(rows).drop("_issues"))
 
 
+@query
+def path_context(spark, sf):
+    """Text files landed by season and division, whose season is that of the path: rows and goals of each."""
+    folder = shared_path(spark, "landed")
+    codes, names = sorted(S.SEASON_CODES), sorted(S.DIVISION_NAMES)
+    raw = Tables(spark, sf).raw_csv.withColumnRenamed("AS_", "AS")
+    season = F.element_at(F.array(*[F.lit(c) for c in codes]), F.substring("Season", 1, 4).cast("int") % len(codes) + 1)
+    division = F.element_at(F.array(*[F.lit(c) for c in names]), F.substring("Div", 2, 2).cast("int") % len(names) + 1)
+    landed = raw.withColumns({"to_season": season, "to_division": division}).drop("Season")
+    files.land_source_csv(landed, folder, "to_season", "to_division")
+    rows = files.with_path_season(spark, files.scan_source_csv(spark, folder))
+    return rows.groupBy("_season_code", "_division", "_season_start").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(F.col("FTHG").cast("bigint")).alias("goals")
+    ).toDF("season_code", "division", "season_start", "rows", "goals")
+
+
+@query
+def stored_features(spark, sf):
+    """Features of stored partitions, stored in turn; one division written again, the others keep their files."""
+    matches, made = shared_path(spark, "canonical"), shared_path(spark, "features")
+    sinks.write_canonical_partitions(Tables(spark, sf).canonical, matches)
+    table = durable(features.build_feature_table_from_parquet(spark, matches))
+    sinks.write_feature_partitions(table, made)
+
+    def stored():
+        rows = spark.read.schema(S.FEATURE_SCHEMA).parquet(made)
+        return rows.groupBy("Division", F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+
+    before = durable(stored())
+    sinks.write_feature_partitions(table.where(F.col("Division") == "N03"), made)
+    same = before.select("Division", "file", F.lit(1).alias("kept"))
+    return (
+        stored().join(same, ["Division", "file"], "left").groupBy("Division")
+        .agg(F.sum("n").alias("rows"), F.coalesce(F.max("kept"), F.lit(0)).alias("kept"))
+    )
+
+
 @query
 def canonical_round_trip(spark, sf):
     """Canonical rows through the partitioned sink and back."""
@@ -422,6 +459,17 @@ def gate(spark, sf):
     return plain(metrics.gate(compared))
 
 
+@query
+def report_round_trip(spark, sf):
+    """The report of market against prior as one document, stored, read back and laid out again."""
+    t = Tables(spark, sf)
+    folder = shared_path(spark, "report")
+    coverage = market.market_coverage(t.canonical, t.market)
+    made = report.assemble(durable(_fold_metrics(spark, sf)), "closing_market", "training_prior", coverage)
+    sinks.write_report(made, folder)
+    return plain(report.fold_rows(report.read_reports(spark, folder)))
+
+
 @query
 def best_candidate(spark, sf):
     return plain(metrics.best_candidate(_fold_metrics(spark, sf)))

@@ -31,6 +31,33 @@ def path_context() -> list:
     ]
 
 
+def land_source_csv(rows: DataFrame, root: str, season: str, division: str) -> None:
+    """Lay rows out as ``root/{season}/{division}.csv``, a file for each pair of supported codes.
+
+    The columns named by ``season`` and ``division`` hold the codes and are not in the files. Files are written by the
+    tasks and moved to their names by the driver; the codes, and so the files, are a fixed list.
+    """
+    spark = rows.sparkSession
+    pending = f"{root.rstrip('/')}/_pending"
+    (
+        rows.repartition(season, division)
+        .write.partitionBy(season, division)
+        .option("header", True)
+        .csv(pending)
+    )
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path
+    system = path(pending).getFileSystem(conf)
+    for status in system.globStatus(path(f"{pending}/*/*/*.csv")):
+        own = status.getPath()
+        folders = (own.getParent().getParent().getName(), own.getParent().getName())
+        target = path(source_csv_path(root, *(f.split("=", 1)[1] for f in folders)))
+        system.mkdirs(target.getParent())
+        if not system.rename(own, target):
+            raise S.ContractError(f"{target.toString()} holds a file already")
+    system.delete(path(pending), True)
+
+
 def _csv(spark: SparkSession, paths, encoding: str) -> DataFrame:
     reader = spark.read.option("header", True).option("encoding", encoding)
     return reader.option("enforceSchema", False).csv(paths)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from pairlab import schema as S
 from pairlab.operators import canonical, features
-from pairlab.plans import ledger
+from pairlab.plans import ledger, report
 from pairlab.sources import files, sinks
 
 
@@ -152,3 +152,36 @@ def test_sorting(spark):
     broken = make(spark, rows).withColumn("HomeTeam", F.lit(None).cast("string"))
     with pytest.raises(Exception, match="nulls"):
         canonical.sort_matches(broken).collect()
+
+
+def test_report_documents(spark, tmp_path):
+    rows = [
+        (f"f{i}", role, m, 10 * (i + 1), 1.0 - 0.1 * (m == "b"), 0.5, 0.01)
+        for i, role in enumerate(["development"] * 3 + ["historical_final"])
+        for m in ("a", "b")
+    ]
+    folds = spark.createDataFrame(
+        rows, "fold string, fold_role string, model string, n_samples bigint, log_loss double, brier_score double, ece double"
+    )
+    coverage = spark.range(1).selectExpr(
+        "100L AS candidate_match_rows", "90L AS aligned_rows", "10L AS unmatched_match_keys", "0L AS unmatched_market_keys",
+        "90D AS coverage_percentage",
+    )
+    made = report.assemble(folds, "x", "a", coverage)
+    sinks.write_report(made, str(tmp_path / "r"))
+    back = report.read_reports(spark, str(tmp_path / "r"))
+    assert back.schema == report.document() and back.collect() == made.collect()
+    got = {(r.fold, r.model): r for r in report.fold_rows(back).collect()}
+    assert len(got) == 8 and got["f0", "b"].verdict == "passed" and got["f0", "a"].verdict is None
+    for name, change in (
+        ("u", made.withColumn("more", F.lit(1))),
+        ("m", made.drop("coverage")),
+        ("n", made.withColumn("coverage", F.struct("coverage.*", F.lit(1).alias("odd")))),
+    ):
+        sinks.write_report(change, str(tmp_path / name))
+        with pytest.raises(S.ContractError, match="unknown fields"):
+            report.read_reports(spark, str(tmp_path / name))
+    wrong = made.withColumn("coverage", F.col("coverage").withField("aligned_rows", F.lit("many")))
+    sinks.write_report(wrong, str(tmp_path / "w"))
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST|CONVERT|parse"):
+        report.read_reports(spark, str(tmp_path / "w")).collect()
