@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import sys
 from typing import NamedTuple
 
@@ -17,23 +16,22 @@ CENTROIDS = 4  # per language
 SAMPLE = 400  # training rows per language whose vectors form the centroids
 OVERDRAW = 4
 ROUNDS = 12
-SLACK = 1.5  # a text is rejected beyond this many times the farthest trained distance ...
-LEAST_REACH = 0.85  # ... and beyond this distance, however tight a centroid's own texts lie
+SLACK = 1.25  # a text is rejected beyond this many times the farthest trained distance of its size
+SIZES = (192, 768)  # grams at which a text counts as longer: short ones lie far from any centroid
+LEAST_TEXTS = 20  # trained texts of a size that its reach needs
 UNDETERMINED = "und"
 PIECE = 1 << 18  # characters turned into grams at once
 
-_LETTER = re.compile(r"[^\W\d_]")
-
 
 class Model(NamedTuple):
     idf: np.ndarray
     centroids: np.ndarray  # rows of unit length
     languages: list[str]  # of the rows
-    reach: np.ndarray  # largest accepted distance (1 - cosine) of the rows
+    reach: np.ndarray  # largest accepted distance (1 - cosine) of texts of each size, short to long
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text) and _LETTER.search(text) is not None
+    return bool(text) and any(map(str.isalpha, text))
 
 
 _FOLD = np.zeros(sys.maxunicode + 1, dtype=np.uint32)
@@ -163,7 +161,7 @@ def fit(
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
     df, n = _document_frequency(rows, dimensions)
     if not n:
-        return Model(np.zeros(dimensions), np.zeros((0, dimensions)), [], np.zeros(0))
+        return Model(np.zeros(dimensions), np.zeros((0, dimensions)), [], np.ones(len(SIZES) + 1))
     idf = np.log((1 + n) / (1 + df)) + 1.0
     hashed = rows.withColumn("h", F.xxhash64("text"))
     # A language may hold most rows: only the lowest part of its hashes, about OVERDRAW times the
@@ -209,29 +207,50 @@ def fit(
     for r in table.toLocalIterator():
         c = np.zeros(dimensions)
         c[r["slots"]] = r["counts"]
-        by_lang.setdefault(r["lang"], []).append((r["h"], _vector(c, idf).astype(np.float32)))
-    rows_, languages, reach = [], [], []
+        by_lang.setdefault(r["lang"], []).append((r["h"], _vector(c, idf).astype(np.float32), _size(c)))
+    rows_, languages, sizes, distances = [], [], [], []
     for lang in sorted(by_lang):
-        vectors = np.stack([v for _, v in sorted(by_lang[lang], key=lambda x: x[0])])
+        vectors = np.stack([v for _, v, _ in sorted(by_lang[lang], key=lambda x: x[0])])
         centres, own = _clusters(vectors, centroids, ROUNDS)
         for i, c in enumerate(centres):
             members = vectors[own == i]
             if len(members):
                 rows_.append(c)
                 languages.append(lang)
-                far = SLACK * float((1 - members @ c).max())
-                reach.append(min(1.0, max(LEAST_REACH, far)))
-    return Model(idf, np.stack(rows_).astype(float), languages, np.array(reach))
+        sizes += [size for _, _, size in sorted(by_lang[lang], key=lambda x: x[0])]
+        distances += (1 - (vectors @ centres.T).max(axis=1)).tolist()
+    reach = _reach(np.array(sizes), np.array(distances))
+    return Model(idf, np.stack(rows_).astype(float), languages, reach)
+
+
+def _size(counts: np.ndarray) -> int:
+    """The place among the sizes of a text with so many grams."""
+    return int(np.searchsorted(SIZES, counts.sum(), side="right"))
+
+
+def _reach(sizes: np.ndarray, distances: np.ndarray) -> np.ndarray:
+    """Farthest trained distance of each size with its slack; too few texts take that of the shorter size."""
+    out, last = [], 1.0
+    for size in range(len(SIZES) + 1):
+        own = distances[sizes == size]
+        if len(own) >= LEAST_TEXTS:
+            last = min(1.0, SLACK * float(own.max()))
+        out.append(last)
+    return np.array(out)
 
 
 def classify(text: str | None, model: Model) -> tuple[str, float, bool]:
-    """Language, cosine to its nearest centroid and whether the text lies beyond that one's reach."""
+    """Language, cosine to its nearest centroid and whether the text lies beyond the reach of its size.
+
+    Of equally near centroids the first counts, that of the language first in order.
+    """
     if not has_letter(text) or not model.languages:
         return UNDETERMINED, 0.0, True
-    cos = model.centroids @ _vector(gram_counts(text, len(model.idf)), model.idf)
+    counts = gram_counts(text, len(model.idf))
+    cos = model.centroids @ _vector(counts, model.idf)
     at = int(cos.argmax())
     score = float(min(1.0, max(0.0, cos[at])))
-    return model.languages[at], score, bool(1 - score > model.reach[at])
+    return model.languages[at], score, bool(1 - score > model.reach[_size(counts)])
 
 
 def predict(
@@ -240,8 +259,9 @@ def predict(
     """All columns of ``docs`` but these four replace any of the same names.
 
     ``held_out``, ``lang_pred``, ``score`` (cosine, 0 to 1) and ``rejected``: no letter, or farther
-    from the nearest centroid than its reach. Null, empty and letterless texts are ``und`` with
-    score 0 and rejected. Repeated rows and null identifiers come back as they came in.
+    from the nearest centroid than the reach of its size. Null, empty and letterless texts are ``und``
+    with score 0 and rejected. Repeated rows and null identifiers come back as they came in. Long
+    texts are read whole, and an empty table gives an empty result.
     """
     # One constant for all tasks, sent once to each executor; its size is fixed by the parameters.
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -262,8 +282,10 @@ def predict(
     new = ("held_out", "lang_pred", "score", "rejected")
     kept = [c for c in docs.columns if c not in new]
     found = classified(F.col(text_col).cast("string"))
-    return docs.select(*kept, _held_out(id_col).alias("held_out"), found.alias("_found")).select(
-        *kept, "held_out", *[F.col(f"_found.{c}").alias(c) for c in new[1:]]
+    # a name longer than any of the table's
+    inner = "_" * (1 + max(map(len, docs.columns))) + "found"
+    return docs.select(*kept, _held_out(id_col).alias("held_out"), found.alias(inner)).select(
+        *kept, "held_out", *[F.col(inner)[c].alias(c) for c in new[1:]]
     )
 
 

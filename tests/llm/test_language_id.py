@@ -1,8 +1,10 @@
+import base64
 import random
 import zlib
 
 import numpy as np
 import pytest
+from conftest import SF
 
 from pairlab.llm import language_id
 
@@ -84,6 +86,44 @@ def test_nothing_to_learn_from(spark):
 def test_far_texts_are_rejected():
     idf = np.ones(language_id.DIMENSIONS)
     vector = language_id._vector(language_id.gram_counts("the people there"), idf)
-    model = language_id.Model(idf, vector[None, :], ["en"], np.array([0.3]))
+    model = language_id.Model(idf, vector[None, :], ["en"], np.array([0.3, 0.3, 0.3]))
     assert language_id.classify("the people there", model)[2] is False
     assert language_id.classify("щука", model)[2] is True
+
+
+@pytest.fixture(scope="module")
+def fitted(spark):
+    docs = spark.read.parquet(SF.replace("0.001", "0.01") + "/documents.parquet")
+    return docs, language_id.fit(docs.where(~language_id._held_out("doc_id")))
+
+
+def test_a_fitted_model_rejects_what_is_no_language_of_its_own(fitted):
+    _, model = fitted
+    assert model.reach[2] < 0.78
+    rng = random.Random(1)
+    far = [
+        base64.b64encode(rng.randbytes(600)).decode(),
+        " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(120)),
+        " ".join("".join(chr(rng.randrange(0x430, 0x450)) for _ in range(6)) for _ in range(120)),
+        "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki "
+        "ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä. " * 3,
+    ]
+    assert all(language_id.classify(t, model)[2] for t in far)
+    for text in ("½ 12", "²", "Ⅷ", "12 !?", ""):
+        assert language_id.classify(text, model) == ("und", 0.0, True)
+
+
+def test_a_fitted_model_keeps_held_out_prose(fitted):
+    docs, model = fitted
+    rows = language_id.predict(docs, model).where("held_out AND length(text) >= 60 AND lang IS NOT NULL").collect()
+    assert len(rows) > 200 and sum(r.rejected for r in rows) <= len(rows) // 200
+    assert np.mean([r.lang_pred == r.lang for r in rows]) > 0.98
+
+
+def test_ties_and_clashing_names(spark):
+    vector = np.zeros(language_id.DIMENSIONS)
+    vector[:2] = 0.5**0.5
+    model = language_id.Model(np.ones(language_id.DIMENSIONS), np.stack([vector, vector]), ["aa", "bb"], np.ones(3))
+    df = spark.createDataFrame([(1, "the", 5, "x")], "doc_id bigint, text string, _found int, rejected string")
+    row = language_id.predict(df, model).first()
+    assert (row.lang_pred, row._found, row.doc_id) == ("aa", 5, 1)
