@@ -974,6 +974,14 @@ e AS (SELECT fold, count(DISTINCT player_id) AS player_nodes, count(*) AS edges
 SELECT * FROM n JOIN e USING (fold)"""
 
 
+@oracle
+def embedding_equations() -> str:
+    return (
+        f"{oracle_with('appearances', 'lineups')}, {EDGES} SELECT fold, count(DISTINCT player_id) AS players,"
+        f" CAST(8 AS BIGINT) AS axes, {dbl('0')} AS residual, {dbl('0')} AS skew FROM ed GROUP BY fold"
+    )
+
+
 def pool_sql() -> str:
     """Players and weights of each side's last ten earlier games of the season."""
     return (

@@ -5,7 +5,6 @@ Dates leave as ISO text and doubles rounded, so results compare exactly across e
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +35,7 @@ from pairlab.operators import (
 from pairlab.plans import derived, experiments, ledger, report
 from pairlab.plans import graph as graph_plan
 from pairlab.plans.derived import Tables
-from pairlab.session import durable, durable_root
+from pairlab.session import durable, shared_folder
 from pairlab.sources import files, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -128,15 +127,10 @@ def canonical_rows(spark, sf):
     return plain(canonical.normalise(raw).drop("_issues"))
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new folder in the shared place of the session."""
-    return f"{durable_root(spark)}/{name}-{uuid.uuid4().hex}"
-
-
 @query
 def csv_round_trip(spark, sf):
     """Text files in two encodings and two column orders, read back as canonical rows."""
-    folder = shared_path(spark, "csv")
+    folder = shared_folder(spark, "csv")
     raw = Tables(spark, sf).raw_csv.withColumnRenamed("AS_", "AS")
     raw = raw.withColumn("HomeTeam", F.concat(F.lit("É"), F.trim("HomeTeam")))
     parts = (("utf-8", raw.columns, 0), ("iso-8859-1", sorted(raw.columns), 1))
@@ -150,7 +144,7 @@ def csv_round_trip(spark, sf):
 @query
 def path_context(spark, sf):
     """Text files landed by season and division, whose season is that of the path: rows and goals of each."""
-    folder = shared_path(spark, "landed")
+    folder = shared_folder(spark, "landed")
     codes, names = sorted(S.SEASON_CODES), sorted(S.DIVISION_NAMES)
     raw = Tables(spark, sf).raw_csv.withColumnRenamed("AS_", "AS")
     season = F.element_at(F.array(*[F.lit(c) for c in codes]), F.substring("Season", 1, 4).cast("int") % len(codes) + 1)
@@ -166,7 +160,7 @@ def path_context(spark, sf):
 @query
 def stored_features(spark, sf):
     """Features of stored partitions, stored in turn; one division written again, the others keep their files."""
-    matches, made = shared_path(spark, "canonical"), shared_path(spark, "features")
+    matches, made = shared_folder(spark, "canonical"), shared_folder(spark, "features")
     sinks.write_canonical_partitions(Tables(spark, sf).canonical, matches)
     table = durable(features.build_feature_table_from_parquet(spark, matches))
     sinks.write_feature_partitions(table, made)
@@ -187,7 +181,7 @@ def stored_features(spark, sf):
 @query
 def canonical_round_trip(spark, sf):
     """Canonical rows through the partitioned sink and back."""
-    folder = shared_path(spark, "canonical")
+    folder = shared_folder(spark, "canonical")
     sinks.write_canonical_partitions(Tables(spark, sf).canonical, folder)
     return plain(files.read_canonical(spark, folder))
 
@@ -195,7 +189,7 @@ def canonical_round_trip(spark, sf):
 @query
 def stored_summary(spark, sf):
     """The sink's own summary: folder, files and rows of each division as stored, and all rows."""
-    made = sinks.write_canonical_partitions(Tables(spark, sf).canonical, shared_path(spark, "canonical"))
+    made = sinks.write_canonical_partitions(Tables(spark, sf).canonical, shared_folder(spark, "canonical"))
     folder = F.element_at(F.split("path", "/"), -1)
     return made.withColumn("path", folder).withColumn("files", (F.col("files") > 0).cast("int"))
 
@@ -211,7 +205,7 @@ def key_set_difference(spark, sf):
 @query
 def stored_order(spark, sf):
     """Rows of the stored files, and rows that come before their predecessor."""
-    folder = shared_path(spark, "canonical")
+    folder = shared_folder(spark, "canonical")
     sinks.write_canonical_partitions(Tables(spark, sf).canonical, folder)
     found = sinks.order_check(spark, folder)
     return found.agg(F.sum("rows").alias("rows"), F.sum("out_of_order").alias("out_of_order"))
@@ -220,7 +214,7 @@ def stored_order(spark, sf):
 @query
 def stored_sql(spark, sf):
     """Parameterised SQL over the view of stored partitions."""
-    folder = shared_path(spark, "canonical")
+    folder = shared_folder(spark, "canonical")
     sinks.write_canonical_partitions(Tables(spark, sf).canonical, folder)
     return files.query_canonical(
         spark,
@@ -233,7 +227,7 @@ def stored_sql(spark, sf):
 @query
 def ledger_round_trip(spark, sf):
     """Experiment records through the JSON report sink and back, ranked within their population."""
-    folder = shared_path(spark, "records")
+    folder = shared_folder(spark, "records")
     sinks.write_report(division_records(Tables(spark, sf)), folder)
     back = files.read_experiment_records(spark, folder, lines=True)
     return plain(ledger.rank_raw_within_population(ledger.validate_ledger(back)))
@@ -463,7 +457,7 @@ def gate(spark, sf):
 def report_round_trip(spark, sf):
     """The report of market against prior as one document, stored, read back and laid out again."""
     t = Tables(spark, sf)
-    folder = shared_path(spark, "report")
+    folder = shared_folder(spark, "report")
     coverage = market.market_coverage(t.canonical, t.market)
     made = report.assemble(durable(_fold_metrics(spark, sf)), "closing_market", "training_prior", coverage)
     sinks.write_report(made, folder)
@@ -916,6 +910,22 @@ def graph_embedding(spark, sf):
     )
 
 
+@query
+def embedding_equations(spark, sf):
+    """Orthogonality and singular equations of every fold's player embedding: zero if it is exact."""
+    t = Tables(spark, sf)
+    edges = graph.season_edges(t.fixtures, graph.side_weights(t.appearances, t.lineups))
+    edges = durable(graph.fold_edges(edges, folds.fold_table(spark, YEARS, derived.FINAL)))
+
+    def residuals(fold):
+        own = edges.where(F.col("fold") == fold)
+        made = durable(graph.player_embeddings(own, 8))
+        return durable(graph.embedding_residuals(own, made).withColumn("fold", F.lit(fold)))
+
+    names = [folds.fold_name(y) for y in YEARS]
+    return plain(experiments.union(experiments.side_by_side(residuals, names)), 6)
+
+
 @query
 def graph_candidate(spark, sf):
     return outcome_rows(graph_experiment(spark, sf)[1])

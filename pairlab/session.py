@@ -82,6 +82,13 @@ def durable(df: DataFrame, partition_by: tuple[str, ...] = ()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared place, for a sink to write to; ``release`` deletes it like a table."""
+    path = f"{durable_root(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
 def release(spark: SparkSession, since: int = 0) -> None:
     """Delete the tables that ``durable`` made in this application, from the ``since``-th on."""
     made = _MADE.get(spark.sparkContext.applicationId, [])
