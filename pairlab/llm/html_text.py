@@ -58,6 +58,11 @@ PLACE = frozenset(
     "site page main top bottom left right primary secondary area box list links container section "
     "block bar".split()
 )
+# Last parts that tell what a name is of whatever stands before them, but for a state of the page.
+TELLING = re.compile(r"^(comments?|reply|replies|ads?|adverts?|advertisement|sponsor(ed)?|newsletter|cookies?)$")
+STATE = frozenset("has no with without is not hide show allow enable disable".split())
+ADVERT = re.compile(r"^(ads?|adverts?|advertisement|sponsor(ed)?)$")
+SLOT = frozenset("slot unit space holder placeholder wrap wrapper label zone".split())
 BAD_NAME_COST = -8.0
 HIDDEN_COST = -12.0
 LINK_COST = -4.0
@@ -69,10 +74,20 @@ _END = re.compile(r"[.!?…:;。]")
 
 
 def bad_name(value: str) -> bool:
-    """Whether a whole class or identifier of ``value`` names boilerplate, not only mentions it."""
+    """Whether a whole class or identifier of ``value`` names boilerplate, not only mentions it.
+
+    All its parts do, or its last one tells, as in ``user-comments``, or it is a place for adverts, as
+    ``ad-slot``. ``has-comments`` and ``comments-open`` are states of what bears the name.
+    """
     for token in value.split():
         parts = [x for x in _NAME.findall(token) if x not in PLACE]
-        if parts and all(map(BAD_NAME.match, parts)):
+        if not parts:
+            continue
+        if all(map(BAD_NAME.match, parts)):
+            return True
+        if TELLING.match(parts[-1]) and not STATE & set(parts):
+            return True
+        if ADVERT.match(parts[0]) and all(p in SLOT for p in parts[1:]):
             return True
     return False
 
@@ -82,6 +97,7 @@ class Block(NamedTuple):
     score: float
     apart: int  # block elements on the way from the block before
     parent: int  # number of the element around the innermost block element
+    bare: bool = False  # straight in the body
 
 
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
@@ -166,7 +182,8 @@ class _Page:
                 score += 0.5
             low = min(self.lowest, top.block)
             apart = self.depth + top.block - 2 * low
-            self.blocks.append(Block(text, score - 0.5, apart, top.parent))
+            bare = top.tag in ("", "html", "body")
+            self.blocks.append(Block(text, score - 0.5, apart, top.parent, bare))
             self.depth = self.lowest = top.block
         self.parts = []
         self.linked = 0
@@ -200,6 +217,8 @@ class _Page:
         for name, value in attrs:
             value = value.lower()
             if name in ("class", "id"):
+                if value == "legal" and self.open["article"]:
+                    continue  # a subject of the article
                 if not exempt and bad_name(value):
                     named += BAD_NAME_COST
             elif name == "role":
@@ -297,6 +316,9 @@ def blocks(html: str | None) -> list[Block]:
     """The visible blocks of a page in order; null has none."""
     page = _Page()
     page.feed(html or "")
+    if all(b.bare for b in page.blocks):
+        # a page of nothing but bare text has no parts to choose from
+        return [b._replace(score=b.score + 0.5) for b in page.blocks]
     return page.blocks
 
 

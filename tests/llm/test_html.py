@@ -108,3 +108,23 @@ def test_rows(spark):
         (1, "u", html_text.main_text(PAGE)), (2, None, ""), (None, "v", "")
     }
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["user-comments", "reader-comment", "ad-slot", "post_comments", "google-ad", "ad-container unit"])
+def test_a_telling_part_names_the_whole(name):
+    page = f"<body><article>{LAYOUT.format('')}</article><div class='{name}'><p>Nobody asked for this sentence, dear reader.</p></div></body>"
+    assert "Nobody asked" not in html_text.main_text(page) and html_text.main_text(page)
+
+
+@pytest.mark.parametrize("name", ["has-comments", "no-ads", "with-sidebar", "comments-open", "post"])
+def test_states_are_no_names(name):
+    page = f"<body><div class='{name}'><div>{LAYOUT.format('')}</div></div></body>"
+    assert html_text.main_text(page) == html_text.main_text(f"<body><div>{LAYOUT.format('')}</div></body>") != ""
+
+
+def test_short_bare_text_and_legal_sections():
+    bare = "A short page text that stands straight in the body alone"
+    assert html_text.main_text(f"<html><body>{bare}</body></html>") == bare
+    assert html_text.main_text(bare) == bare
+    page = f"<article>{LAYOUT.format('')}<section class='legal'><p>The law of the sea has four parts, as told here.</p></section></article>"
+    assert "law of the sea" in html_text.main_text(page)
