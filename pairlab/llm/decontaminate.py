@@ -12,8 +12,9 @@ from pairlab.session import durable
 WINDOW_WORDS = 10
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"  # between the words of a lower-cased text
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # a word of a text as it is
-MOST_BROADCAST = 2_000_000  # test windows that are broadcast; more are joined by a shuffle
-MOST_BITS = 1 << 20
+# Hashes of test windows broadcast at once. The join's map takes at most 100 bytes a hash, so 50 MB;
+# a larger set is asked part by part, one pass over the texts for each.
+ROUND_HASHES = 500_000
 
 
 def words(text: str) -> F.Column:
@@ -57,103 +58,95 @@ def item_windows(
     )
 
 
-def _bits(hashes: list[int]) -> tuple[F.Column, int]:
-    """A constant bit set over hashes as an array of 64-bit words, and its number of bits."""
-    n = 1 << 10
-    while n < 64 * len(hashes) and n < MOST_BITS:
-        n *= 2
-    table = [0] * (n // 64)
-    for h in hashes:
-        slot = h & (n - 1)
-        table[slot // 64] |= 1 << slot % 64
-    text = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in table)
-    return F.split(F.lit(text), ",").cast("array<bigint>"), n
-
-
 def scan(
     docs: DataFrame,
     items: DataFrame,
     size: int = WINDOW_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
-    most_broadcast: int = MOST_BROADCAST,
+    round_hashes: int = ROUND_HASHES,
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows, hits)``: the word count of every row, and the verified windows of rows that have any.
 
-    A row of ``rows`` is ``(id_col, _th, n_words)`` and of ``hits`` ``(id_col, _th, at, size,
-    items)``, where ``_th`` is a hash of the text. One pass over the texts hashes every window and
-    asks a constant bit set of all test windows; the few windows that pass carry their words to a
-    join on equal words, which settles each hit.
+    A row of ``rows`` is ``(_id, _th, n_words)`` and of ``hits`` ``(_id, _th, at, size, items)``,
+    where ``_th`` is a hash of the text. The hashes of all windows of a text are probed, in the pass
+    that makes them, in the broadcast hash set of the test windows; only a window that the set holds
+    gets its words joined to a string, and a join on equal strings settles each hit. A row also
+    probes a window of no words, which the set holds, so that its word count comes from that pass.
     """
     stored = durable(item_windows(items, size))
     sizes = sorted(r[0] for r in stored.select("size").distinct().collect())  # ``size`` at most
-    n = stored.count()
+    hashes = stored.select("h").distinct()
+    rounds = max(1, -(-hashes.count() // round_hashes))
+    arrays = ["struct(0 as size, array(0L) as found)"] + [
+        f"struct({s} as size, transform({_starts(str(s))}, i -> {_digest(str(s), 'i')}) as found)" for s in sizes
+    ]
+    split = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_th"), words(text_col).alias("_w"))
+    probed = (
+        split.select("_id", "_th", "_w", F.explode(F.expr(f"array({', '.join(arrays)})")).alias("c"))
+        .select("_id", "_th", "_w", "c.size", F.posexplode("c.found").alias("at", "h"))
+    )
     parts = []
-    if n <= most_broadcast:
-        held = [r[0] for r in stored.select("h").toLocalIterator()]
-        bits, width = _bits(held)
-        test = f"getbit(element_at(_bits, cast((h & {width - 1}L) div 64 as int) + 1), cast(h & 63L as int)) = 1"
-        known = F.broadcast(stored)
-    else:
-        bits, test, known = F.lit(None).cast("array<bigint>"), "true", stored
-    for s in sizes:
-        found = f"filter({_starts(str(s))}, i -> exists(array({_digest(str(s), 'i')}), h -> {test}))"
+    for k in range(rounds):
+        part = hashes.where(F.pmod("h", F.lit(rounds)) == k)
+        asked = probed.where(F.pmod("h", F.lit(rounds)) == k)
+        if k == 0:
+            part = part.unionByName(docs.sparkSession.range(1).toDF("h"))
         parts.append(
-            f"transform({found}, i -> struct(i as at, {s} as size,"
-            f" array_join(slice(_w, i + 1, {s}), ' ') as window))"
+            asked.join(F.broadcast(part), "h", "left_semi").select(
+                "_id",
+                "_th",
+                F.size("_w").cast("bigint").alias("n_words"),
+                "at",
+                "size",
+                F.expr("array_join(slice(_w, at + 1, size), ' ')").alias("window"),
+            )
         )
-    near = F.expr(f"concat({', '.join(parts)})") if parts else F.lit(None).cast(
-        "array<struct<at:int,size:int,window:string>>"
-    )
-    passed = durable(
-        docs.select(
-            id_col, F.xxhash64(text_col).alias("_th"), words(text_col).alias("_w"), bits.alias("_bits")
-        ).select(id_col, "_th", F.size("_w").cast("bigint").alias("n_words"), near.alias("near"))
-    )
+    passed = parts[0]
+    for more in parts[1:]:
+        passed = passed.unionByName(more)
+    passed = durable(passed)
     hits = (
-        passed.select(id_col, "_th", F.explode("near").alias("c"))
-        .select(id_col, "_th", "c.at", "c.size", "c.window")
-        .join(known.select("window", "size", "items"), ["window", "size"])
-        .select(id_col, "_th", "at", "size", "items")
+        passed.where("size > 0")
+        .join(stored.select("window", "size", "items"), ["window", "size"])
+        .select("_id", "_th", "at", "size", "items")
     )
-    return passed.select(id_col, "_th", "n_words"), hits
+    return passed.where("size = 0").select("_id", "_th", "n_words"), hits
 
 
-def _by_row(hits: DataFrame, id_col: str) -> DataFrame:
+def _by_row(hits: DataFrame) -> DataFrame:
     """Hit word positions and item names of each row that has hits."""
     covered = "array_distinct(flatten(transform(_spans, s -> sequence(s.at, s.at + s.size - 1))))"
     return (
-        hits.groupBy(id_col, "_th")
+        hits.groupBy("_id", "_th")
         .agg(
             F.collect_set(F.struct("at", "size")).alias("_spans"),
             F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("_items"),
         )
-        .select(id_col, "_th", F.expr(covered).alias("_hit"), "_items")
+        .select("_id", "_th", F.expr(covered).alias("_hit"), "_items")
     )
 
 
-def _same_row(id_col: str, left: DataFrame, right: DataFrame) -> F.Column:
-    return left[id_col].eqNullSafe(right[id_col]) & (left["_th"] == right["_th"])
-
-
 def contamination(
     docs: DataFrame,
     items: DataFrame,
     size: int = WINDOW_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    round_hashes: int = ROUND_HASHES,
 ) -> DataFrame:
     """``id_col, n_words, n_hit, n_items, items_sha256, contaminated`` of every row.
 
-    Null, empty and wordless texts have no words and no hits. Repeated rows and null identifiers
-    come back as they came in; other columns are ignored. An empty table gives an empty result,
-    and without test items nothing is contaminated.
+    Null, empty and wordless texts have no words and no hits; long texts are read whole. Repeated
+    rows and null identifiers come back as they came in; other columns are ignored, whatever their
+    names. An empty table gives an empty result, and without test items nothing is contaminated.
     """
-    rows, hits = scan(docs, items, size, id_col, text_col)
-    found = _by_row(hits, id_col)
+    rows, hits = scan(docs, items, size, id_col, text_col, round_hashes)
+    found = _by_row(hits)
+    same = rows["_id"].eqNullSafe(found["_id"]) & (rows["_th"] == found["_th"])
     n = F.coalesce(F.size("_hit"), F.lit(0)).cast("bigint")
-    return rows.join(found, _same_row(id_col, rows, found), "left").select(
-        rows[id_col],
+    return rows.join(found, same, "left").select(
+        rows["_id"].alias(id_col),
         "n_words",
         F.when(F.col("_hit").isNull(), F.lit(0)).otherwise(n).cast("bigint").alias("n_hit"),
         F.when(F.col("_hit").isNull(), F.lit(0)).otherwise(F.size("_items")).cast("bigint").alias("n_items"),
@@ -169,30 +162,36 @@ def decontaminate(
     size: int = WINDOW_WORDS,
     id_col: str = "doc_id",
     text_col: str = "text",
+    round_hashes: int = ROUND_HASHES,
 ) -> DataFrame:
     """``docs`` without its contaminated ``documents``, or without the hit ``spans`` of their texts.
 
-    A removed span takes its words and the separators before them. All columns stay as they are but
-    for the texts that lose spans.
+    A removed span takes its words and the separators before them. All columns stay as they are,
+    whatever their names, but for the texts that lose spans. Null, empty and wordless texts stay;
+    long texts are read whole; repeated rows and rows with equal identifiers are judged by their own
+    texts; an empty table gives an empty result, and without test items everything stays.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove documents or spans")
-    _, hits = scan(docs, items, size, id_col, text_col)
-    found = durable(_by_row(hits, id_col).select(F.col(id_col).alias("_id"), F.col("_th").alias("_h"), "_hit"))
-    same = docs[id_col].eqNullSafe(found["_id"]) & (F.xxhash64(docs[text_col]) == found["_h"])
+    # by place, so that no name of the table meets one used here
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    key, text = (f"c{docs.columns.index(c)}" for c in (id_col, text_col))
+    _, hits = scan(plain, items, size, key, text, round_hashes)
+    found = durable(_by_row(hits).select("_id", "_th", "_hit"))
+    same = plain[key].eqNullSafe(found["_id"]) & (F.xxhash64(plain[text]) == found["_th"])
     if remove == "documents":
-        return docs.join(found, same, "left_anti")
-    joined = docs.join(found, same, "left").withColumns(
+        return plain.join(found, same, "left_anti").toDF(*docs.columns)
+    joined = plain.join(found, same, "left").withColumns(
         {
-            "_w": F.regexp_extract_all(text_col, F.lit(f"({WORD})"), F.lit(1)),
-            "_s": F.split(text_col, WORD),
+            "_w": F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1)),
+            "_s": F.split(text, WORD),
         }
     )
     rest = "array_join(transform(_w, (x, i) -> if(array_contains(_hit, i), '', concat(_s[i], x))), '')"
-    text = F.when(F.col("_hit").isNull(), F.col(text_col)).otherwise(
+    cut = F.when(F.col("_hit").isNull(), F.col(text)).otherwise(
         F.concat(F.expr(rest), F.element_at("_s", -1))
     )
-    return joined.select(*[text.alias(c) if c == text_col else docs[c] for c in docs.columns])
+    return joined.select(*[cut.alias(c) if c == text else F.col(c) for c in plain.columns]).toDF(*docs.columns)
 
 
 SQL = r"""

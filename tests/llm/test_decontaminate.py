@@ -51,11 +51,10 @@ def items(spark):
 
 
 @pytest.mark.parametrize("size", [1, 3, 10])
-@pytest.mark.parametrize("most", [decontaminate.MOST_BROADCAST, 0])
-def test_equals_brute_force(spark, frame, odd, items, size, most, monkeypatch):
-    monkeypatch.setattr(decontaminate.scan, "__defaults__", (size, "doc_id", "text", most))
+@pytest.mark.parametrize("held", [decontaminate.ROUND_HASHES, 3])
+def test_equals_brute_force(spark, frame, odd, items, size, held):
     docs = DOCS + odd[:7]
-    got = decontaminate.contamination(frame(docs), items, size).collect()
+    got = decontaminate.contamination(frame(docs), items, size, round_hashes=held).collect()
     assert sorted((tuple(r) for r in got), key=str) == brute(docs, ITEMS, size)
 
 
@@ -90,3 +89,29 @@ def test_removal(spark, frame, items, odd):
     }
     with pytest.raises(ValueError):
         decontaminate.decontaminate(df, items, remove="words")
+
+
+def test_hash_set_is_probed_in_the_pass_that_makes_the_windows(spark, frame, items, monkeypatch):
+    plans = []
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return durable(df)
+
+    durable = decontaminate.durable
+    monkeypatch.setattr(decontaminate, "durable", seen)
+    decontaminate.scan(frame(DOCS), items, 3)
+    plan = plans[-1]
+    assert "BroadcastHashJoin" in plan and "Generate posexplode" in plan
+    assert "SortMergeJoin" not in plan and "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.parametrize("remove", ["documents", "spans"])
+def test_clashing_names(spark, items, remove):
+    rows = [(1, "so alpha beta gamma", 7, "a", "b", "c", 2, 3), (2, "clean words", 8, "d", "e", "f", 4, 5)]
+    df = spark.createDataFrame(
+        rows, "doc_id bigint, text string, _hit int, _w string, _s string, _id string, _th bigint, c0 int"
+    )
+    got = sorted(tuple(r) for r in decontaminate.decontaminate(df, items, remove, size=3).collect())
+    assert got == ([rows[1]] if remove == "documents" else [(1, "so", *rows[0][2:]), rows[1]])
+    assert decontaminate.contamination(df, items, 3).where("contaminated").count() == 1
