@@ -110,6 +110,19 @@ def test_logistic_equals_newton(spark, monkeypatch):
         classify.build_design(endless, COLUMNS, stats)
 
 
+def test_logistic_takes_few_passes_on_correlated_inputs(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(3000, 1)) + rng.normal(size=(3000, 2)) * [1e-3, 1.0]
+    y = np.argmax(np.c_[x[:, 0], -x[:, 1], 0 * x[:, 0]] + rng.gumbel(size=(3000, 3)), axis=1)
+    rows = [(float(a), float(b), S.CLASSES[c]) for (a, b), c in zip(x, y, strict=True)]
+    df = spark.createDataFrame(rows, "aa_pre double, cc_pre double, target_1x2 string").withColumn("part", F.lit("train"))
+    model = classify.fit_logistic(classify.build_design(df, COLUMNS, {c: (0.0, 0.0, 1.0) for c in COLUMNS}), COLUMNS, contract=COLUMNS)
+    assert model.iterations <= 10
+    assert max(r.gradient for r in classify.score_equations(model).collect()) < 1e-9
+    with pytest.raises(RuntimeError, match="no convergence"):
+        classify.fit_logistic(model.design, COLUMNS, contract=COLUMNS, max_iterations=2)
+
+
 def test_goals_model_recovers_its_parameters(spark):
     rng = np.random.default_rng(9)
     sot, off = rng.integers(0, 9, 4000), rng.integers(0, 9, 4000)
