@@ -1,4 +1,4 @@
-"""Near-duplicate texts: MinHash bands propose groups, exact Jaccard of word shingles decides."""
+"""Near-duplicate texts: SimHash and MinHash bands propose groups, exact Jaccard of word shingles decides."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
+from pairlab.llm import simhash
 from pairlab.llm.components import connected_components
 from pairlab.session import durable
 
@@ -44,6 +45,14 @@ def _class(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
 
 
+def _fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles: a bit is set if it is in over half of their hashes."""
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return int(np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def _bands(hashes: np.ndarray) -> list[int]:
     if not len(hashes):
         return []
@@ -59,31 +68,34 @@ def _bands(hashes: np.ndarray) -> list[int]:
 
 
 def _described(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with ``_row``, its class ``_cls``, shingle count ``_n`` and band keys ``_keys``, stored once."""
+    """``docs`` with ``_row``, its class ``_cls``, shingle count ``_n``, fingerprint ``_fp`` and band keys ``_keys``, stored once."""
     numbered = docs.withColumn("_row", F.monotonically_increasing_id())
     at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            cls, sizes, keys = [], [], []
+            cls, sizes, prints, keys = [], [], [], []
             for t in batch.column(at):
                 found = shingles(t.as_py())
                 cls.append(_class(found))
                 sizes.append(len(found))
+                prints.append(_fingerprint(found))
                 keys.append(_bands(found))
             yield pa.RecordBatch.from_arrays(
                 [
                     *batch.columns,
                     pa.array(cls, pa.int64()),
                     pa.array(sizes, pa.int64()),
+                    pa.array(prints, pa.int64()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                names=[*batch.schema.names, "_cls", "_n", "_keys"],
+                names=[*batch.schema.names, "_cls", "_n", "_fp", "_keys"],
             )
 
     added = [
         StructField("_cls", LongType()),
         StructField("_n", LongType()),
+        StructField("_fp", LongType()),
         StructField("_keys", ArrayType(LongType())),
     ]
     return durable(numbered.mapInArrow(run, StructType([*numbered.schema.fields, *added])))
@@ -156,26 +168,78 @@ def _compare(batches):
         yield close()
 
 
+PLACE_BITS = 33  # of a row's number within its part, as monotonically_increasing_id gives it
+
+
+def _marks(places: DataFrame) -> DataFrame:
+    """One row for each ``part`` that ``_row`` numbers name, with a bit for every place in it."""
+
+    def run(table):
+        place = table["place"].to_numpy()
+        bits = np.zeros((int(place.max()) // 64 + 1) * 64, dtype=np.uint8)
+        bits[place] = 1
+        words = np.packbits(bits, bitorder="little").view("<i8")
+        return pa.table({"part": table["part"].slice(0, 1), "words": pa.array([words], pa.list_(pa.int64()))})
+
+    split = places.select(
+        F.shiftright("_row", PLACE_BITS).alias("part"),
+        F.col("_row").bitwiseAND((1 << PLACE_BITS) - 1).alias("place"),
+    )
+    return split.groupBy("part").applyInArrow(run, "part bigint, words array<bigint>")
+
+
+def _marked(rows: DataFrame, places: DataFrame, inside: bool) -> DataFrame:
+    """The ``rows`` whose ``_row`` is among ``places``, or those whose is not, without moving them.
+
+    A bit a row is broadcast, an eighth of a byte however long the texts are.
+    """
+    place = F.col("_row").bitwiseAND((1 << PLACE_BITS) - 1)
+    met = rows.withColumn("part", F.shiftright("_row", PLACE_BITS)).join(F.broadcast(_marks(places)), "part", "left")
+    word = F.get("words", (place / 64).cast("int"))
+    found = F.coalesce(F.getbit(word, (place % 64).cast("int")), F.lit(0)) == 1
+    return met.where(found if inside else ~found).select(*rows.columns)
+
+
+def _fingerprint_edges(classes: DataFrame) -> DataFrame:
+    """Classes whose fingerprints link: each to the least of its fingerprint, and those of near ones."""
+    least = classes.groupBy("_fp").agg(F.min("_cls").alias("least"))
+    same = classes.join(least, "_fp").where(F.col("_cls") != F.col("least"))
+    ends = least.select(F.col("_fp").alias("a"), F.col("least").alias("u"))
+    near = (
+        simhash.links(least.select(F.col("_fp").alias("fp")))
+        .join(ends, "a")
+        .join(ends.select(F.col("a").alias("b"), F.col("u").alias("v")), "b")
+    )
+    return same.select(F.col("_cls").alias("a"), F.col("least").alias("b")).unionByName(
+        near.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    )
+
+
 def links(
     rows: DataFrame, text_col: str, tile_rows: int = TILE_ROWS, tile_shingles: int = TILE_SHINGLES
 ) -> DataFrame:
     """Edges ``(a, b)`` that join all classes of similar texts.
 
-    Classes that share a band lie in one group, and all pairs of a group are compared, tile
-    against tile, so a group of any size is only more tiles. The rows that some group wants are
-    stored before they meet the texts: while that table is small enough to be broadcast, the texts
-    stay where they are.
+    Classes that share a band, or whose SimHash fingerprints link as those of ``simhash``, lie in one
+    group, and all pairs of a group are compared, tile against tile, so a group of any size is only
+    more tiles. Only the texts that some group wants are moved.
     """
     classes = durable(
         rows.groupBy("_cls").agg(
-            F.min("_row").alias("_row"), F.first("_n").alias("_n"), F.first("_keys").alias("_keys")
+            F.min("_row").alias("_row"),
+            F.first("_n").alias("_n"),
+            F.first("_fp").alias("_fp"),
+            F.first("_keys").alias("_keys"),
         )
     )
     held = classes.select("_cls", F.explode("_keys").alias("key"))
     # minima combine in the tasks, so a band that many share is one row of each
     least = held.groupBy("key").agg(F.min("_cls").alias("least"), F.max("_cls").alias("most"))
     met = held.join(least.where("least < most"), "key").where(F.col("_cls") != F.col("least"))
-    groups = durable(connected_components(met.select(F.col("_cls").alias("a"), F.col("least").alias("b"))))
+    proposed = met.select(F.col("_cls").alias("a"), F.col("least").alias("b")).unionByName(
+        _fingerprint_edges(classes.where("_n > 0").select("_cls", "_fp"))
+    )
+    groups = durable(connected_components(proposed))
     sized = groups.withColumnRenamed("node", "_cls").join(classes.select("_cls", "_row", "_n"), "_cls")
     tiles = sized.groupBy("root").agg(
         F.greatest(
@@ -198,7 +262,8 @@ def links(
 
     texts = rows.select("_row", F.col(text_col).cast("string").alias("text"))
     sets = (
-        texts.join(wanted, "_row")
+        _marked(texts, wanted.select("_row"), True)
+        .join(wanted, "_row")
         .select("root", "tiles", "tile", "_cls", "text")
         .mapInArrow(run, "root bigint, tiles int, tile int, _cls bigint, found array<bigint>")
     )
@@ -242,6 +307,5 @@ def keep_one(
     grouped = rows.select("_row", "_cls", id_col).join(roots.withColumnRenamed("node", "_cls"), "_cls", "left")
     order = F.struct(F.col(id_col).isNull(), F.col(id_col), F.col("_row"))
     kept = grouped.groupBy(F.coalesce("root", "_cls").alias("g")).agg(F.min_by("_row", order).alias("_row"))
-    # stored, so that a table small enough to be broadcast leaves the texts where they are
     dropped = durable(grouped.select("_row").join(kept, "_row", "left_anti"))
-    return rows.join(dropped, "_row", "left_anti").select(*plain.columns).toDF(*docs.columns)
+    return _marked(rows, dropped, False).select(*plain.columns).toDF(*docs.columns)

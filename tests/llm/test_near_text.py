@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from pairlab.llm import near_text
+from pairlab.session import durable
 
 
 def brute_set(text):
@@ -91,3 +93,38 @@ def test_clashing_names(spark):
     rows = [(1, "one two three four five six", 7, "a", "b", 1), (2, "ONE two three four five six", 8, "c", "d", 2)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, _row int, _cls string, _keys string, _n int")
     assert [tuple(r) for r in near_text.keep_one(df).collect()] == rows[:1]
+
+
+def test_texts_are_not_shuffled(spark, frame):
+    """Neither the rows to compare nor those to drop make the texts move, whatever the tables' sizes."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = near_rows(6)
+        kept = near_text.keep_one(frame(rows))
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in kept.collect()) == brute_kept(rows)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+
+
+def test_marks_name_places_in_parts(spark):
+    rows = spark.range(0, 1000, 1, 7).select("id", F.monotonically_increasing_id().alias("_row"))
+    picked = durable(rows).where("id % 13 = 5 AND id < 700")
+    stored = durable(rows)
+    for inside in (True, False):
+        got = near_text._marked(stored, picked.select("_row"), inside)
+        assert sorted(r.id for r in got.collect()) == [i for i in range(1000) if (i % 13 == 5 and i < 700) == inside]
+    assert near_text._marked(stored, picked.where("id < 0"), False).count() == 1000
+
+
+def test_fingerprints_propose(spark):
+    """Classes that share no band are still proposed if their fingerprints differ in two bits at most."""
+    classes = spark.createDataFrame([(7, 0b1), (3, 0b1), (9, 0b110), (5, 0b1110000)], "_cls bigint, _fp bigint")
+    edges = near_text._fingerprint_edges(classes)
+    roots = {r.node: r.root for r in near_text.connected_components(edges).collect()}
+    assert roots == {7: 3, 3: 3}
+    wide = spark.createDataFrame([(7, 0b1), (3, 0b111), (9, -1)], "_cls bigint, _fp bigint")
+    assert {r.node: r.root for r in near_text.connected_components(near_text._fingerprint_edges(wide)).collect()} == {7: 3, 3: 3}
+    text = " ".join(f"w{i}" for i in range(300))
+    assert near_text._fingerprint(near_text.shingles(text)) == near_text.simhash.simhash(text, 5)
