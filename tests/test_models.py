@@ -224,3 +224,26 @@ def test_networks_stop_by_the_held_back_dates(spark):
     assert 0 < model.iterations < classify.MAX_ITERATIONS and model.rows == 400
     with pytest.raises(RuntimeError, match="held-back loss"):
         classify.fit_network(made, COLUMNS, "mlp_64", contract=COLUMNS, max_iterations=0)
+
+
+def test_networks_do_not_depend_on_how_rows_meet_tasks(spark, monkeypatch):
+    monkeypatch.setattr(classify, "SHARD_ROWS", 300)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(3000, 2))
+    y = np.argmax(x @ np.array([[2.0, 0.0, -2.0], [0.0, 1.5, 0.0]]) + rng.gumbel(size=(3000, 3)), axis=1)
+    rows = [(int(i % 50), float(a), float(b), S.CLASSES[c]) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "d int, aa_pre double, cc_pre double, target_1x2 string")
+    df = df.withColumn("MatchDate", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d")))
+    df = df.withColumn("part", F.lit("train"))
+    stats = {c: (0.0, 0.0, 1.0) for c in COLUMNS}
+    fits = []
+    for parts in (1, 5):
+        made = classify.build_design(df.repartition(parts), COLUMNS, stats)
+        fits.append(classify.fit_network(made, COLUMNS, "mlp_64", contract=COLUMNS))
+    assert fits[0].iterations == fits[1].iterations
+    assert np.array_equal(fits[0].model.weights.toArray(), fits[1].model.weights.toArray())
+    held = made.features("train", COLUMNS)
+    # the loss of the model the labels were drawn from
+    z = x @ np.array([[2.0, 0.0, -2.0], [0.0, 1.5, 0.0]])
+    known = np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y])
+    assert classify._mean_loss(fits[0].model, held) < known + 0.02
