@@ -19,6 +19,9 @@ from pairlab.functions.scalars import (
 )
 from pairlab.operators.canonical import assert_natural_key, duplicate_summary, first_source_column
 
+# Types whose text parses to the double that a cast gives.
+EXACT = ("double", "bigint", "int", "smallint", "tinyint")
+
 
 def market_rows(raw: DataFrame) -> DataFrame:
     """Canonical market columns plus two disjoint flags: incomplete and invalid odds."""
@@ -32,8 +35,10 @@ def market_rows(raw: DataFrame) -> DataFrame:
 
     typed = dict(raw.dtypes)[found["MatchDate"]] in ("date", "timestamp", "timestamp_ntz")
     date = source("MatchDate").cast("date") if typed else parse_date(source("MatchDate"))
-    numbers = {c: number(source(c)) for c in S.ODDS}
-    incomplete = any_of(*[is_blank(source(c)) for c in S.ODDS])
+    # what is a number already is not written and parsed, which would cost more than all the rest
+    plain = {c: dict(raw.dtypes)[found[c]] in EXACT for c in S.ODDS}
+    numbers = {c: source(c).cast("double") if plain[c] else number(source(c)) for c in S.ODDS}
+    incomplete = any_of(*[source(c).isNull() if plain[c] else is_blank(source(c)) for c in S.ODDS])
     good = every(*[finite(v) & (v > 1.0) for v in numbers.values()])
     return raw.select(
         date.alias("MatchDate"),

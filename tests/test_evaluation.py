@@ -4,11 +4,13 @@ import datetime as dt
 import math
 
 import pytest
+from conftest import SF
 from helpers import make, match_row
 from pyspark.sql import functions as F
 
 from pairlab import schema as S
 from pairlab.operators import baselines, folds, market, metrics
+from pairlab.plans import derived, registry
 
 
 def dated(spark, *rows):
@@ -191,3 +193,27 @@ def test_market_alignment_is_one_to_one(spark, tables):
     raw = tables.market.limit(20)
     with pytest.raises(S.ContractError, match="keys repeat"):
         market.align_closing_market(tables.canonical, raw.unionByName(raw))
+
+
+def test_numbers_as_odds_are_not_parsed_as_text(spark):
+    schema = "MatchDate date, Division string, HomeTeam string, AwayTeam string, AvgCH double, AvgCD double, AvgCA int"
+    day = dt.date(2020, 1, 1)
+    given = [(2.5, 3.0, 4), (None, 3.0, 4), (float("nan"), 3.0, 4), (1.0, 3.0, 4), (float("inf"), 3.0, 4), (1e-7, 0.1, 2)]
+    df = spark.createDataFrame([(day, "E0", f"T{i}", "Z", *odds) for i, odds in enumerate(given)], schema)
+    texts = df.select(*df.columns[:4], *[F.col(c).cast("string").alias(c) for c in df.columns[4:]])
+    made = market.market_rows(df)
+    assert "RLIKE" not in made._jdf.queryExecution().optimizedPlan().toString()
+    assert repr(sorted(made.collect())) == repr(sorted(market.market_rows(texts).collect()))
+
+
+def test_predictions_come_from_stored_matches(spark):
+    made = registry.simple_predictions(derived.Tables(spark, SF))
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "l_orderkey" not in plan
+    assert {r.model for r in made.select("model").distinct().collect()} == {"uniform", "training_prior", "market"}
+
+
+def test_team_states_are_never_broadcast(spark):
+    t = derived.Tables(spark, SF).stored("matches")
+    made = registry.history.join_sides(t.fixtures, t.fixtures.select(*S.KEY[:2], "SeasonStartYear", F.col("HomeTeam").alias("team")).distinct(), [])
+    assert "BroadcastHashJoin" not in made._jdf.queryExecution().executedPlan().toString()
