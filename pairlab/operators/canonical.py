@@ -314,9 +314,15 @@ def audit_canonical(df: DataFrame, input_rows: int | None = None) -> DataFrame:
     )
 
 
-def require_audit(df: DataFrame, input_rows: int | None = None):
-    """The audit row, or an error with the complete issue list."""
-    row = audit_canonical(df, input_rows).first()
+def require_audit(df: DataFrame, input_rows: int | None = None, keep: Sequence[str] | None = None):
+    """The audit row, or an error with the complete issue list.
+
+    With ``keep`` the row holds only these columns, ``issues`` and ``passed``, and no more is counted.
+    """
+    audit = audit_canonical(df, input_rows)
+    if keep is not None:
+        audit = audit.select(*keep, "issues", "passed")
+    row = audit.first()
     if not row.passed:
         raise S.ContractError(f"the audit found {', '.join(row.issues)}")
     return row

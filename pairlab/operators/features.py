@@ -12,12 +12,15 @@ from pairlab.operators.labels import known_results, label_columns
 
 
 def team_day_state(matches: DataFrame, **elo_parameters) -> DataFrame:
-    """Everything known about a team before a day: one row per (division, season, team, day)."""
+    """Everything known about a team before a day: one row per (division, season, team, day).
+
+    Each part grows with the matches, so none is broadcast.
+    """
     key = [*H.TEAM, "MatchDate"]
     return (
         form.tail_state(matches)
-        .join(form.context_state(matches), key)
-        .join(elo.elo_state(matches, **elo_parameters), key)
+        .join(form.context_state(matches).hint("merge"), key)
+        .join(elo.elo_state(matches, **elo_parameters).hint("merge"), key)
     )
 
 

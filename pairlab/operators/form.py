@@ -59,26 +59,15 @@ def tail_state(matches: DataFrame, stats: bool = True, form: bool = True) -> Dat
     A missing value keeps its place in the window but is left out of the mean.
     """
     rows = team_sides(matches, stats)
-    payload = [c for c in rows.columns if c == "points" or c.endswith(("_for", "_against"))]
-    if not form:
-        payload.remove("points")
-    daily = H.day_tails(rows, H.TEAM, "MatchDate", ORDER, payload, 5)
-    state = daily.select(
-        *H.TEAM, "MatchDate", H.prior_tail(H.TEAM, "MatchDate", 5).alias("tail")
-    ).select(*H.TEAM, "MatchDate", *[H.slot("tail", i).alias(f"s{i}") for i in range(1, 6)])
-
-    def mean(field: str, k: int):
-        return H.mean_of([F.col(f"s{i}.{field}") for i in range(1, k + 1)])
-
-    out = []
+    means = {}
     if stats:
         for stat, windows in S.ROLLED_STATS.items():
             for k in windows:
-                out.append(mean(f"{stat}_for", k).alias(f"{stat}ForAvg{k}"))
-                out.append(mean(f"{stat}_against", k).alias(f"{stat}AgainstAvg{k}"))
+                means[f"{stat}ForAvg{k}"] = (f"{stat}_for", k)
+                means[f"{stat}AgainstAvg{k}"] = (f"{stat}_against", k)
     if form:
-        out += [mean("points", 3).alias("Form3"), mean("points", 5).alias("Form5")]
-    state = state.select(*H.TEAM, "MatchDate", *out)
+        means |= {"Form3": ("points", 3), "Form5": ("points", 5)}
+    state = H.means_before(rows, H.TEAM, "MatchDate", ORDER, means)
     if not stats:
         return state
     return state.select(
@@ -131,9 +120,8 @@ def add_context_features(
     matches: DataFrame, expected: dict[str, int] = S.EXPECTED_TEAM_MATCHES
 ) -> DataFrame:
     """Attach the 13 rest, congestion, progress and points-form features."""
-    state = context_state(matches).join(
-        tail_state(matches.drop(*S.COUNT_COLUMNS), stats=False), [*H.TEAM, "MatchDate"]
-    )
+    form = tail_state(matches.drop(*S.COUNT_COLUMNS), stats=False)
+    state = context_state(matches).join(form.hint("merge"), [*H.TEAM, "MatchDate"])
     names = ["DaysSinceLast", "Matches14d", "TeamMatchNum", "Form3", "Form5"]
     return H.join_sides(matches, state, names).select(
         *matches.columns, *context_columns(expected)

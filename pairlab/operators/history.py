@@ -48,7 +48,7 @@ def day_counts(rows: DataFrame, entity: Sequence[str], day: str, **sums: Column)
     )
 
 
-def day_tails(
+def day_rows(
     rows: DataFrame,
     entity: Sequence[str],
     day: str,
@@ -56,13 +56,49 @@ def day_tails(
     payload: Sequence[str],
     k: int,
 ) -> DataFrame:
-    """The last ``k`` rows of every (entity, day), oldest first, as an array of structs."""
+    """The last ``k`` rows of every (entity, day), numbered from the latest as ``_back``."""
     within = Window.partitionBy(*entity, day).orderBy(*[F.col(c).desc() for c in order])
-    last = (
+    return (
         rows.select(*dict.fromkeys((*entity, day, *order, *payload)))
         .withColumn("_back", F.row_number().over(within))
         .where(F.col("_back") <= k)
     )
+
+
+def means_before(
+    rows: DataFrame,
+    entity: Sequence[str],
+    day: str,
+    order: Sequence[str],
+    means: dict[str, tuple[str, int]],
+) -> DataFrame:
+    """Means over the last rows before each (entity, day); ``means`` maps a name to (column, rows).
+
+    A day keeps its last ``k`` rows, ``k`` the longest mean, so that what precedes its first kept row
+    are the last rows of the earlier days. NULLs hold their place and are left out of the mean.
+    """
+    k = max(n for _, n in means.values())
+    kept = day_rows(rows, entity, day, order, [c for c, _ in means.values()], k)
+    ordered = Window.partitionBy(*entity).orderBy(day_number(F.col(day)), *order)
+    made = {name: F.avg(c).over(ordered.rowsBetween(-n, -1)) for name, (c, n) in means.items()}
+    first = ~F.lag(day).over(ordered).eqNullSafe(F.col(day))
+    return (
+        kept.select(*entity, day, first.alias("_first"), *[m.alias(name) for name, m in made.items()])
+        .where("_first")
+        .drop("_first")
+    )
+
+
+def day_tails(
+    rows: DataFrame,
+    entity: Sequence[str],
+    day: str,
+    order: Sequence[str],
+    payload: Sequence[str],
+    k: int,
+) -> DataFrame:
+    """The last ``k`` rows of every (entity, day), oldest first, as an array of structs."""
+    last = day_rows(rows, entity, day, order, payload, k)
     entry = F.struct((-F.col("_back")).alias("at"), *payload)
     return last.groupBy(*entity, day).agg(F.sort_array(F.collect_list(entry)).alias("day_tail"))
 

@@ -166,15 +166,15 @@ def stored_features(spark, sf):
     """Features of stored partitions, stored in turn; one division written again, the others keep their files."""
     matches, made = shared_folder(spark, "canonical"), shared_folder(spark, "features")
     sinks.write_canonical_partitions(Tables(spark, sf).canonical, matches)
-    table = durable(features.build_feature_table_from_parquet(spark, matches))
-    sinks.write_feature_partitions(table, made)
+    sinks.write_feature_partitions(features.build_feature_table_from_parquet(spark, matches), made)
 
     def stored():
         rows = spark.read.schema(S.FEATURE_SCHEMA).parquet(made)
         return rows.groupBy("Division", F.col("_metadata.file_path").alias("file")).agg(F.count(F.lit(1)).alias("n"))
 
     before = durable(stored())
-    sinks.write_feature_partitions(table.where(F.col("Division") == "N03"), made)
+    again = spark.read.schema(S.FEATURE_SCHEMA).parquet(made).where(F.col("Division") == "N03")
+    sinks.write_feature_partitions(again.select(*S.FEATURE_TABLE), made)
     same = before.select("Division", "file", F.lit(1).alias("kept"))
     return (
         stored().join(same, ["Division", "file"], "left").groupBy("Division")

@@ -1,10 +1,11 @@
 import pytest
+from conftest import SF
 from helpers import make, match_row
 from pyspark.sql import functions as F
 
 from pairlab import schema as S
 from pairlab.operators import canonical, features
-from pairlab.plans import ledger, report
+from pairlab.plans import ledger, registry, report
 from pairlab.sources import files, sinks
 
 
@@ -66,6 +67,36 @@ def test_features_from_parquet_and_sink(spark, matches, tmp_path):
     assert back.count() == matches.count() and set(back.columns) == set(S.FEATURE_TABLE)
 
 
+def test_reading_back_shuffles_no_rows(spark, matches, tmp_path, capsys):
+    out = str(tmp_path / "m")
+    sinks.write_canonical_partitions(matches, out)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the stored rows lay beyond it
+    try:
+        sinks.read_back(spark, out, S.CANONICAL_SCHEMA, matches.select("Division").distinct()).explain()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_stored_features_stages_the_table_once(spark, monkeypatch):
+    staged = []
+
+    def counted(df, *args):
+        made = real(df, *args)
+        if "EloDiff_pre" in df.columns:
+            staged.append(made.count())
+        return made
+
+    real = sinks.durable
+    monkeypatch.setattr(sinks, "durable", counted)
+    monkeypatch.setattr(registry, "durable", counted)
+    rows = {r.Division: r for r in registry.stored_features(spark, SF).collect()}
+    assert staged == [sum(r.rows for r in rows.values()), rows["N03"].rows]
+    assert all(r.kept == (d != "N03") for d, r in rows.items())
+
+
 def test_differences_are_seen(spark, matches):
     changed = matches.withColumn("FTHome", F.coalesce(F.col("FTHome"), F.lit(0)) + 1)
     with pytest.raises(S.ContractError, match="rows differ"):

@@ -108,3 +108,24 @@ def test_busy_days_are_pruned_before_the_shuffle(matches, capsys):
     form.tail_state(matches).explain()
     plan = capsys.readouterr().out
     assert "WindowGroupLimit" in plan
+
+
+def test_means_over_busy_days_hold_no_arrays(spark, capsys):
+    rows = [match_row("2022-01-01", "a", f"b{i}", goals=(i, 0)) for i in range(7)]
+    rows += [match_row("2022-01-02", "a", f"c{i}", goals=(10 * i, 1)) for i in range(2)]
+    rows.append(match_row("2022-01-03", "a", "d"))
+    state = form.tail_state(make(spark, rows))
+    got = {r.MatchDate.day: r for r in state.where("team = 'a'").collect()}
+    assert got[1].GoalsForAvg3 is None and got[1].Form5 is None
+    assert (got[2].GoalsForAvg3, got[2].GoalsForAvg5) == (5.0, 4.0)
+    assert (got[3].GoalsForAvg3, got[3].GoalsForAvg5) == (16 / 3, (4 + 5 + 6 + 0 + 10) / 5)
+    assert got[3].GoalsAgainstAvg5 == 2 / 5 and got[3].GoalDiffAvg5 == 5.0 - 2 / 5
+    state.explain()
+    assert "collect_list" not in capsys.readouterr().out
+
+
+def test_team_state_is_never_broadcast(matches, capsys):
+    features.team_day_state(matches).explain()
+    form.add_context_features(matches).explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
