@@ -247,3 +247,28 @@ def test_networks_do_not_depend_on_how_rows_meet_tasks(spark, monkeypatch):
     z = x @ np.array([[2.0, 0.0, -2.0], [0.0, 1.5, 0.0]])
     known = np.mean(np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(y)), y])
     assert classify._mean_loss(fits[0].model, held) < known + 0.02
+
+def test_networks_are_recomputed_as_matrices(spark):
+    rng = np.random.default_rng(6)
+    sizes = [40, 128, 64, 3]
+    flat = rng.normal(size=sum(a * b + b for a, b in zip(sizes, sizes[1:]))) / 4
+    names = tuple(f"c{i}_pre" for i in range(sizes[0]))
+    keyed = [F.lit("x").alias(c) for c in ("fold_role", "Division", "AwayTeam")]
+    df = spark.range(4000).select(
+        *[F.sin(F.col("id") * (i + 1)).alias(c) for i, c in enumerate(names)],
+        *keyed,
+        F.lit("f").alias("fold"),
+        F.lit(1).alias("test_year"),
+        F.current_date().alias("MatchDate"),
+        F.col("id").cast("string").alias("HomeTeam"),
+        F.element_at(F.array(*[F.lit(c) for c in S.CLASSES]), (F.col("id") % 3 + 1).cast("int")).alias("target_1x2"),
+        F.when(F.col("id") < 10, "train").otherwise("test").alias("part"),
+    )
+    made = classify.build_design(df, names, {c: (0.0, 0.0, 1.0) for c in names}, "f")
+    model = classify.FittedModel("mlp_128_64", made, names, classify.Network(flat, sizes), 1)
+    again = classify.recomputed_networks([model], classify.layer_table([model]))
+    row = classify.recomputed_gap(model.predict_test(), again).first()
+    assert row.rows == 3990 and row.gap < 1e-12
+    # units are no expressions evaluated weight by weight
+    plan = again._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "sequence(0" not in plan
