@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.ml.feature import OneHotEncoder, VectorAssembler
 from pyspark.sql import Column, DataFrame
@@ -65,13 +65,17 @@ def descriptor_sides(matches: DataFrame) -> DataFrame:
 
 
 def sequence_state(
-    matches: DataFrame, length: int = LENGTH, asked: DataFrame | None = None
+    matches: DataFrame,
+    length: int = LENGTH,
+    asked: DataFrame | None = None,
+    descriptors: Sequence[str] = DESCRIPTORS,
 ) -> DataFrame:
     """Per (division, team, day): descriptors of the last matches before it, over all seasons."""
     if length < 1:
         raise ValueError("the sequence length must be positive")
     rows = descriptor_sides(matches).withColumn("played", F.col("MatchDate"))
-    payload = ["played", "SeasonStartYear", *DESCRIPTORS[:-2]]
+    read = {"log_days_ago": "played", "same_season": "SeasonStartYear"}
+    payload = [read.get(d, d) for d in DESCRIPTORS if d in descriptors]
     daily = H.day_tails(
         rows, H.CAREER, "MatchDate", ("HomeTeam", "AwayTeam"), payload, length
     )
@@ -81,31 +85,39 @@ def sequence_state(
 
 
 def match_sequences(
-    targets: DataFrame, matches: DataFrame, length: int = LENGTH, inside: bool = False
+    targets: DataFrame,
+    matches: DataFrame,
+    length: int = LENGTH,
+    inside: bool = False,
+    descriptors: Sequence[str] = DESCRIPTORS,
 ) -> DataFrame:
     """Home and away sequences of every target, oldest first.
 
     ``inside`` says that the targets are rows of the history, which saves a step.
 
     A sequence is as long as the history (its size is the mask); each element holds the 13
-    descriptors, the last two relative to the target.
+    descriptors, the last two relative to the target, or those of ``descriptors``, in the same order.
+    Elements are carried through every shuffle, so a caller names the descriptors it reads.
     """
+    if not descriptors or not set(descriptors) <= set(DESCRIPTORS):
+        raise ValueError("the sequence descriptors must be some of the 13")
     asked = None if inside else H.team_days(targets, season=False)
-    state = sequence_state(matches, length, asked)
+    state = sequence_state(matches, length, asked, descriptors)
     joined = H.join_sides(
         targets.select(*S.KEY, "SeasonStartYear"), state, ["past"], season=False
     )
 
     def relative(past: str) -> Column:
         def element(x: Column) -> Column:
-            ago = day(F.col("MatchDate")) - day(x["played"])
-            return F.struct(
-                *[x[d].alias(d) for d in DESCRIPTORS[:-2]],
-                (F.log1p(ago.cast("double")) / DAYS_SCALE).alias("log_days_ago"),
-                (x["SeasonStartYear"] == F.col("SeasonStartYear"))
-                .cast("double")
-                .alias("same_season"),
-            )
+            def value(d: str) -> Column:
+                if d == "log_days_ago":
+                    ago = day(F.col("MatchDate")) - day(x["played"])
+                    return F.log1p(ago.cast("double")) / DAYS_SCALE
+                if d == "same_season":
+                    return (x["SeasonStartYear"] == F.col("SeasonStartYear")).cast("double")
+                return x[d]
+
+            return F.struct(*[value(d).alias(d) for d in DESCRIPTORS if d in descriptors])
 
         return F.transform(F.coalesce(F.col(past), F.array()), element)
 
@@ -207,6 +219,47 @@ def encoded_rows(rows: DataFrame, column: str = "encoded") -> DataFrame:
     return made.select(*rows.columns, column)
 
 
+FIRST_SEASONS = ("home_since", "away_since")
+
+
+def with_first_seasons(rows: DataFrame) -> DataFrame:
+    """Rows with the first season of the home and the away team in its division.
+
+    A team is unseen by all folds up to its first season, so one join serves every fold's vocabulary.
+    """
+    since = H.sides(
+        rows.select("Division", "SeasonStartYear", "HomeTeam", "AwayTeam"),
+        ["Division", "SeasonStartYear"],
+        {"team": (F.col("HomeTeam"), F.col("AwayTeam"))},
+    ).groupBy("Division", "team").agg(F.min("SeasonStartYear").alias("since"))
+    out = rows
+    for team, name in zip(("HomeTeam", "AwayTeam"), FIRST_SEASONS, strict=True):
+        out = out.join(since.select("Division", F.col("team").alias(team), F.col("since").alias(name)), ["Division", team])
+    return out
+
+
+def encoding(rows: DataFrame) -> Callable[[int], dict[str, Column]]:
+    """Inputs of each test year that tell leagues and unseen teams, as its training seasons know them.
+
+    ``rows`` hold the teams' first seasons. The inputs are those of ``encoded_rows``; a league that the
+    training seasons lack stops the job.
+    """
+    firsts = rows.groupBy("Division").agg(F.min("SeasonStartYear").alias("since")).orderBy("Division").collect()
+    season = F.col("SeasonStartYear")
+
+    def inputs(year: int) -> dict[str, Column]:
+        known = [r.Division for r in firsts if r.since < year]
+        # rows of later seasons are not the fold's
+        checked = (season > year) | F.col("Division").isin(known)
+        absent = F.raise_error(F.lit("division absent from the training vocabulary")).cast("double")
+        made = {f"league_{name}": (F.col("Division") == name).cast("double") for name in known}
+        for side, since in zip(("home", "away"), FIRST_SEASONS, strict=True):
+            made[f"{side}_unseen_{year}"] = F.when(checked, (F.col(since) >= year).cast("double")).otherwise(absent)
+        return made
+
+    return inputs
+
+
 def oov_counts(folds: DataFrame) -> DataFrame:
     """Per fold: vocabulary size, and home and away test occurrences of teams not trained on."""
     by = ["fold", "Division"]

@@ -703,8 +703,8 @@ def match_sequences(spark, sf):
 @query
 def gathered_sequences(spark, sf):
     """Sequences gathered for the matches that have odds: their number of matches, and goals scored."""
-    t = Tables(spark, sf)
-    made = sequences.match_sequences(t.canonical, t.canonical, inside=True)
+    t = Tables(spark, sf).stored("matches")
+    made = sequences.match_sequences(t.canonical, t.canonical, inside=True, descriptors=("goals_for",))
     wanted = t.canonical.join(t.market.select(*S.KEY), list(S.KEY), "left_semi")
     goals_of = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["goals_for"])
     sides = ("home_sequence", "away_sequence")
@@ -886,7 +886,7 @@ def xg_candidate(spark, sf):
 
 @query
 def availability_candidate(spark, sf):
-    t = Tables(spark, sf)
+    t = Tables(spark, sf).stored("matches", "player_lines", "appearances", "lineups", "valuations")
     out, _ = experiments.availability_comparison(
         fitted_features(t), t.fixtures, t.appearances, t.lineups, t.valuations, YEARS, derived.FINAL
     )

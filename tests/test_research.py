@@ -9,6 +9,7 @@ from pairlab import schema as S
 from pairlab.functions.names import normalize_team_name, team_name_udf
 from pairlab.operators import availability, folds, graph, sequences, xg
 from pairlab.operators.indexing import dense_index
+from pairlab.plans import registry
 
 
 @pytest.mark.parametrize(
@@ -277,3 +278,44 @@ def test_availability_refuses_broken_relations(spark, squad):
         experiments.availability_comparison(
             fixtures, fixtures, appearances.unionByName(appearances), lineups, values
         )
+
+
+def test_first_seasons_give_every_folds_encoding(spark):
+    rows = [
+        ("2020-01-01", 2020, "E0", "a", "b"), ("2020-01-02", 2020, "E1", "c", "d"),
+        ("2021-01-01", 2021, "E1", "c", "x"), ("2021-01-02", 2021, "E0", "c", "a"),
+        ("2022-01-01", 2022, "E0", "c", "b"), ("2022-01-02", 2022, "E1", "y", "x"),
+    ]
+    df = spark.createDataFrame(rows, "MatchDate string, SeasonStartYear bigint, Division string, HomeTeam string, AwayTeam string")
+    known = sequences.with_first_seasons(df)
+    encode = sequences.encoding(known)
+    for year in (2021, 2022):
+        own = known.where(F.col("SeasonStartYear") <= year)
+        tagged = own.withColumn("part", F.when(F.col("SeasonStartYear") < year, "train").otherwise("test"))
+        want = {r.MatchDate: r.encoded.toArray().tolist() for r in sequences.encoded_rows(tagged).collect()}
+        inputs = [c.alias(f"v{i}") for i, c in enumerate(encode(year).values())]
+        got = {r[0]: list(r[1:]) for r in own.select("MatchDate", *inputs).collect()}
+        assert got == want
+    foreign = df.union(spark.createDataFrame([("2021-01-03", 2021, "E9", "a", "b")], df.schema))
+    known = sequences.with_first_seasons(foreign)
+    inputs = list(sequences.encoding(known)(2021).values())
+    with pytest.raises(Exception, match="absent from the training vocabulary"):
+        known.select(*inputs).collect()
+
+
+def test_sequences_carry_the_descriptors_that_are_read(spark, tables, monkeypatch):
+    df = make(spark, [match_row("2021-12-31", "a", "b", "H", (3, 0)), match_row("2022-01-08", "a", "d", "A")])
+    some = ("goals_for", "log_days_ago")
+    whole = table(sequences.match_sequences(df, df), ["home_sequence"])
+    part = table(sequences.match_sequences(df, df, descriptors=some), ["home_sequence"])
+    assert {k: [tuple(x[d] for d in some) for x in v[0]] for k, v in whole.items()} == {
+        k: [tuple(x) for x in v[0]] for k, v in part.items()
+    }
+    with pytest.raises(ValueError, match="descriptors"):
+        sequences.match_sequences(df, df, descriptors=("goals",))
+    # the registered query shuffles the goals alone
+    made = []
+    gather = sequences.gather
+    monkeypatch.setattr(sequences, "gather", lambda s, w: made.append(s) or gather(s, w))
+    registry.QUERIES["gathered_sequences"](spark, tables.directory)
+    assert made[0].schema["home_sequence"].dataType.elementType.names == ["goals_for"]
