@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pairlab import schema as S
+from pairlab import session
 from pairlab.models import classify, goals
 from pairlab.operators import features, scaling
 from pairlab.plans import experiments, ledger
@@ -272,3 +273,40 @@ def test_networks_are_recomputed_as_matrices(spark):
     # units are no expressions evaluated weight by weight
     plan = again._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan and "sequence(0" not in plan
+
+
+def test_folds_and_models_share_the_passes_over_one_table(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(2000, 2))
+    y = np.argmax(x @ rng.normal(size=(2, 3)) / 3 + rng.gumbel(size=(2000, 3)), axis=1)
+    rows = [
+        (f"t{i}", 2000 + i % 5, None if i % 7 == 0 else float(a), float(b), S.CLASSES[c])
+        for i, ((a, b), c) in enumerate(zip(x, y, strict=True))
+    ]
+    df = spark.createDataFrame(rows, "HomeTeam string, SeasonStartYear bigint, aa_pre double, cc_pre double, target_1x2 string")
+    for c in S.METADATA:
+        if c not in df.columns:
+            df = df.withColumn(c, F.current_date() if c == "MatchDate" else F.lit("x"))
+    table = durable(df)
+    specs = [experiments.Spec("both", COLUMNS), experiments.Spec("one", COLUMNS[1:])]
+    stored = len(session._MADE[spark.sparkContext.applicationId])
+    passes = []
+    swept = classify._swept
+    monkeypatch.setattr(classify, "_swept", lambda *a: passes.append(1) or swept(*a))
+    stats = classify.fold_stats(table, COLUMNS, (2002, 2004))
+    counted = len(session._MADE[spark.sparkContext.applicationId])
+    predictions, models = experiments.run_models(table, specs, (2002, 2004), 2004, stats, COLUMNS)
+    # no fold keeps rows of its own, and four fits take the passes of the slowest
+    assert len(session._MADE[spark.sparkContext.applicationId]) == counted >= stored
+    assert [(m.fold[-4:], m.name) for m in models] == [("2002", "both"), ("2002", "one"), ("2004", "both"), ("2004", "one")]
+    assert len(passes) == max(m.iterations for m in models) <= 10
+    for m in models:
+        part = F.when(F.col("SeasonStartYear") < int(m.fold[-4:]), "train").otherwise("test")
+        own = table.where(F.col("SeasonStartYear") <= int(m.fold[-4:])).withColumn("part", part)
+        alone = classify.fit_logistic(classify.build_design(own, COLUMNS, stats[m.fold]), m.columns, contract=COLUMNS)
+        assert np.allclose(m.model.weights, alone.model.weights, atol=1e-6)
+        assert max(r.gradient for r in classify.score_equations(m).collect()) < 1e-6
+        again = classify.recomputed_logistic([m], classify.coefficient_table([m]))
+        mine = predictions.where((F.col("fold") == m.fold) & (F.col("model") == m.name))
+        row = classify.recomputed_gap(mine, again).first()
+        assert row.rows == 400 and row.gap < 1e-12
