@@ -310,3 +310,17 @@ def test_folds_and_models_share_the_passes_over_one_table(spark, monkeypatch):
         mine = predictions.where((F.col("fold") == m.fold) & (F.col("model") == m.name))
         row = classify.recomputed_gap(mine, again).first()
         assert row.rows == 400 and row.gap < 1e-12
+
+
+def test_networks_of_a_fold_share_their_stored_rows(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(600, 2))
+    y = np.argmax(x @ np.array([[2.0, 0.0, -2.0], [0.0, 1.5, 0.0]]) + rng.gumbel(size=(600, 3)), axis=1)
+    rows = [(int(i % 40), float(a), float(b), S.CLASSES[c]) for i, ((a, b), c) in enumerate(zip(x, y, strict=True))]
+    df = spark.createDataFrame(rows, "d int, aa_pre double, cc_pre double, target_1x2 string")
+    df = df.withColumn("MatchDate", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d"))).withColumn("part", F.lit("train"))
+    made = classify.build_design(df, COLUMNS, {c: (0.0, 0.0, 1.0) for c in COLUMNS})
+    tables = session._MADE[spark.sparkContext.applicationId]
+    before = len(tables)
+    experiments.side_by_side(lambda name: classify.fit_network(made, COLUMNS, name, contract=COLUMNS), list(classify.LAYERS))
+    assert len(tables) == before + 1
